@@ -37,7 +37,7 @@ def partials(chunks: DataFrame, t: DType, fills: dict[int, object]) -> DataFrame
 
 def fill_column(chunks: DataFrame, t: DType, fills: dict[int, object]) -> Column:
     """The null marker of a chunk's array: a literal for one array, else a lookup in a literal map."""
-    lit = lambda x: F.lit(Decimal(x) if t.name == "uint64" else bytearray(x) if t.name == "binary" else x).cast(t.spark)
+    lit = lambda x: F.lit(None if x is None else Decimal(x) if t.name == "uint64" else bytearray(x) if t.name == "binary" else x).cast(t.spark)
     if len(set(map(repr, fills.values()))) <= 1:
         return lit(next(iter(fills.values()), None))
     return F.create_map(*[y for k, x in fills.items() for y in (F.lit(k).cast("bigint"), lit(x))])[F.col("array_id")]
