@@ -43,24 +43,6 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound."""
-
-    def __init__(self, seed: int = 0, most: int = 400_000):
-        super().__init__()
-        self.seed, self.most = seed, most
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, self.seed)
-        self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift multiply), so that sums and products of hashes come out uniform."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -68,6 +50,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Longest word hashed by position weights; longer ones go through xxhash one by one.
+_LONG = 512
+_WEIGHTS = np.cumprod(np.full(_LONG, 0x9E3779B97F4A7C15, np.uint64))
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, which ASCII white space separates: weighted sums of byte values, for all words at once."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[data]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # blocks of words, so that a very long text takes no more memory than a long one
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 18))))
+        first, size = starts[at], ends[at:to] - starts[at:to]
+        if to == at + 1 and size[0] > _LONG:
+            out[at] = xxhash.xxh64_intdigest(raw[first : ends[at]])
+        else:
+            run = data[first : ends[to - 1]]
+            place = np.arange(len(run)) - np.repeat(starts[at:to] - first, np.diff(np.append(starts[at:to], ends[to - 1])))
+            weighted = np.append(_BYTES[run] * _WEIGHTS.take(place, mode="clip"), np.uint64(0))
+            cuts = np.stack([starts[at:to] - first, ends[at:to] - first], axis=1).reshape(-1)
+            out[at:to] = np.add.reduceat(weighted, cuts)[::2] + size.astype(np.uint64)
+            for k in np.flatnonzero(size > _LONG):
+                out[at + k] = xxhash.xxh64_intdigest(raw[starts[at + k] : ends[at + k]])
+        at = to
+    return mix(out)
+
+
 def rolling(words: np.ndarray, width: int, base: int) -> np.ndarray:
     """Hashes of all runs of `width` words: base-weighted sums mod 2^64 by shift-and-add doubling, O(n log width)."""
     n = len(words) - width + 1

@@ -8,75 +8,104 @@ its parts, and sets that share none are never compared.
 
 Bands overlap by the ratio of sizes that similar sets can have, so every
 similar pair has a band in common.  A part that is empty would match half the
-corpus: there are EMPTY parts more than needed, so a set with at most EMPTY
-empty parts still shares one that is not, and the few sets with more of them
-meet under a signature of their own.
+corpus: there are e parts more than needed, so a set with at most e empty
+parts still shares one that is not, and the few sets with more of them meet
+under a signature of their own.  e lies six deviations above what the smallest
+sets of a band are expected to have.
 
 Equal sets are one node from the start.  Within a signature, members are first
 held against one pivot, the member with the most shared signatures; what these
 links join is one component, and only pairs across components are left to
-compare.  Copies in one large group thus cost one comparison each.
+compare.  Copies in one large group thus cost one comparison each.  Pairs that
+are left are first held against parity sketches: each shingle flips one bit,
+so sketches of two sets differ in no more bits than the sets in shingles, and
+a pair with more is done without its sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import ceil, floor
+from functools import lru_cache
+from math import ceil, exp, floor, log, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, as_i64, batch, mix, partitions, rolling, saved, slices
+from tessera.llm.common import as_i64, batch, mix, partitions, rolling, saved, slices, word_hashes
 from tessera.llm.components import components
 
-EMPTY = 4
 #: A band's largest size over its smallest, as a power of the size ratio of similar sets.
 BAND = 3
 BASE = 0xC2B2AE3D27D4EB4F
+#: Bits of a parity sketch at most.
+PARITY_BITS = 4096
+#: Documents wanted from the corpus up to which their ids are broadcast; beyond that the join is shuffled.
+BROADCAST_ROWS = 500_000
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes, width: int) -> np.ndarray:
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; fewer words than `width` are one shingle, none are none."""
-    words = (text or b"").lower().split()  # ASCII letters and ASCII white space only
-    if not words:
+    words = word_hashes((text or b"").lower())  # ASCII letters and ASCII white space only
+    if not len(words):
         return np.empty(0, np.uint64)
-    return np.unique(rolling(hashes.of(words), min(width, len(words)), BASE) + np.uint64(min(width, len(words))))
+    return np.unique(rolling(words, min(width, len(words)), BASE) + np.uint64(min(width, len(words))))
 
 
-def bands(size: int, percent: int) -> list[tuple[int, int]]:
-    """(band, most shingles that similar sets of the band differ in) for each band that holds a size.
+@lru_cache(65536)
+def bands(size: int, percent: int) -> list[tuple[int, int, int]]:
+    """(band, parts, empty parts allowed) for each band that holds a size.
 
     Band j holds sizes from lo(j) to lo(j) / t^BAND, with t the threshold; the
     next one starts a factor t before its end.
     """
     t = percent / 100
     step = t ** -(BAND - 1)
-    first = max(0, floor(np.log(size * t**BAND) / np.log(step)) - 1)
+    first = max(0, floor(log(size * t**BAND) / log(step)) - 1)
     out = []
     for j in range(first, first + 6):
-        lo, hi = step**j, step**j * t**-BAND
-        if ceil(lo - 1e-9) <= size <= floor(hi + 1e-9):
-            out.append((j, floor((100 - percent) * 2 * floor(hi + 1e-9) / (100 + percent))))
+        lo, hi = ceil(step**j - 1e-9), floor(step**j * t**-BAND + 1e-9)
+        if lo <= size <= hi:
+            differ = (100 - percent) * 2 * hi // (100 + percent)
+            empty = 0
+            for _ in range(8):
+                parts = differ + 1 + empty
+                mean = parts * exp(-lo / parts)
+                empty = ceil(mean + 6 * sqrt(mean) + 2)
+            out.append((j, differ + 1 + empty, empty))
     return out
 
 
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     out = []
-    for j, k in bands(len(shingles), percent):
-        parts = k + 1 + EMPTY
+    for j, parts, empty in bands(len(shingles), percent):
         seeded = mix(shingles + np.uint64(j * 0x9E3779B9 + 1))
         part = (seeded % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         held, starts = np.unique(part[order], return_index=True)
         sums = np.add.reduceat(mix(seeded[order] + np.uint64(0x51ED270B)), starts)
         out.append(mix(sums + mix(held.astype(np.uint64) + np.uint64((j + 1) << 32))))
-        if parts - len(held) > EMPTY:
+        if parts - len(held) > empty:
             out.append(mix(np.array([j + 1], np.uint64) + np.uint64(0xE3779B97F4A7C15)))
     return np.concatenate(out)
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A sketch of 2^k bits, twice the set's size at least, up to PARITY_BITS: bit h is the parity of the shingles with hash h."""
+    size = min(PARITY_BITS, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
+    at = (mix(shingles + np.uint64(0x1234567)) % np.uint64(size)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the larger one folded to the size of the smaller."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_hash(shingles: np.ndarray) -> int:
     """64-bit identity of a set."""
     total = np.add.reduce(mix(shingles + np.uint64(77)), dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))
@@ -85,7 +114,9 @@ def set_hash(shingles: np.ndarray) -> int:
 
 MEMBERS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
 SIGNATURES = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
+SKETCHES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("parity", pa.binary())])
 SETS = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int64()))])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _signed(x: int) -> int:
@@ -96,11 +127,10 @@ def membership(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, t, n, node): set size and set identity of each document; an empty set has no node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in slices(batches):
             rows = []
             for text in b.column(2).cast(pa.binary()).to_pylist():
-                s = shingle_set(text, hashes, width)
+                s = shingle_set(text, width)
                 rows.append((len(s), _signed(set_hash(s)) if len(s) else None))
             yield batch(MEMBERS, [b.column(0), b.column(1), [r[0] for r in rows], [r[1] for r in rows]])
 
@@ -111,11 +141,11 @@ def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(sig, node), each node once a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         for b in slices(batches):
             sigs, nodes = [], []
             for text in b.column(0).cast(pa.binary()).to_pylist():
-                s = shingle_set(text, hashes, width)
+                s = shingle_set(text, width)
                 if not len(s):
                     continue
                 node = set_hash(s)
@@ -133,25 +163,66 @@ def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig bigint, node bigint")
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of one document (doc_id, t) for each wanted node."""
+    wanted = saved(wanted, "wanted")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    return keyed.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["doc_id", "t"]).select("node", "text")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """A table with one row a node; rows of documents that are repeated as a whole give a node more than once."""
+    rows = saved(rows, "nodes")
+    if rows.count() == rows.select("node").distinct().count():
+        return rows
+    return saved(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in rows.columns if c != "node"]), "nodes")
+
+
+def sketches_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, n, parity) for each wanted node."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_set(x, width) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            yield batch(SKETCHES, [b.column(0), [len(x) for x in sets], [parity(x) for x in sets]])
+
+    return _once(_texts(docs, wanted).mapInArrow(run, "node bigint, n bigint, parity binary"))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, set) of one document (doc_id, t) for each wanted node."""
+    """(node, set) for each wanted node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in slices(batches):
-            sets = [shingle_set(x, hashes, width).view(np.int64) for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield batch(SETS, [b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), np.concatenate(sets))])
+            sets = [shingle_set(x, width) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), np.concatenate(sets).view(np.int64))
+            yield batch(SETS, [b.column(0), lists])
 
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    one = keyed.join(wanted, ["doc_id", "t"]).select("node", "text")
-    return one.mapInArrow(run, "node bigint, set array<bigint>").groupBy("node").agg(F.first("set").alias("set"))
+    return _once(_texts(docs, wanted).mapInArrow(run, "node bigint, set array<bigint>"))
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity sketches do not rule out a link; no linked pair is lost."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # linked sets differ in at most (100 - p) / (100 + p) of their joint size
+            keep = [(100 + percent) * differing(x, y) <= (100 - percent) * (m + n) for x, y, m, n in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=PAIRS).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("parity").alias(f"p{x}"), F.col("n").alias(f"n{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union."""
+def linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union, as a table."""
+    left = saved(plausible(pairs, sketches, percent), "plausible")
+    nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(docs, reps.join(nodes, "node"), width)
     side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("bigint"))
-    return joined.select("a", "b", (100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).alias("linked"))
+    both = F.size(F.array_intersect("sa", "sb")).cast("bigint")
+    joined = left.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
+    return saved(joined.filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"), "linked")
 
 
 def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -177,17 +248,18 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = live.join(pivots, "sig").filter((F.col("node") != F.col("pivot")) & near("n", "pn")).select(*pair("node", "pivot")).distinct()
     star = saved(star, "star")
-    sets = saved(sets_of(docs, degrees.select("node", "rep.doc_id", "rep.t"), width), "sets")
-    checked = saved(verified(star, sets, percent), "checked")
-    roots = components(checked.filter("linked"))
+    reps = saved(degrees.select("node", "rep.doc_id", "rep.t"), "reps")
+    sketches = sketches_of(docs, reps, width)
+    links = linked(docs, star, sketches, reps, width, percent)
+    roots = components(links)
     # what is left: pairs that share a signature, lie in different components, and were not held against each other
     named = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
     rest = saved(named.join(by, "sig", "left_semi").select("sig", "node", "root", "n"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root")) & near(F.col("x.n"), F.col("y.n"))).select(*pair(F.col("x.node"), F.col("y.node"))).distinct()
-    more = verified(across.join(checked, ["a", "b"], "left_anti"), sets, percent).filter("linked")
-    final = components(checked.filter("linked").select("a", "b").unionByName(more.select("a", "b")))
+    more = linked(docs, saved(across, "across").join(star, ["a", "b"], "left_anti"), sketches, reps, width, percent)
+    final = components(links.unionByName(more))
     labelled = members.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # the smallest doc_id of a component: one row for each component and task is shuffled
     first = labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, as_i64, batch, mix, rolling, saved, slices
+from tessera.llm.common import as_i64, batch, mix, rolling, saved, slices, word_hashes
 
 WINDOW = 50
 RUN = 8
@@ -70,12 +70,12 @@ def sketch(docs: DataFrame, bits: int, window: int) -> np.ndarray:
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, own = WordHashes(), np.zeros(DEPTH << bits, np.uint8)
+        own = np.zeros(DEPTH << bits, np.uint8)
         for b in slices(batches):
             for text in b.column(0).cast(pa.binary()).to_pylist():
-                words = (text or b"").split()
+                words = word_hashes(text or b"")
                 if len(words) >= window:
-                    for at in cells(np.unique(anchors(hashes.of(words), window)), bits):
+                    for at in cells(np.unique(anchors(words, window)), bits):
                         # documents are counted one by one: a counter gets one from a document's distinct cells
                         at = np.unique(at)
                         own[at] = np.minimum(own[at] + 1, 2)
@@ -111,14 +111,13 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     counters = spark.sparkContext.broadcast(sketch(keyed, bits, window))
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), counters.value
+        seen = counters.value
         for b in slices(batches):
             out: list[tuple] = []
             for key, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
-                words = text.split()
-                if len(words) < window:
+                h = word_hashes(text)
+                if len(h) < window:
                     continue
-                h = hashes.of(words)
                 distinct, at = np.unique(anchors(h, window), return_inverse=True)
                 many = np.minimum.reduce([seen[c] for c in cells(distinct, bits)]) >= 2
                 pos = np.flatnonzero(many[at])

@@ -460,3 +460,17 @@ def test_pipeline_stages(spark, mixed):
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, "unused").collect()} == {k for k, _ in left}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table(spark, []), "unused").count() == 0
+
+
+def test_word_hashes():
+    from tessera.llm.common import word_hashes
+
+    rnd = random.Random(1)
+    for n in (0, 1, 5, 200, 60000):
+        raw = b"".join(rnd.choice([b"a", b"b", b" ", b"\t", b"\x0b", b"\xc3\xa9", b"x" * 600, b"\x1c"]) for _ in range(n))
+        words = raw.split()
+        hashes = word_hashes(raw).tolist()
+        assert len(hashes) == len(words)
+        assert len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+    assert word_hashes(b"y " * 300000 + b"z" * 900000).tolist()[::150000] == [word_hashes(b"y")[0]] * 2 + [word_hashes(b"z" * 900000)[0]]
+    assert ngram_join.differing(ngram_join.parity(np.arange(500, dtype=np.uint64)), ngram_join.parity(np.arange(40, 520, dtype=np.uint64))) <= 60
