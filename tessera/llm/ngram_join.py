@@ -9,15 +9,20 @@ its parts, and sets that share none are never compared.
 Bands overlap by the ratio of sizes that similar sets can have, so every
 similar pair has a band in common.  A part that is empty would match half the
 corpus: there are e parts more than needed, so a set with at most e empty
-parts still shares one that is not, and the few sets with more of them meet
-under a signature of their own.  e lies six deviations above what the smallest
-sets of a band are expected to have.
+parts still shares one that is not; the few sets with more of them are dealt
+anew with another seed, and meet there.  e lies three deviations above what the
+smallest sets of a band are expected to have.
 
 Equal sets are one node from the start.  Within a signature, members are first
 held against one pivot, the member with the most shared signatures; what these
 links join is one component, and only pairs across components are left to
-compare.  Copies in one large group thus cost one comparison each.  Pairs that
-are left are first held against parity sketches: each shingle flips one bit,
+compare.  Copies in one large group thus cost one comparison each.
+
+A passage that many documents share fills parts of its own, and all of them
+would meet there.  Similar sets share f parts more than needed, so of the
+frequent signatures, those with more than PAIRS_EACH pairs to compare, a set
+may have up to f and still meet every similar set elsewhere: only sets with
+more of them are compared there.  Pairs that are left are first held against parity sketches: each shingle flips one bit,
 so sketches of two sets differ in no more bits than the sets in shingles, and
 a pair with more is done without its sets.
 """
@@ -26,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from math import ceil, exp, floor, log, sqrt
+from math import ceil, exp, floor, isqrt, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,16 @@ from tessera.llm.components import components
 #: A band's largest size over its smallest, as a power of the size ratio of similar sets.
 BAND = 3
 BASE = 0xC2B2AE3D27D4EB4F
+#: Frequent parts allowed for each shingle in which sets may differ, and pairs from which a signature is frequent.
+FREQUENT = 0.3
+PAIRS_EACH = 256
+#: Deals of a set whose empty parts are too many; one that fails all meets others like it under one signature (NO_BAND).
+SEEDS = 6
+NO_BAND = 255
+#: Members of a frequent signature that are compared in one task with each other or with as many others.
+CHUNK = 1024
+#: Bands there are room for: sizes beyond 10^15 are out of reach.
+MOST_BANDS = 100
 #: Bits of a parity sketch at most.
 PARITY_BITS = 4096
 #: Documents wanted from the corpus up to which their ids are broadcast; beyond that the join is shuffled.
@@ -53,41 +68,55 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(rolling(words, min(width, len(words)), BASE) + np.uint64(min(width, len(words))))
 
 
-@lru_cache(65536)
-def bands(size: int, percent: int) -> list[tuple[int, int, int]]:
-    """(band, parts, empty parts allowed) for each band that holds a size.
+@lru_cache(4096)
+def parts_of(band: int, percent: int) -> tuple[int, int, int, int, int]:
+    """(smallest size, largest size, parts, empty parts allowed, frequent parts allowed) of a band.
 
     Band j holds sizes from lo(j) to lo(j) / t^BAND, with t the threshold; the
     next one starts a factor t before its end.
     """
     t = percent / 100
     step = t ** -(BAND - 1)
-    first = max(0, floor(log(size * t**BAND) / log(step)) - 1)
-    out = []
-    for j in range(first, first + 6):
-        lo, hi = ceil(step**j - 1e-9), floor(step**j * t**-BAND + 1e-9)
-        if lo <= size <= hi:
-            differ = (100 - percent) * 2 * hi // (100 + percent)
-            empty = 0
-            for _ in range(8):
-                parts = differ + 1 + empty
-                mean = parts * exp(-lo / parts)
-                empty = ceil(mean + 6 * sqrt(mean) + 2)
-            out.append((j, differ + 1 + empty, empty))
-    return out
+    lo, hi = ceil(step**band - 1e-9), floor(step**band * t**-BAND + 1e-9)
+    differ = (100 - percent) * 2 * hi // (100 + percent)
+    frequent = ceil(FREQUENT * differ)
+
+    def excess(empty: int) -> float:
+        """Three deviations above the empty parts that the smallest sets will have, over those allowed."""
+        parts = differ + 1 + frequent + empty
+        mean = parts * exp(-lo / parts)
+        return max(0.0, mean + 3 * sqrt(mean) - empty)
+
+    # the fewest that suffice; small sets, where none do, take what comes nearest
+    most = 2 * isqrt(differ) + differ // 3 + 3
+    empty = min(range(most + 1), key=lambda e: (excess(e), e)) if differ < 100_000 else most
+    return lo, hi, differ + 1 + frequent + empty, empty, frequent
+
+
+@lru_cache(65536)
+def bands(size: int, percent: int) -> list[int]:
+    """The bands that hold a size."""
+    t = percent / 100
+    first = max(0, floor(log(size * t**BAND) / log(t ** -(BAND - 1))) - 1)
+    return [j for j in range(first, first + 6) if parts_of(j, percent)[0] <= size <= parts_of(j, percent)[1]]
 
 
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     out = []
-    for j, parts, empty in bands(len(shingles), percent):
-        seeded = mix(shingles + np.uint64(j * 0x9E3779B9 + 1))
-        part = (seeded % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        held, starts = np.unique(part[order], return_index=True)
-        sums = np.add.reduceat(mix(seeded[order] + np.uint64(0x51ED270B)), starts)
-        out.append(mix(sums + mix(held.astype(np.uint64) + np.uint64((j + 1) << 32))))
-        if parts - len(held) > empty:
-            out.append(mix(np.array([j + 1], np.uint64) + np.uint64(0xE3779B97F4A7C15)))
+    for j in bands(len(shingles), percent):
+        _, _, parts, empty, _ = parts_of(j, percent)
+        for seed in range(SEEDS):
+            seeded = mix(shingles + np.uint64(j * 0x9E3779B9 + 1 + (seed << 40)))
+            part = (seeded % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            held, starts = np.unique(part[order], return_index=True)
+            sums = np.add.reduceat(mix(seeded[order] + np.uint64(0x51ED270B)), starts)
+            # the low byte names the band
+            out.append(mix(sums + mix(held.astype(np.uint64) + np.uint64((j + 1) << 32))) & ~np.uint64(255) | np.uint64(j))
+            if parts - len(held) <= empty:
+                break
+        else:
+            out.append(np.array([(j << 8) + NO_BAND], np.uint64))
     return np.concatenate(out)
 
 
@@ -214,6 +243,49 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
 
 
+def among(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the rows (sig, node, root, n, parity) of a signature, in different components, that sketches do not rule out.
+
+    Members are dealt to chunks; every pair of chunks is a task of its own,
+    and only pairs that may be linked leave it.
+    """
+    sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = rows.join(sizes, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "n", "parity")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, n, own = (table.column(c).to_numpy() for c in ("node", "root", "n", "own"))
+        packed = table.column("parity").to_pylist()
+        same = table.column("x")[0] == table.column("y")[0]
+        by_size: dict[int, list[int]] = {}
+        for i, p in enumerate(packed):
+            by_size.setdefault(len(p), []).append(i)
+        matrix = {k: np.frombuffer(b"".join(packed[i] for i in v), np.uint64).reshape(len(v), -1) for k, v in by_size.items()}
+        found: list[np.ndarray] = []
+        for k, rows_k in by_size.items():
+            for m, rows_m in by_size.items():
+                if m < k:
+                    continue
+                right = np.array(rows_m)
+                folded = np.bitwise_xor.reduce(matrix[m].reshape(len(right), -1, k // 8), axis=1)
+                for i, bits in zip(rows_k, matrix[k]):
+                    # each pair once: between chunks from the first one's side, within a chunk or size in order of rows
+                    ask = (root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
+                    ask &= (own[right] != own[i]) if not same else True
+                    if m == k:
+                        ask &= right > i
+                    at = np.flatnonzero(ask)
+                    if len(at):
+                        differ = np.bitwise_count(folded[at] ^ bits).sum(axis=1, dtype=np.int64)
+                        hit = right[at[(100 + percent) * differ <= (100 - percent) * (n[right[at]] + n[i])]]
+                        found.append(np.stack([np.minimum(node[hit], node[i]), np.maximum(node[hit], node[i])]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=PAIRS)
+
+    return dealt.groupBy("sig", "x", "y").applyInArrow(run, "a bigint, b bigint")
+
+
 def linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, as a table."""
     left = saved(plausible(pairs, sketches, percent), "plausible")
@@ -254,10 +326,16 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     roots = components(links)
     # what is left: pairs that share a signature, lie in different components, and were not held against each other
     named = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    rest = saved(named.join(by, "sig", "left_semi").select("sig", "node", "root", "n"), "rest")
+    members_of = named.groupBy("sig", "root").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
+    pairs_of = members_of.withColumn("pairs", (F.col("all") * F.col("all") - F.col("same")) / 2).filter("pairs > 0").select("sig", (F.col("pairs") > PAIRS_EACH).alias("frequent"))
+    rest = saved(named.join(pairs_of, "sig").select("sig", "node", "root", "n", "frequent", F.col("sig").bitwiseAND(F.lit(255)).alias("band")), "rest")
+    allowed = F.create_map(*[F.lit(x) for j in range(256) for x in (j, parts_of(j, percent)[4] if j < MOST_BANDS else 0)])
+    often = rest.filter("frequent").groupBy("node", "band").agg(F.count("*").alias("c")).filter(F.col("c") > F.element_at(allowed, F.col("band").cast("int"))).select("node", "band")
+    frequent = rest.filter("frequent").join(often, ["node", "band"], "left_semi").join(sketches.select("node", "parity"), "node")
+    rest = rest.filter("not frequent").select("sig", "node", "root", "n")
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root")) & near(F.col("x.n"), F.col("y.n"))).select(*pair(F.col("x.node"), F.col("y.node"))).distinct()
+    across = across.unionByName(among(frequent, percent)).distinct()
     more = linked(docs, saved(across, "across").join(star, ["a", "b"], "left_anti"), sketches, reps, width, percent)
     final = components(links.unionByName(more))
     labelled = members.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -8,6 +8,9 @@ overestimate in how many documents an anchor is, and so in how many a window
 is.  A second pass groups exactly the windows whose anchor may be in two
 documents.  No repeated window is lost; a sketch that is too full only lets
 more windows through.
+
+Texts that repeat as a whole are told by their hashes first: only the first of
+them counts and is grouped, and the later ones go whole.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ DEPTH = 3
 #: log2 of counters in a sketch row: from the input's size, between these bounds (48 MB at most).
 WIDTH_BITS = (16, 24)
 SLICE = 1 << 16
+#: Marked documents up to which the marks are broadcast.
+BROADCAST_ROWS = 200_000
+#: The mark of a text that repeats as a whole.
+WHOLE = bytearray(b"*")
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -103,10 +110,25 @@ def sketch(docs: DataFrame, bits: int, window: int) -> np.ndarray:
 WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("pos", pa.int32())])
 
 
-def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, t, pos): the windows of each document that also start in one with a smaller doc_id; t tells rows with one doc_id apart."""
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, t) of the rows whose whole text also is that of a smaller doc_id, as a table."""
+    keyed = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"))
+    first = keyed.groupBy("t", "u").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("t", "u", "first")
+    return saved(keyed.join(first, ["t", "u"]).filter("doc_id > first").select("doc_id", "t").distinct(), "copies")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table of narrow rows, to be broadcast if it has BROADCAST_ROWS at most, else to be joined by shuffling."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def repeated(docs: DataFrame, later: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, t, pos): the windows that also start in a document with a smaller doc_id, of all rows but the `later` copies.
+
+    t tells rows with one doc_id apart.
+    """
     spark = docs.sparkSession
-    keyed = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), "text")
+    keyed = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), "text").join(small(later), ["doc_id", "t"], "left_anti")
     bits = width_bits(docs)
     counters = spark.sparkContext.broadcast(sketch(keyed, bits, window))
 
@@ -133,17 +155,38 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.join(first, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "t", "pos")
 
 
-def _with_starts(docs: DataFrame, window: int) -> DataFrame:
-    """The documents with the starts of their repeated windows, null where there are none."""
-    starts = repeated(docs, window).groupBy("doc_id", "t").agg(F.collect_list("pos").alias("__starts")).withColumnsRenamed({"doc_id": "__id", "t": "__t"})
-    return docs.join(starts, (docs["doc_id"] == starts["__id"]) & (F.xxhash64(docs["text"]) == starts["__t"]), "left").drop("__id", "__t")
+RANGES = pa.schema([("__id", pa.int64()), ("__t", pa.int64()), ("__gone", pa.binary())])
 
 
-def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    steps = np.zeros(n + 1, np.int32)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + window, -1)
-    return np.cumsum(steps[:-1]) > 0
+def _marked(docs: DataFrame, window: int) -> DataFrame:
+    """The documents with the ranges of words that go (__gone: pairs of 32-bit starts and ends), null where all stay."""
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for starts in b.column(2):
+                at = np.sort(starts.values.to_numpy(zero_copy_only=False))
+                new = np.append(True, at[1:] > at[:-1] + window)
+                out.append(np.stack([at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)] + window], axis=1).astype("<i4").tobytes())
+            yield batch(RANGES, [b.column(0), b.column(1), out])
+
+    later = copies(docs)
+    starts = repeated(docs, later, window).groupBy("doc_id", "t").agg(F.collect_list("pos").alias("p"))
+    ranges = starts.mapInArrow(merge, "__id bigint, __t bigint, __gone binary")
+    whole = later.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.lit(WHOLE).alias("__gone"))
+    marks = small(saved(ranges.unionByName(whole), "ranges"))
+    return docs.join(marks, (docs["doc_id"] == marks["__id"]) & (F.xxhash64(docs["text"]) == marks["__t"]), "left").drop("__id", "__t")
+
+
+def _gone(n: int, ranges: bytes, window: int) -> np.ndarray:
+    """Which of n words go; a copy of a whole text goes if it has a window."""
+    out = np.zeros(n, bool)
+    if ranges == bytes(WHOLE):
+        out[:] = n >= window
+    else:
+        for a, b in np.frombuffer(ranges, "<i4").reshape(-1, 2).tolist():
+            out[a:b] = True
+    return out
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -160,18 +203,18 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
-            for key, text, starts in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2)):
+            for key, text, ranges in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
                 words = (text or b"").split()
                 removed = 0
                 n = len(words)
-                if starts.is_valid:
-                    gone = _covered(n, starts.values.to_numpy(zero_copy_only=False), window)
+                if ranges is not None:
+                    gone = _gone(n, ranges, window)
                     removed = int(gone.sum())
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 rows.append((key, n, removed, hashlib.sha256(b" ".join(words)).hexdigest()))
             yield batch(DIGESTS, [list(c) for c in zip(*rows)])
 
-    return _with_starts(docs, window).select("doc_id", "text", "__starts").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _marked(docs, window).select("doc_id", "text", "__gone").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -183,13 +226,13 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     columns = docs.columns
 
     @F.pandas_udf("string")
-    def cut(texts, starts):
+    def cut(texts, marks):
         def one(text, at):
             if at is None or text is None:
                 return text
             raw = text.encode()
             spans = [m.span() for m in WORD.finditer(raw)]
-            gone = _covered(len(spans), np.asarray(at), window).tolist()
+            gone = _gone(len(spans), bytes(at), window).tolist()
             kept, last = [], 0
             for (a, b), g in zip(spans, gone):
                 if g:
@@ -199,10 +242,10 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out = b"".join(kept)
             return out.decode() if out.strip() else None
 
-        return type(texts)([one(t, s) for t, s in zip(texts, starts)], index=texts.index, dtype=object)
+        return type(texts)([one(t, s) for t, s in zip(texts, marks)], index=texts.index, dtype=object)
 
-    joined = _with_starts(docs, window)
-    touched = F.col("__starts").isNotNull()
+    joined = _marked(docs, window)
+    touched = F.col("__gone").isNotNull()
     # only the documents with repeated windows go through Python
-    out = joined.filter(~touched).select(*columns).unionByName(joined.filter(touched).withColumn("text", cut("text", "__starts")).filter(F.col("text").isNotNull()).select(*columns))
+    out = joined.filter(~touched).select(*columns).unionByName(joined.filter(touched).withColumn("text", cut("text", "__gone")).filter(F.col("text").isNotNull()).select(*columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
