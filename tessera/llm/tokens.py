@@ -86,7 +86,7 @@ class TextEncoder:
         size = self.dtype.itemsize
         for i in range(0, len(todo), 8192):
             part = todo[i : i + 8192]
-            ids = np.array(self.tok.encode("\n".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cuts = (np.flatnonzero(self._ends[ids]) + 1) * size
             if len(cuts) == len(part):
                 flat, at = ids.tobytes(), 0
