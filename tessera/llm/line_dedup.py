@@ -54,20 +54,29 @@ def _live(rows: DataFrame, what: tuple[str, ...]) -> DataFrame:
     return rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("key")
 
 
-def _halves(line: Column, n: Column) -> Column:
-    """Four regions of a line: each half, for the line as the longer (m = n) and as the shorter (m = n + 1) of a pair.
+def _half_keys(line: Column, n: Column) -> list[Column]:
+    """Keys of the four regions of a line: each half, for the line as the longer (m = n) and as the shorter (m = n + 1) of a pair.
 
     A region from a to b of a length m is keyed by what is outside: the first
     a and the last m - b characters.
     """
-    def region(short: int, first: bool) -> Column:
+    def key(short: int, first: bool) -> Column:
+        m = n + short
+        h = F.floor(m / 2).cast("int")
+        return F.xxhash64(m, F.lit(first), F.substring(line, h + 1 - short, n) if first else F.substring(line, F.lit(1), h))
+
+    return [key(s, f) for s in (0, 1) for f in (True, False)]
+
+
+def _halves(line: Column, n: Column) -> Column:
+    """The same regions with their lengths and texts."""
+    def region(key: Column, short: int, first: bool) -> Column:
         m = n + short
         h = F.floor(m / 2).cast("int")
-        outside = F.substring(line, h + 1 - short, n) if first else F.substring(line, F.lit(1), h)
         body = F.substring(line, F.lit(1), h - short) if first else F.substring(line, h + 1, n)
-        return F.struct(F.lit(bool(short)).alias("short"), (h if first else m - h).alias("size"), F.xxhash64(m, F.lit(first), outside).alias("key"), body.alias("body"))
+        return F.struct(F.lit(bool(short)).alias("short"), (h if first else m - h).alias("size"), key.alias("key"), body.alias("body"))
 
-    return F.array(*[region(s, f) for s in (0, 1) for f in (True, False)])
+    return F.array(*[region(k, s, f) for k, (s, f) in zip(_half_keys(line, n), [(s, f) for s in (0, 1) for f in (True, False)])])
 
 
 def _narrowed(rows: DataFrame) -> DataFrame:
@@ -95,7 +104,7 @@ def near(docs: DataFrame, first: DataFrame) -> DataFrame:
     """Hashes h of the lines that have an earlier line within edit distance 1; first: (h, o) of each distinct line."""
     chars = F.char_length("line")
     long_lines = _lines(docs).filter(chars >= FUZZY_CHARS).select(F.xxhash64("line").alias("h"), "line")
-    keys = long_lines.select("h", F.explode(F.transform(_halves(F.col("line"), chars), lambda r: r["key"])).alias("key"))
+    keys = long_lines.select("h", F.explode(F.array(*_half_keys(F.col("line"), chars))).alias("key"))
     live_keys = saved(_live(keys, ("h",)), "live")
     live_lines = saved(keys.join(_side(live_keys), "key", "left_semi").select("h").distinct(), "lines")
     texts = saved(long_lines.join(_side(live_lines), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
@@ -144,7 +153,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    marks = _side(saved(marked(docs), "marks").withColumnsRenamed({"doc_id": "__id", "t": "__t", "keep": "__keep"}), BROADCAST_ROWS // 5)
+    marks = _side(saved(marked(docs), "marks").withColumnsRenamed({"doc_id": "__id", "t": "__t", "keep": "__keep"}), BROADCAST_ROWS)
     return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left")
 
 
