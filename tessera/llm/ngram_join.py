@@ -51,7 +51,7 @@ PAIRS_EACH = 256
 SEEDS = 6
 NO_BAND = 255
 #: Members of a frequent signature that are compared in one task with each other or with as many others.
-CHUNK = 1024
+CHUNK = 4096
 #: Bands there are room for: sizes beyond 10^15 are out of reach.
 MOST_BANDS = 100
 #: Bits of a parity sketch at most.
@@ -251,8 +251,9 @@ def among(rows: DataFrame, percent: int) -> DataFrame:
     """
     sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = rows.join(sizes, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "n", "parity")
+    sized = rows.join(sizes, "sig").withColumn("own", own)
+    many = sized.filter("chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = sized.filter("chunks = 1").withColumn("other", F.lit(0)).unionByName(many).select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "n", "parity")
 
     def run(table: pa.Table) -> pa.Table:
         node, root, n, own = (table.column(c).to_numpy() for c in ("node", "root", "n", "own"))
