@@ -243,8 +243,8 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
 
 
-def among(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the rows (sig, node, root, n, parity) of a signature, in different components, that sketches do not rule out.
+def among(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the rows (sig, node, root, n) of a signature, in different components, that sketches do not rule out.
 
     Members are dealt to chunks; every pair of chunks is a task of its own,
     and only pairs that may be linked leave it.
@@ -253,7 +253,8 @@ def among(rows: DataFrame, percent: int) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     sized = rows.join(sizes, "sig").withColumn("own", own)
     many = sized.filter("chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = sized.filter("chunks = 1").withColumn("other", F.lit(0)).unionByName(many).select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "n", "parity")
+    dealt = sized.filter("chunks = 1").withColumn("other", F.lit(0)).unionByName(many).select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "n")
+    dealt = dealt.join(sketches.select("node", "parity"), "node")
 
     def run(table: pa.Table) -> pa.Table:
         node, root, n, own = (table.column(c).to_numpy() for c in ("node", "root", "n", "own"))
@@ -332,11 +333,11 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     rest = saved(named.join(pairs_of, "sig").select("sig", "node", "root", "n", "frequent", F.col("sig").bitwiseAND(F.lit(255)).alias("band")), "rest")
     allowed = F.create_map(*[F.lit(x) for j in range(256) for x in (j, parts_of(j, percent)[4] if j < MOST_BANDS else 0)])
     often = rest.filter("frequent").groupBy("node", "band").agg(F.count("*").alias("c")).filter(F.col("c") > F.element_at(allowed, F.col("band").cast("int"))).select("node", "band")
-    frequent = rest.filter("frequent").join(often, ["node", "band"], "left_semi").join(sketches.select("node", "parity"), "node")
+    frequent = saved(rest.filter("frequent").join(often, ["node", "band"], "left_semi").select("sig", "node", "root", "n"), "frequent")
     rest = rest.filter("not frequent").select("sig", "node", "root", "n")
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root")) & near(F.col("x.n"), F.col("y.n"))).select(*pair(F.col("x.node"), F.col("y.node"))).distinct()
-    across = across.unionByName(among(frequent, percent)).distinct()
+    across = across.unionByName(among(frequent, sketches, percent)).distinct()
     more = linked(docs, saved(across, "across").join(star, ["a", "b"], "left_anti"), sketches, reps, width, percent)
     final = components(links.unionByName(more))
     labelled = members.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
