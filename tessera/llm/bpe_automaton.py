@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import batch, slices
+from tessera.llm.common import batch, bounded, slices
 from tessera.llm.tokens import DEFAULT_VOCABULARY, TextEncoder, encoder
 
 #: Explored transitions kept at most.
@@ -131,8 +131,9 @@ def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
         for b in slices(batches):
             ids = enc.encode(b.column(1).to_pylist())
             yield batch(SCHEMA, [b.column(0), pa.array(ids, pa.large_binary()), pa.array([enc.decode(np.frombuffer(x, enc.dtype)) for x in ids], pa.large_string())])
+        enc.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, decoded string")
+    return docs.select("doc_id", "text").transform(bounded).mapInArrow(run, "doc_id bigint, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -145,5 +146,6 @@ def digests(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
         for b in slices(batches):
             rows = [np.frombuffer(x, enc.dtype) for x in enc.encode(b.column(1).to_pylist())]
             yield batch(DIGESTS, [b.column(0), [len(x) for x in rows], [sha(" ".join(map(number.__getitem__, x.tolist()))) for x in rows], [sha(enc.decode(x)) for x in rows]])
+        enc.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(bounded).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

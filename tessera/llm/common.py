@@ -31,6 +31,14 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield b.slice(i, step)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The rows, with the session set to send Arrow batches of SLICE_BYTES at most: texts are long, and 10,000 of them are too many for a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("b")) > SLICE_BYTES:
+        conf.set(name, str(SLICE_BYTES))
+    return df
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, mix, slices
+from tessera.llm.common import batch, bounded, mix, slices
 
 #: Dimensions of the vectors; letters told apart (others share a slot by hash); letters in an n-gram.
 DIMENSIONS = 1024
@@ -121,7 +121,7 @@ def train(docs: DataFrame, label: str = "lang", dimensions: int = DIMENSIONS) ->
         return pa.table({"label": table.column("label")[:1], "vector": pa.array([sums.tolist()], pa.list_(pa.float64()))})
 
     labelled = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).cast("string").alias("label"), "text")
-    summed = labelled.mapInArrow(count, "label string, code int, n bigint").groupBy("label", "code").agg(F.sum("n").alias("n"))
+    summed = labelled.transform(bounded).mapInArrow(count, "label string, code int, n bigint").groupBy("label", "code").agg(F.sum("n").alias("n"))
     found = summed.groupBy("label").applyInArrow(bundle, "label string, vector array<double>").limit(MOST_LANGUAGES + 1).collect()
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} labels")
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], extra: tuple[str
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, list(PREDICTED)[1:])), *b.columns[2:]], schema=schema)
 
     schema = f"doc_id bigint, {prefix}lang_pred string, {prefix}score double, {prefix}margin double, {prefix}letters bigint" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select("doc_id", "text", *extra).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *extra).transform(bounded).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

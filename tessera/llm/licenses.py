@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, saved, slices
+from tessera.llm.common import batch, bounded, saved, slices
 
 #: Licence identifiers and statements as they are commonly written.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -63,7 +63,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
                 df.update(VOCABULARY.intersection(words(text or "")))
         yield batch(pa.schema([("w", pa.string()), ("n", pa.int64())]), [["", *df], [n, *df.values()]])
 
-    found = {r["w"]: r["n"] for r in docs.select("text").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    found = {r["w"]: r["n"] for r in docs.select("text").transform(bounded).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     return found.pop("", 0), found
 
 
@@ -128,7 +128,7 @@ def scan(docs: DataFrame, path: str = "path", keys: tuple[str, ...] = ()) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])), *b.columns[2:]], schema=pa.schema(fields))
 
     extra = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    found = saved(docs.select(F.col(path).alias("path"), "text", *keys).mapInArrow(run, "path string, own_license string, score double, kind string" + extra), "scanned")
+    found = saved(docs.select(F.col(path).alias("path"), "text", *keys).transform(bounded).mapInArrow(run, "path string, own_license string, score double, kind string" + extra), "scanned")
     parts = F.split("path", "/", -1)
     # a directory and all above it, nearest first: as many rows as the path is deep
     ancestors = F.when(F.size(parts) > 1, F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))).otherwise(F.array().cast("array<string>"))

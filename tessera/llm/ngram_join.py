@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_i64, batch, mix, partitions, rolling, saved, slices, word_hashes
+from tessera.llm.common import as_i64, batch, bounded, mix, partitions, rolling, saved, slices, word_hashes
 from tessera.llm.components import components
 
 #: A band's largest size over its smallest, as a power of the size ratio of similar sets.
@@ -163,7 +163,7 @@ def membership(docs: DataFrame, width: int) -> DataFrame:
                 rows.append((len(s), _signed(set_hash(s)) if len(s) else None))
             yield batch(MEMBERS, [b.column(0), b.column(1), [r[0] for r in rows], [r[1] for r in rows]])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id bigint, t bigint, n bigint, node bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").transform(bounded).mapInArrow(run, "doc_id bigint, t bigint, n bigint, node bigint")
 
 
 def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -189,7 +189,7 @@ def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
             if sigs:
                 yield batch(SIGNATURES, [as_i64(np.concatenate(sigs)), as_i64(np.concatenate(nodes))])
 
-    return docs.select("text").mapInArrow(run, "sig bigint, node bigint")
+    return docs.select("text").transform(bounded).mapInArrow(run, "sig bigint, node bigint")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def sketches_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(x, width) for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield batch(SKETCHES, [b.column(0), [len(x) for x in sets], [parity(x) for x in sets]])
 
-    return _once(_texts(docs, wanted).mapInArrow(run, "node bigint, n bigint, parity binary"))
+    return _once(_texts(docs, wanted).transform(bounded).mapInArrow(run, "node bigint, n bigint, parity binary"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -227,7 +227,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), np.concatenate(sets).view(np.int64))
             yield batch(SETS, [b.column(0), lists])
 
-    return _once(_texts(docs, wanted).mapInArrow(run, "node bigint, set array<bigint>"))
+    return _once(_texts(docs, wanted).transform(bounded).mapInArrow(run, "node bigint, set array<bigint>"))
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -240,7 +240,7 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=PAIRS).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("parity").alias(f"p{x}"), F.col("n").alias(f"n{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb").transform(bounded).mapInArrow(run, "a bigint, b bigint")
 
 
 def among(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:

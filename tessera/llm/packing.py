@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, saved, slices
+from tessera.llm.common import batch, bounded, saved, slices
 from tessera.llm.tokens import DEFAULT_VOCABULARY, encoder
 
 #: Pieces in a packing group: padding is at most a few windows a group, memory a few megabytes.
@@ -85,8 +85,9 @@ def pieces(docs: DataFrame, size: int = 4096, end_id: int = 2, vocabulary: str =
                 flat, n = memoryview(ids).cast("B"), len(ids)
                 rows += [(key, a, min(size, n - a), zlib.crc32(flat[4 * a : 4 * (a + size)]), n) for a in range(0, n, size)]
             yield batch(PIECES, [list(c) for c in zip(*rows)] if rows else [[]] * 5)
+        enc.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return docs.select("doc_id", "text").transform(bounded).mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def pack(docs: DataFrame, size: int = 4096, vocabulary: str = DEFAULT_VOCABULARY, group: int = GROUP) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_i64, batch, mix, rolling, saved, slices, word_hashes
+from tessera.llm.common import as_i64, batch, bounded, mix, rolling, saved, slices, word_hashes
 
 WINDOW = 50
 RUN = 8
@@ -99,7 +99,7 @@ def sketch(docs: DataFrame, bits: int, window: int) -> np.ndarray:
                 total[: len(part)] = np.minimum(total[: len(part)] + part, 2)
         yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int64()), "c": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "k bigint, c binary")
+    parts = docs.select("text").transform(bounded).mapInArrow(count, "k bigint, c binary")
     merged = np.zeros(max(DEPTH << bits, SLICE), np.uint8)
     for r in parts.groupBy("k").applyInArrow(merge, "k bigint, c binary").collect():
         part = np.frombuffer(zlib.decompress(bytes(r["c"])), np.uint8)[: len(merged) - r["k"]]
@@ -149,7 +149,7 @@ def repeated(docs: DataFrame, later: DataFrame, window: int = WINDOW) -> DataFra
                 cols = [np.concatenate(c) for c in zip(*out)]
                 yield batch(WINDOWS, [as_i64(cols[0]), as_i64(cols[1]), *map(pa.array, cols[2:])])
 
-    found = saved(keyed.mapInArrow(candidates, "h1 bigint, h2 bigint, doc_id bigint, t bigint, pos int"), "windows")
+    found = saved(keyed.transform(bounded).mapInArrow(candidates, "h1 bigint, h2 bigint, doc_id bigint, t bigint, pos int"), "windows")
     # the first document of a window: sums in each task first, so a passage in very many documents is no hot spot
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
     return found.join(first, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "t", "pos")
@@ -172,7 +172,7 @@ def _marked(docs: DataFrame, window: int) -> DataFrame:
 
     later = copies(docs)
     starts = repeated(docs, later, window).groupBy("doc_id", "t").agg(F.collect_list("pos").alias("p"))
-    ranges = starts.mapInArrow(merge, "__id bigint, __t bigint, __gone binary")
+    ranges = starts.transform(bounded).mapInArrow(merge, "__id bigint, __t bigint, __gone binary")
     whole = later.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.lit(WHOLE).alias("__gone"))
     marks = small(saved(ranges.unionByName(whole), "ranges"))
     return docs.join(marks, (docs["doc_id"] == marks["__id"]) & (F.xxhash64(docs["text"]) == marks["__t"]), "left").drop("__id", "__t")
@@ -214,7 +214,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((key, n, removed, hashlib.sha256(b" ".join(words)).hexdigest()))
             yield batch(DIGESTS, [list(c) for c in zip(*rows)])
 
-    return _marked(docs, window).select("doc_id", "text", "__gone").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _marked(docs, window).select("doc_id", "text", "__gone").transform(bounded).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, mix, partitions, rolling, slices
+from tessera.llm.common import batch, bounded, mix, partitions, rolling, slices
 from tessera.llm.substring_dedup import sliding_min
 
 K = 16
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in slices(batches):
             yield batch(schema, [b.column(0), [as_text(anchors(t or "")) for t in b.column(1).to_pylist()]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fingerprint string")
+    return docs.select("doc_id", "text").transform(bounded).mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
 #: What stands for a null doc_id in the order of documents: such rows come first.
@@ -119,7 +119,7 @@ def edited(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = rows.agg(F.min("key"), F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n)).first()
     if bounds[0] is None:
-        return docs.select("doc_id", "text").limit(0).mapInArrow(lambda batches: iter(()), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        return docs.select("doc_id", "text").limit(0).transform(bounded).mapInArrow(lambda batches: iter(()), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     starts = sorted({bounds[0], *bounds[1]})
     literal = F.array(*[F.lit(s).cast("bigint") for s in starts])
     own = F.size(F.filter(literal, lambda s: s <= F.col("key"))) - 1
@@ -146,4 +146,4 @@ def edited(docs: DataFrame) -> DataFrame:
                 yield batch(OUT, [list(c) for c in zip(*out)])
 
     ordered = dealt.repartition(n, "range").sortWithinPartitions("range", "after", "key", "text")
-    return ordered.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.transform(bounded).mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, partitions, slices
+from tessera.llm.common import batch, bounded, partitions, slices
 from tessera.llm.range_coder import BLOCK, pack_segment, unpack_segment
 from tessera.llm.tokens import DEFAULT_VOCABULARY, encoder
 from tessera.sources.scratch import scratch_dir
@@ -67,10 +67,11 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = DEFAULT
                     yield close()
         if rows:
             yield close()
+        enc.forget()
 
     spark = docs.sparkSession
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part bigint, seq bigint, before bigint, n_ids bigint, payload binary").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    ordered.transform(bounded).mapInArrow(run, "part bigint, seq bigint, before bigint, n_ids bigint, payload binary").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def _decoded(spark: SparkSession, path: str, schema: pa.Schema, last) -> DataFrame:
@@ -89,7 +90,7 @@ def _decoded(spark: SparkSession, path: str, schema: pa.Schema, last) -> DataFra
                 keys = pa.array(doc_ids, mask=doc_ids == NULL_ID)
                 yield batch(schema, [keys, base[part] + before + cuts[:-1], counts, last([flat[4 * a : 4 * z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())])])
 
-    return files.select("part", "before", "payload").mapInArrow(run, ", ".join(f"{f.name} {'binary' if f.name == 'ids' else 'bigint'}" for f in schema))
+    return files.select("part", "before", "payload").transform(bounded).mapInArrow(run, ", ".join(f"{f.name} {'binary' if f.name == 'ids' else 'bigint'}" for f in schema))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -24,7 +24,10 @@ _LETTERS = "a-zß-öø-įıĲ-ſ"
 PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-įı-ſ]*")
 WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
 #: Words remembered at most; beyond that the memory starts anew.
-MEMORY = 500_000
+MEMORY = 250_000
+#: Slots that tell words met before, and words after which they start anew: a word that comes once is not remembered.
+SLOTS = 1 << 22
+MET = 1 << 20
 
 
 def vocabulary_path(name: str) -> str:
@@ -70,32 +73,49 @@ class TextEncoder:
         self._ends[[i for t, i in self.vocab.items() if t.endswith(self.suffix)]] = True
         self._byte = byte_letters()
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self._known: dict[str, bytes] = {}
+        self.forget()
         self.engine = engine(self) if engine else None
 
     def _pack(self, ids: Iterable[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
+    def forget(self) -> None:
+        """Drop the remembered words, as at the end of a task: the worker process may go on to other work."""
+        self._known: dict[str, bytes] = {}
+        self._met, self._left = bytearray(SLOTS), MET
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of distinct words; those met before are remembered."""
         todo = list(words)
+        out: dict[str, bytes] = {}
         if self.engine:
             letters = self._byte
             for w in todo:
-                self._known[w] = self._pack(self.engine.encode("".join([letters[b] for b in w.encode()])))
-            return
-        size = self.dtype.itemsize
-        for i in range(0, len(todo), 8192):
-            part = todo[i : i + 8192]
-            ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            cuts = (np.flatnonzero(self._ends[ids]) + 1) * size
-            if len(cuts) == len(part):
-                flat, at = ids.tobytes(), 0
-                for w, end in zip(part, cuts.tolist()):
-                    self._known[w] = flat[at:end]
-                    at = end
-            else:  # a word that is not one unit for the library
-                for w in part:
-                    self._known[w] = self._pack(self.tok.encode(w, add_special_tokens=False).ids)
+                out[w] = self._pack(self.engine.encode("".join([letters[b] for b in w.encode()])))
+        else:
+            size = self.dtype.itemsize
+            for i in range(0, len(todo), 8192):
+                part = todo[i : i + 8192]
+                ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+                cuts = (np.flatnonzero(self._ends[ids]) + 1) * size
+                if len(cuts) == len(part):
+                    flat, at = ids.tobytes(), 0
+                    for w, end in zip(part, cuts.tolist()):
+                        out[w] = flat[at:end]
+                        at = end
+                else:  # a word that is not one unit for the library
+                    for w in part:
+                        out[w] = self._pack(self.tok.encode(w, add_special_tokens=False).ids)
+        if len(todo) > self._left:
+            self._met, self._left = bytearray(SLOTS), MET
+        self._left -= len(todo)
+        met = self._met
+        for w in todo:
+            slot = hash(w) & (SLOTS - 1)
+            if met[slot]:
+                self._known[w] = out[w]
+            met[slot] = 1
+        return out
 
     def _odd(self, text: str) -> bytes:
         """Ids of a text with unusual characters or special tokens."""
@@ -131,9 +151,10 @@ class TextEncoder:
                 out.append(b"")
                 later.append((i, words))
         if later:
-            self._learn({w for _, words in later for w in words if w not in self._known})
+            new = self._learn({w for _, words in later for w in words if w not in self._known})
+            every = self._known | new
             for i, words in later:
-                out[i] = b"".join(map(known, words))
+                out[i] = b"".join(map(every.__getitem__, words))
         return out
 
     def decode(self, ids: np.ndarray) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, saved
+from tessera.llm.common import batch, bounded, saved
 
 CANDIDATES = 8192
 QUERIES = 1024
@@ -68,7 +68,7 @@ def quantized(vectors: DataFrame) -> DataFrame:
                     rows.append(x.astype("<i8").tobytes())
             yield batch(pa.schema([("vec_id", pa.int64()), ("v", pa.binary())]), [ids, rows])
 
-    return vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, "vec_id bigint, v binary")
+    return vectors.select(F.col("vec_id").cast("bigint"), "embedding").transform(bounded).mapInArrow(run, "vec_id bigint, v binary")
 
 
 def _matrix(packed: list[bytes], width: int) -> np.ndarray:
