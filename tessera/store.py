@@ -236,7 +236,7 @@ class ArrayStore:
             dst = tuple(slice(max(s - x, 0), min(b - x, e)) for s, b, x, e in zip(start, stop, lo, ext, strict=True))
             whole = all(d.start == 0 and d.stop == e for d, e in zip(dst, ext, strict=True))
             (full if whole else part)[sum(x * s for x, s in zip(c, st, strict=True))] = (ext, src, dst)
-        rows = [(o, to_spark(block[src].reshape(-1), t)) for o, (_, src, _) in full.items()]
+        rows = [(o, to_spark(np.asarray(block[src], block.dtype).reshape(-1), t)) for o, (_, src, _) in full.items()]
         if part:
             old = self._dense(a, axes).filter(F.col("chunk_ord").isin(list(part)))
             for o, vals in old.collect():
