@@ -140,9 +140,9 @@ class ArrayStore:
     # -- attributes --------------------------------------------------------
 
     def set_attribute(self, name: str, key: str, value: Attr | object) -> None:
-        a = self._meta(name)
+        self._meta(name)
         self._touch()
-        a.attrs[key] = Attr.of(value).to_json()
+        self._meta(name).attrs[key] = Attr.of(value).to_json()
 
     def get_attribute(self, name: str, key: str) -> Attr | None:
         x = self._meta(name).attrs.get(key)
