@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -446,6 +447,32 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def wrapped(text, prefix=""):
+    return "\n".join(prefix + x for x in textwrap.wrap(text, 76))
+
+
+def test_license_blocks(spark):
+    """Licences over several lines, as files have them; several in one file; bodies of which no line is near."""
+    body = {name: max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name, _ in licenses.TEMPLATES}
+    apache = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and "WARRANTIES" in t and len(t) < 900)
+    code = "\n".join("value = compute(alpha, beta)  # line %d of a module" % i for i in range(60))
+    mit = "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrapped(body["MIT"])
+    rows = [
+        ("m/LICENSE", mit), ("m/src/x", code), ("two/LICENSE", mit + "\n\n" + wrapped(apache)), ("two/y", "plain"), ("h/z", wrapped(apache, "# ") + "\n" + code),
+        ("b3/LICENSE", "Copyright 2021, X. All rights reserved.\n" + wrapped(body["BSD-3-Clause"])), ("b2/LICENSE", wrapped(body["BSD-2-Clause"])), ("i/LICENSE", wrapped(body["ISC"])),
+        ("whole/COPYING", body["GPL-3.0"]), ("whole/LICENSE", mit + "\n" + body["Apache-2.0"]), ("s/q", "// SPDX-License-Identifier: MIT OR Apache-2.0\n" + code), ("n/x", code), ("gnu/x", wrapped(next(t for n, t in licenses.TEMPLATES if n == "LGPL-2.1"), " * ") + "\n" + code),
+    ]
+    rows += [(f"prose/{i}", prose(random.Random(i), 300) + "\nthe use of this software and the license of the work") for i in range(40)]
+    got = {r["path"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    of = lambda p: (sorted(got[p]["own_licenses"]), got[p]["kind"])
+    assert of("m/LICENSE") == (["MIT"], "file") and (got["m/src/x"]["license"], got["m/src/x"]["licenses"], got["m/src/x"]["inherited_from"]) == ("MIT", ["MIT"], "m")
+    assert of("two/LICENSE") == (["Apache-2.0", "MIT"], "file") and sorted(got["two/y"]["licenses"]) == ["Apache-2.0", "MIT"]
+    assert of("h/z") == (["Apache-2.0"], "header") and of("b3/LICENSE") == (["BSD-3-Clause"], "file") and of("b2/LICENSE") == (["BSD-2-Clause"], "file") and of("i/LICENSE") == (["ISC"], "file")
+    assert got["whole/COPYING"]["own_license"] == "GPL-3.0" and got["whole/COPYING"]["kind"] == "file" and {"MIT", "Apache-2.0"} <= {*got["whole/LICENSE"]["own_licenses"]}
+    assert of("s/q") == (["Apache-2.0", "MIT"], "header") and of("gnu/x") == (["LGPL-2.1"], "header")
+    assert all(got[p]["own_license"] is None and got[p]["licenses"] == [] for p in ("n/x", *(f"prose/{i}" for i in range(40))))
+
+
 def test_pipeline_stages(spark, mixed):
     import corpus_pipeline
 
