@@ -193,10 +193,10 @@ def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of one document (doc_id, t) for each wanted node."""
-    wanted = saved(wanted, "wanted")
+    """(node, text) of one document (doc_id, t) for each wanted node; a null doc_id is found as any other."""
+    wanted = saved(wanted, "wanted").withColumnsRenamed({"doc_id": "__id", "t": "__t"})
     keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    return keyed.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["doc_id", "t"]).select("node", "text")
+    return keyed.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))).select("node", "text")
 
 
 def _once(rows: DataFrame) -> DataFrame:
@@ -313,7 +313,8 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     by_sig = Window.partitionBy("sig")
     shared = rows.withColumn("lo", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig)).filter("lo < hi").select("sig", "node")
     shared = saved(shared.distinct(), "shared")
-    sizes = members.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "t")).alias("rep"))
+    # a row with a doc_id stands for a set where there is one: nulls come last
+    sizes = members.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("rep"))
     # the size filter drops pairs that no overlap could link
     degrees = shared.groupBy("node").agg(F.count("*").alias("deg")).join(sizes, "node")
     live = saved(shared.join(degrees.select("node", "deg", "n"), "node"), "live")

@@ -310,6 +310,23 @@ def test_ngram_join(spark, mixed, width, percent):
     assert ngram_join.classes(table(spark, []), width, percent).count() == 0
 
 
+def test_ngram_join_null_ids(spark):
+    """Rows with a null doc_id link others: as copies of a set that has near copies, and as the only row of a set between two others."""
+    rnd, last = random.Random(2), 10**9
+    words = [prose(rnd, 100).split() for _ in range(4)]
+    edit = lambda w, *at: " ".join(f"e{i}" if i in at else x for i, x in enumerate(w))
+    rows = [(None, edit(words[0])), (1, edit(words[0])), (2, edit(words[0], 50)), (None, edit(words[0]))]
+    rows += [(3, edit(words[1], 10)), (None, edit(words[1], 10, 99)), (4, edit(words[1], 10, 99, 0)), (5, edit(words[1], 0, 10, 60, 99))]
+    rows += [(None, edit(words[2])), (None, edit(words[2], 1)), (6, edit(words[3]))]
+    sets = [(last if k is None else k, s) for k, s in brute_sets(rows, 4)]
+    want = brute_classes(sets, 85)
+    got = ngram_join.classes(table(spark, rows), 4, 85).collect()
+    assert sorted((last if r["doc_id"] is None else r["doc_id"], r["n_shingles"], last if r["component_id"] is None else r["component_id"]) for r in got) == want
+    assert {c for k, _, c in want if k in (1, 2)} == {1}
+    kept = ngram_join.keep_first(table(spark, rows), 4, 85).collect()
+    assert sorted(last if r["doc_id"] is None else r["doc_id"] for r in kept) == sorted(k for k, _, c in want if k == c or k == last)
+
+
 def test_signatures_meet():
     """Any two sets at the threshold share a signature, for sizes from 1 on."""
     rng = np.random.default_rng(4)
