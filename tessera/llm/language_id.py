@@ -13,6 +13,7 @@ n-gram and language.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ GRAM = 3
 #: Labels told apart; more than these is an error, not a sample.
 MOST_LANGUAGES = 2000
 UNDETERMINED = "und"
-PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("letters", pa.int64())])
+PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("letters", pa.int64()), ("evidence", pa.float64())])
 
 
 def _letter_table() -> np.ndarray:
@@ -128,8 +129,33 @@ def train(docs: DataFrame, label: str = "lang", dimensions: int = DIMENSIONS) ->
     return {r["label"]: np.array(r["vector"]) for r in found}
 
 
+class Profiler:
+    """Profiles of texts; vectors of n-grams are made when first seen."""
+
+    def __init__(self, dimensions: int):
+        self.row_of = np.full(ALPHABET**GRAM, -1, np.int32)  # n-gram code -> row of its vector
+        self.vectors, self.used = np.empty((1024, dimensions), np.float32), 0
+
+    def __call__(self, code: np.ndarray) -> tuple[np.ndarray, float]:
+        """(profile, evidence): evidence is the number of n-grams that count, where repeated ones are no further evidence."""
+        codes, n = np.unique(code, return_counts=True)
+        rows = self.row_of[codes]
+        if rows.min() < 0:
+            new = codes[rows < 0]
+            if self.used + len(new) > 16384:  # bounded memory: start anew
+                self.row_of[:], self.used, new = -1, 0, codes
+            while self.used + len(new) > len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+            self.vectors[self.used : self.used + len(new)] = gram_vectors(new, self.vectors.shape[1])
+            self.row_of[new] = np.arange(self.used, self.used + len(new))
+            self.used += len(new)
+            rows = self.row_of[codes]
+        n = n.astype(np.float32)
+        return n @ self.vectors[rows], float(n.sum()) ** 2 / float(n @ n)
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], extra: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
-    """(doc_id, lang_pred, score, margin, letters, *extra) of every document; the prefix sets the middle four apart from extra columns.
+    """(doc_id, lang_pred, score, margin, letters, evidence, *extra) of every document; the prefix sets the middle five apart from extra columns.
 
     score is the cosine with the chosen prototype, cut to 0..1; margin is its
     lead over the next one.  A null text, one without letters, and any text
@@ -143,37 +169,24 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], extra: tuple[str
     fields = [docs.schema[c] for c in extra]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row_of = np.full(ALPHABET**GRAM, -1, np.int32)  # n-gram code -> row of its vector, made when first seen
-        vectors, used = np.empty((1024, matrix.shape[1]), np.float32), 0
+        profiler = Profiler(matrix.shape[1])
         for b in slices(batches):
             out = []
             for text in b.column(1).to_pylist():
                 code, letters = grams(text or "")
                 if not letters or not names:
-                    out.append((UNDETERMINED, 0.0, 0.0, letters))
+                    out.append((UNDETERMINED, 0.0, 0.0, letters, 0.0))
                     continue
-                codes, n = np.unique(code, return_counts=True)
-                rows = row_of[codes]
-                if rows.min() < 0:
-                    new = codes[rows < 0]
-                    if used + len(new) > 16384:  # bounded memory: start anew
-                        row_of[:], used, new = -1, 0, codes
-                    while used + len(new) > len(vectors):
-                        vectors = np.concatenate([vectors, np.empty_like(vectors)])
-                    vectors[used : used + len(new)] = gram_vectors(new, matrix.shape[1])
-                    row_of[new] = np.arange(used, used + len(new))
-                    used += len(new)
-                    rows = row_of[codes]
-                profile = n.astype(np.float32) @ vectors[rows]
+                profile, evidence = profiler(code)
                 size = float(np.sqrt(profile @ profile))
                 cos = matrix @ profile / size if size else np.zeros(len(names), np.float32)
                 best = int(np.argmax(cos))
                 rest = np.delete(cos, best)
-                out.append((names[best], float(min(1.0, max(0.0, cos[best]))), float(cos[best] - rest.max()) if len(rest) else 1.0, letters))
+                out.append((names[best], float(min(1.0, max(0.0, cos[best]))), float(cos[best] - rest.max()) if len(rest) else 1.0, letters, evidence))
             schema = pa.schema([PREDICTED[0], *(pa.field(prefix + f.name, f.type) for f in list(PREDICTED)[1:]), *(b.schema.field(2 + k) for k in range(len(extra)))])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, list(PREDICTED)[1:])), *b.columns[2:]], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, list(PREDICTED)[1:])), *b.columns[2:]], schema=schema)
 
-    schema = f"doc_id bigint, {prefix}lang_pred string, {prefix}score double, {prefix}margin double, {prefix}letters bigint" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema = f"doc_id bigint, {prefix}lang_pred string, {prefix}score double, {prefix}margin double, {prefix}letters bigint, {prefix}evidence double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
     return docs.select("doc_id", "text", *extra).transform(bounded).mapInArrow(run, schema)
 
 
@@ -194,16 +207,103 @@ def identify(docs: DataFrame) -> DataFrame:
 ACCEPT_EVIDENCE = 40
 ACCEPT_SCORE = 0.15
 ACCEPT_LETTERS = 0.25
+#: Share of labelled rows that may lie below their language's bar, share of rows in a language left out that may lie above
+#: it, and how far a bar lies below the lowest rows at least: the vectors give cosines to about 0.03, and three make up a sum.
+LOST = 0.01
+FOREIGN = 0.01
+SLACK = 0.1
+#: Classes of evidence, two to a doubling.
+CLASSES = 80
+
+
+def bars(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> list[tuple[str, int, float]]:
+    """(label, class of evidence, bar): score + margin from which a text is in the language.
+
+    Every labelled row the prototypes were trained on is held against them
+    twice: without itself, which tells how near texts in the language are, and
+    without its whole language, which tells how near texts in an unknown one
+    are.  The bar lies halfway between, or where they overlap below the
+    former; rows of the classes beside count too, as few of them may be of a
+    length.  A row counts for the label it is nearest to, as texts are told by
+    that; one that is nearest to another label than its own tells nothing of
+    unknown languages.  A class without rows has the bar of the one below; classes below
+    all rows of a language have none.
+    """
+    names = sorted(prototypes)
+    if not names:
+        return []
+    matrix = np.stack([prototypes[n] for n in names])
+    squares = (matrix * matrix).sum(axis=1)
+    schema = pa.schema([("label", pa.string()), ("class", pa.int32()), ("value", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiler = Profiler(matrix.shape[1])
+        at = {n: i for i, n in enumerate(names)}
+        found: Counter = Counter()
+
+        def spill() -> Iterator[pa.RecordBatch]:
+            keys = list(found)
+            yield batch(schema, [[k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys], [found[k] for k in keys]])
+            found.clear()
+
+        for b in slices(batches):
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                code, letters = grams(text)
+                if not letters:
+                    continue
+                profile, evidence = profiler(code)
+                profile = profile.astype(np.float64)
+                square, i = float(profile @ profile), at[name]
+                dots, norms = matrix @ profile, squares.copy()
+                norms[i] -= 2 * dots[i] - square
+                dots[i] -= square
+                if not square or norms[i] <= 1e-6 * squares[i]:
+                    continue  # the only text of its language
+                cos = dots / np.sqrt(np.where(norms > 0, norms, 1) * square)
+                grade = min(CLASSES - 1, int(2 * np.log2(evidence)))
+                best = int(np.argmax(cos))
+                lead = cos[best] - np.delete(cos, best).max() if len(cos) > 1 else 1.0
+                found[names[best], grade, round(100 * (cos[best] + lead))] += 1
+                if best == i and len(cos) > 1:  # the null label: a language that is left out
+                    second, first = np.sort(np.append(np.delete(cos, i), 0.0 if len(cos) == 2 else -1.0))[-2:]
+                    found[None, grade, round(100 * (2 * first - second))] += 1
+            if len(found) > 50_000:
+                yield from spill()
+        yield from spill()
+
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("label"), "text")
+    counted = labelled.transform(bounded).mapInArrow(run, "label string, class int, value int, n bigint").groupBy("label", "class", "value").agg(F.sum("n").alias("n"))
+    rows = counted.groupBy("label", "class").agg(F.percentile("value", F.lit(LOST), F.col("n")).alias("low"), F.percentile("value", F.lit(1 - FOREIGN), F.col("n")).alias("high")).collect()
+    foreign = {r["class"]: r["high"] / 100 for r in rows if r["label"] is None}
+    own = {(r["label"], r["class"]): r["low"] / 100 for r in rows if r["label"] is not None}
+    out = []
+    for name in names:
+        bar = None
+        for grade in range(CLASSES):
+            beside = range(grade - 1, grade + 2)
+            if (name, grade) in own:
+                low = min(own[name, g] for g in beside if (name, g) in own)
+                high = max((foreign[g] for g in beside if g in foreign), default=low)
+                bar = min(low - SLACK, (low + high) / 2)
+            if bar is not None:
+                out.append((name, grade, float(bar)))
+    return out
 
 
 def accept(docs: DataFrame) -> DataFrame:
     """The documents in a known language, all columns kept; `lang` is what was predicted.
 
     Rejected: no text or no letter, too few letters among the characters, or
-    no prototype near.
+    no prototype near, by the bar of the nearest language for texts of as much
+    evidence.
     """
-    prototypes = train(docs.filter(~held_out()))
+    spark = docs.sparkSession
+    training = docs.filter(~held_out())
+    prototypes = train(training)
     columns = docs.columns
     found = predict(docs, prototypes, tuple(c for c in columns if c != "doc_id"), "__")
-    good = (F.col("__lang_pred") != UNDETERMINED) & ((F.col("__score") >= ACCEPT_SCORE) | (F.col("__letters") < ACCEPT_EVIDENCE)) & (F.col("__letters") >= ACCEPT_LETTERS * F.length(F.regexp_replace("text", r"\s+", "")))
+    held = spark.createDataFrame(bars(training, prototypes), "__lang_pred string, __class int, __bar double")
+    found = found.withColumn("__class", F.least(F.lit(CLASSES - 1), F.floor(2 * F.log2(F.greatest("__evidence", F.lit(1.0)))).cast("int"))).join(F.broadcast(held), ["__lang_pred", "__class"], "left")
+    near = F.col("__bar").isNull() | (F.col("__score") + F.col("__margin") >= F.col("__bar"))
+    good = (F.col("__lang_pred") != UNDETERMINED) & near & ((F.col("__score") >= ACCEPT_SCORE) | (F.col("__letters") < ACCEPT_EVIDENCE)) & (F.col("__letters") >= ACCEPT_LETTERS * F.length(F.regexp_replace("text", r"\s+", "")))
     return found.filter(good).select(*[F.col("__lang_pred").alias(c) if c == "lang" else F.col(c) for c in columns])

@@ -199,6 +199,20 @@ def test_language_id(spark):
     assert language_id.identify(table(spark, [])).count() == 0
 
 
+def test_unlearned_language(spark):
+    """Texts in a language without labelled rows are rejected, all labelled ones stay; languages share letters and some syllables."""
+    rnd = random.Random(11)
+    sounds = [a + b for a in "bdfgklmnprstv" for b in "aeiou"]
+    syllables = {k: rnd.sample(sounds, 30) for k in ("aa", "bb", "cc", "dd", "no")}
+    text = lambda k, n: " ".join("".join(rnd.choice(syllables[k]) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(k, rnd.choice([10, 40, 150])), k) for i in range(320) for k in ["aa", "bb", "cc", "dd"][i % 4 : i % 4 + 1]]
+    rows += [(1000 + i, text("no", 150), None) for i in range(20)]
+    kept = {r["doc_id"] for r in language_id.accept(table(spark, rows)).collect()}
+    assert {r[0] for r in rows if r[2]} <= kept and not {r[0] for r in rows if not r[2]} & kept
+    scores = [r["score"] for r in language_id.identify(table(spark, rows)).collect() if r["doc_id"] >= 1000]
+    assert min(scores) > language_id.ACCEPT_SCORE  # a fixed bar on the cosine lets them through
+
+
 def test_profiles_are_cosines_of_bundles():
     base = language_id.letter_vectors()
     code, n = language_id.grams("ab")
