@@ -69,6 +69,41 @@ def pending(spark, sf_dir, s):
     s.write_cells("value", cells.filter("d0 between 250 and 749").withColumn("v", -F.col("v")))
 
 
+@topic
+def pending_whole(spark, sf_dir, s):
+    """The lower half, flushed, and the middle half over it, not flushed."""
+    ev = table(spark, sf_dir, "events")
+    n = extent(ev, "event_id")
+    cells = ev.select(F.col("event_id").alias("d0"), F.col("value").alias("v"))
+    s.define_array("value", "float64", [n], [1000], fill=Fill("Float", -1.0))
+    s.write_cells("value", cells.filter(F.col("d0") < n // 2))
+    s.flush()
+    s.write_cells("value", cells.filter((F.col("d0") >= n // 4) & (F.col("d0") < n * 3 // 4)).withColumn("v", -F.col("v")))
+
+
+@topic
+def patched_whole(spark, sf_dir, s):
+    """Whole tables, then patches whose extent grows with the table's: rmw, cross and apart of events, row and inner of embeddings."""
+    ev, em = table(spark, sf_dir, "events"), table(spark, sf_dir, "embeddings")
+    n, rows = extent(ev, "event_id"), extent(em, "vec_id")
+    cells = ev.select(F.col("event_id").alias("d0"), F.col("value").alias("v"))
+    matrix = em.select(F.col("vec_id").alias("d0"), F.posexplode("embedding").alias("p", "v")).select("d0", F.col("p").cast("bigint").alias("d1"), "v")
+    for name in ("rmw", "cross", "apart"):
+        s.define_array(name, "float64", [n], [1000], fill=Fill("Float", -999.0))
+        s.write_cells(name, cells.filter("(d0 div 1000) % 2 = 0") if name == "rmw" else cells)
+    for name in ("row", "inner"):
+        s.define_array(name, "float32", [rows, 64], [128, 16])
+        s.write_cells(name, matrix)
+    s.flush()
+    s.write_cells("rmw", cells.filter((F.col("d0") >= n // 4) & (F.col("d0") < n * 3 // 4)).withColumn("v", F.col("v") * 10))
+    s.write_cells("cross", cells.filter((F.col("d0") >= n // 10) & (F.col("d0") < n * 9 // 10)).withColumn("v", F.lit(1.0)))
+    s.write_cells("cross", cells.filter((F.col("d0") >= n // 3) & (F.col("d0") < n * 2 // 3)).withColumn("v", F.lit(2.0)))
+    s.write_cells("apart", cells.filter("(d0 div 1000) % 3 = 1 and d0 % 1000 between 200 and 799").withColumn("v", -F.col("v")))
+    s.write_cells("row", matrix.filter("d0 % 50 = 2").withColumn("v", F.lit(7.0).cast("float")))
+    s.write_cells("inner", matrix.filter((F.col("d0") >= rows // 4) & (F.col("d0") < rows * 3 // 4) & F.col("d1").between(14, 49)).withColumn("v", F.lit(5.0).cast("float")))
+    s.flush()
+
+
 @topic
 def vectors(spark, sf_dir, s):
     """embeddings as a matrix with ragged last row chunks; then a row and an inner patch."""

@@ -89,6 +89,17 @@ _add("layered_append_array", _read("orders", "price", [900], [10**12]), f"SELECT
 _add("pending_read_your_writes", _read("pending", "value", [0], [1000]), "SELECT event_id AS d0, CASE WHEN event_id BETWEEN 250 AND 749 THEN -value WHEN event_id < 500 THEN value ELSE -1.0 END AS v FROM events WHERE event_id < 1000")
 
 
+# the same over whole arrays: patches grow with the extent, and every cell is read, so damage outside a patch is seen
+EVENTS = "events, (SELECT max(event_id) + 1 AS n FROM events) x"
+VECTORS = f"({CELL2}) c, (SELECT max(vec_id) + 1 AS n FROM embeddings) x"
+_add("pending_read_whole", _read("pending_whole", "value"), f"SELECT event_id AS d0, CASE WHEN event_id >= n // 4 AND event_id < n * 3 // 4 THEN -value WHEN event_id < n // 2 THEN value ELSE -1.0 END AS v FROM {EVENTS}")
+_add("write_partial_rmw_whole", _read("patched_whole", "rmw"), f"SELECT event_id AS d0, CASE WHEN event_id >= n // 4 AND event_id < n * 3 // 4 THEN value * 10 WHEN (event_id // 1000) % 2 = 0 THEN value ELSE -999.0 END AS v FROM {EVENTS}")
+_add("write_cross_chunk_whole", _read("patched_whole", "cross"), f"SELECT event_id AS d0, CASE WHEN event_id >= n // 3 AND event_id < n * 2 // 3 THEN 2.0 WHEN event_id >= n // 10 AND event_id < n * 9 // 10 THEN 1.0 ELSE value END AS v FROM {EVENTS}")
+_add("write_non_adjacent_whole", _read("patched_whole", "apart"), "SELECT event_id AS d0, CASE WHEN (event_id // 1000) % 3 = 1 AND event_id % 1000 BETWEEN 200 AND 799 THEN -value ELSE value END AS v FROM events")
+_add("write_row_2d_whole", _read("patched_whole", "row"), f"SELECT d0, d1, CASE WHEN d0 % 50 = 2 THEN CAST(7 AS FLOAT) ELSE v END AS v FROM ({CELL2}) c")
+_add("write_inner_patch_2d_whole", _read("patched_whole", "inner"), f"SELECT d0, d1, CASE WHEN d0 >= n // 4 AND d0 < n * 3 // 4 AND d1 BETWEEN 14 AND 49 THEN CAST(5 AS FLOAT) ELSE v END AS v FROM {VECTORS}")
+
+
 @query("SELECT o_custkey AS d0, max_by(o_totalprice, o_orderkey) AS v FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey, 0.0 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey <= (SELECT max(o_custkey) FROM orders)")
 def write_repeated_coordinates(spark, d):
     """Cells given more than once, of which the largest order column wins."""

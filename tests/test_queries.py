@@ -38,6 +38,14 @@ def test_query(spark, con, name):
     assert sorted(names) == cols and got == want
 
 
+@pytest.mark.parametrize("name, table", [("pending_read_whole", "events"), ("write_partial_rmw_whole", "events"), ("write_cross_chunk_whole", "events"), ("write_non_adjacent_whole", "events"), ("write_row_2d_whole", "embeddings"), ("write_inner_patch_2d_whole", "embeddings")])
+def test_writes_are_read_whole(con, name, table):
+    """What a write must leave is asked for every cell of the table, and the patch is no fixed number of them."""
+    cells = {"events": "(select count(*) from events)", "embeddings": "(select 64 * count(*) from embeddings)"}[table]
+    assert con.execute(f"select (select count(*) from ({SQL[name]})) = {cells}").fetchone() == (True,)
+    assert name in QUERIES
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
