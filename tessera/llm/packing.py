@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, bounded, saved, slices
-from tessera.llm.tokens import DEFAULT_VOCABULARY, encoder
+from tessera.llm.tokens import DEFAULT_VOCABULARY, encoder, runs
 
 #: Pieces in a packing group: padding is at most a few windows a group, memory a few megabytes.
 GROUP = 100_000
@@ -79,13 +79,15 @@ def pieces(docs: DataFrame, size: int = 4096, end_id: int = 2, vocabulary: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in slices(batches):
-            rows = []
-            for key, packed in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                ids = np.append(np.frombuffer(packed, enc.dtype), enc.dtype.type(end_id)).astype("<u4")
-                flat, n = memoryview(ids).cast("B"), len(ids)
-                rows += [(key, a, min(size, n - a), zlib.crc32(flat[4 * a : 4 * (a + size)]), n) for a in range(0, n, size)]
-            yield batch(PIECES, [list(c) for c in zip(*rows)] if rows else [[]] * 5)
-        enc.forget()
+            ids, cuts = enc.encode(b.column(1))
+            flat = memoryview(np.insert(ids, cuts[1:], end_id).astype("<u4")).cast("B")
+            tokens = np.diff(cuts) + 1
+            count = -(-tokens // size)
+            doc = np.repeat(np.arange(len(tokens)), count)
+            start = runs(np.zeros(len(tokens), np.int64), count) * size
+            length, at = np.minimum(size, tokens[doc] - start), (cuts[:-1] + np.arange(len(tokens)))[doc] + start
+            crc = [zlib.crc32(flat[4 * a : 4 * z]) for a, z in zip(at.tolist(), (at + length).tolist())]
+            yield batch(PIECES, [b.column(0).take(pa.array(doc)), start, length, crc, tokens[doc]])
 
     return docs.select("doc_id", "text").transform(bounded).mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 

@@ -3,12 +3,17 @@
 The next id is predicted from two contexts and no context: the id that last
 followed the two previous ids (order 2), the one that last followed the
 previous id (order 1), each with a confidence whose success rate is learned,
-and adaptive frequencies of the id's upper digits (order 0).  The mixture
-gives one interval per coding step; a 32-bit range coder with carry does the
-arithmetic.  All state is integer, so files decode alike on any machine.
+and frequencies of its bytes, each given the byte above it (order 0).  The
+mixture gives one interval for each of the three; a range coder with 32-bit
+ranges does the arithmetic.  All state is integer, so files decode alike on any
+machine.
 
-Blocks share nothing, so one numpy call advances all blocks of a segment by
-one id: speed comes from many blocks, not from long ones.
+Orders 1 and 2 and the rates that mix the orders adapt from nothing in each
+block.  The frequencies of order 0 are those of the segment, whose head holds
+them: a block is too short to learn some ten thousand ids.
+
+Blocks share nothing else, so one numpy call advances all blocks of a segment
+by one id: speed comes from many blocks, not from long ones.
 """
 
 from __future__ import annotations
@@ -19,91 +24,70 @@ import zlib
 import numpy as np
 
 MAGIC = b"TSRC"
-VERSION = 1
+VERSION = 2
 #: Ids in a block.
-BLOCK = 2048
-_HASH_BITS = 9
+BLOCK = 1024
+_SLOT_BITS = 8
 _TOTAL_BITS = 12
 _TOTAL = 1 << _TOTAL_BITS
-_U32 = np.uint32
+#: Confidences: 0 to 7; up by one on a hit, halved on a miss; an id of confidence 0 or 1 gives way to the one that came.
+_START_RATES = np.array([64, 800, 1600, 2400, 2800, 3200, 3500, 3700])
+_NEXT = np.array([1, 1, *(c >> 1 for c in range(2, 8)), *(min(c + 1, 7) for c in range(8))])
+_STAYS = np.array([False, False] + [True] * 14)
 
 
 class CorruptBlock(ValueError):
     """A segment or block fails its checksum."""
 
 
-#: Where adaptive frequencies move after digit s: every digit keeps a floor of 16 of 4096.
-_TARGET = np.array([[16 * j if j <= s else _TOTAL - 16 * (16 - j) for j in range(16)] for s in range(16)], dtype=np.int16)
-#: Sixteen frequencies as one item, so that numpy moves whole rows.
-_ROW = np.dtype("V32")
-
-
 class _Model:
-    """Prediction state of many blocks side by side."""
-
-    def __init__(self, lanes: int):
-        slots = 1 << _HASH_BITS
-        self.t2, self.t1 = np.zeros(lanes * slots, _U32), np.zeros(lanes * slots, _U32)  # confidence << 16 | id
-        start = np.array([64, 800, 1600, 2400, 2800, 3200, 3500, 3700], _U32)
-        self.p2, self.p1 = np.tile(start, lanes), np.tile(start, lanes)
-        even = (np.arange(16) * 256).astype(np.int16)
-        self.c1, self.c2 = np.tile(even, lanes).view(_ROW), np.tile(even, lanes * 16).view(_ROW)
-        self.sixteen = np.arange(lanes, dtype=np.int64) * 16
-        self.slot, self.rate = np.arange(lanes, dtype=np.int64) * slots, np.arange(lanes, dtype=np.int64) * 8
-        self.prev1, self.prev2 = np.zeros(lanes, _U32), np.zeros(lanes, _U32)
-
-    def predict(self, n: int) -> None:
-        a = self.prev1[:n] * _U32(0x9E3779B1)
-        self.i1 = self.slot[:n] + (a >> _U32(32 - _HASH_BITS))
-        self.i2 = self.slot[:n] + ((a ^ (self.prev2[:n] * _U32(0x85EBCA6B))) * _U32(0xC2B2AE35) >> _U32(32 - _HASH_BITS))
-        self.e1, self.e2 = self.t1.take(self.i1, mode="clip"), self.t2.take(self.i2, mode="clip")
-        self.q1, self.q2 = self.rate[:n] + (self.e1 >> _U32(16)), self.rate[:n] + (self.e2 >> _U32(16))
-        self.r1, self.f2 = self.p1.take(self.q1, mode="clip"), self.p2.take(self.q2, mode="clip")
-        rest = _U32(_TOTAL) - self.f2
-        self.f1 = np.maximum(rest * self.r1 >> _U32(_TOTAL_BITS), _U32(1))
-        self.id1, self.id2 = self.e1 & _U32(0xFFFF), self.e2 & _U32(0xFFFF)
-        self.f0 = rest - self.f1
-
-    def update(self, n: int, x: np.ndarray, hit2: np.ndarray) -> None:
-        for e, i, t, q, p, r, hit in ((self.e2, self.i2, self.t2, self.q2, self.p2, self.f2, hit2), (self.e1, self.i1, self.t1, self.q1, self.p1, self.r1, x == self.id1)):
-            conf = e >> _U32(16)
-            up = np.minimum(conf + _U32(1), _U32(7))
-            down = conf >> _U32(1)
-            t[i] = np.where(hit, up << _U32(16) | x, np.where(conf < 2, _U32(0x10000) | x, down << _U32(16) | (e & _U32(0xFFFF))))
-            # moves toward 4032 on a hit and 32 on a miss, so both outcomes keep room
-            p[q] = np.where(hit, r + (_U32(4032) - r >> _U32(4)), r - (r - _U32(32) >> _U32(4)))
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = x
-
-
-    def digit_row(self, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return table.take(rows, mode="clip").view(np.int16)
-
-    def bounds(self, cdf: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and frequency of a digit in each row."""
-        at = self.sixteen[: len(d)] + d
-        lo = cdf.take(at, mode="clip")
-        hi = np.where(d == 15, np.int16(_TOTAL), cdf.take(at + 1, mode="clip"))
-        return lo.astype(_U32), (hi - lo).astype(_U32)
-
-    def adapt(self, table: np.ndarray, rows: np.ndarray, cdf: np.ndarray, d: np.ndarray) -> None:
-        cdf = cdf.reshape(-1, 16)
-        table[rows] = (cdf + ((_TARGET.take(d, axis=0) - cdf) >> 4)).reshape(-1).view(_ROW)
+    """Prediction state of many blocks side by side; row 0 is order 2, row 1 order 1."""
+
+    def __init__(self, lanes: int, wide: bool):
+        kind, slots = (np.int64, np.int64(32)) if wide else (np.int32, np.int32(16)), 1 << _SLOT_BITS
+        self.table, self.bits = np.zeros(2 * lanes * slots, kind[0]), kind[1]
+        self.mask, self.next = kind[0]((1 << int(self.bits)) - 1), (_NEXT << int(self.bits)).astype(kind[0])
+        self.rates = np.tile(_START_RATES, 2 * lanes)
+        rows = np.arange(2 * lanes).reshape(2, lanes)
+        self.slots, self.rate_rows, self.at = rows * slots, rows * 8, np.empty((2, lanes), np.int64)
+        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def predict(self) -> None:
+        """ids: predicted by each order; f2, top: where the interval of order 2 ends, and that of order 1."""
+        a = self.prev1 * 0x9E3779B1
+        self.at[0] = ((a ^ self.prev2 * 0x85EBCA6B) * 0x2B2AE35 >> 40) & ((1 << _SLOT_BITS) - 1)
+        self.at[1] = (a >> 23) & ((1 << _SLOT_BITS) - 1)
+        self.at += self.slots
+        entry = self.table.take(self.at)
+        self.conf, self.ids = entry >> self.bits, entry & self.mask
+        self.q = self.rate_rows + self.conf
+        self.p = self.rates.take(self.q)
+        self.f2 = self.p[0]
+        f1 = np.maximum((_TOTAL - self.f2) * self.p[1] >> _TOTAL_BITS, 1)
+        f1[self.ids[0] == self.ids[1]] = 1  # order 1 has nothing to add
+        self.top = self.f2 + f1
+
+    def update(self, x: np.ndarray, hit: np.ndarray) -> None:
+        state = self.conf + (hit.view(np.int8) << 3)
+        self.table[self.at] = self.next.take(state) | np.where(_STAYS.take(state), self.ids, x)
+        # moves toward 4032 on a hit and 32 on a miss, so all outcomes keep room
+        self.rates[self.q] = self.p + ((np.where(hit, 4032, 32) - self.p) >> 4)
+        self.prev2, self.prev1 = self.prev1, x
 
 
 class _Encoder:
-    """Range coders side by side; what is out of each lane is a row of 16-bit words."""
+    """Range coders side by side.  Words of 16 bits go out as soon as they are settled but for a carry, which is a 17th bit until the end."""
 
     def __init__(self, lanes: int):
-        self.low, self.rng = np.zeros(lanes, _U32), np.full(lanes, 0xFFFFFFFF, _U32)
+        self.low, self.rng = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF)
         self.cap = 256
-        self.out, self.every = np.zeros(lanes * self.cap, np.uint16), np.arange(lanes)
+        self.out, self.every = np.zeros(lanes * self.cap, np.int32), np.arange(lanes)
         self.at = self.every * self.cap  # where the next word of a lane goes
         self.room = self.cap  # words that every lane can still take
 
-    def grow(self) -> None:
-        """Make room for a step, in which a lane gets four words at most."""
-        self.room -= 4
+    def grow(self, words: int) -> None:
+        """Make room for so many words in each lane."""
+        self.room -= words
         if self.room < 8:
             used = self.at - self.every * self.cap
             self.room = self.cap - int(used.max())
@@ -113,163 +97,181 @@ class _Encoder:
                 self.at = self.every * self.cap + used
                 self.room = self.cap - int(used.max())
 
-    def code(self, lanes: np.ndarray, old: np.ndarray, rng: np.ndarray, start: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Narrow the intervals (old, rng) of some lanes; gives the new ones."""
-        r = rng >> _U32(bits)
-        low = old + r * start
+    def code(self, lanes: np.ndarray | None, low: np.ndarray, rng: np.ndarray, start: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Narrow the intervals (low, rng) of some lanes, or of all; gives the new ones."""
+        r = rng >> _TOTAL_BITS
+        low = low + r * start
         rng = r * freq
-        over = np.flatnonzero(low < old)
-        if len(over):  # a carry runs back over the words that are out
-            at = self.at[lanes[over]] - 1
-            while len(at):
-                self.out[at] += np.uint16(1)
-                at = at[self.out[at] == 0] - 1
-        short = np.flatnonzero(rng < _U32(65536))
+        short = np.flatnonzero(rng < 65536)
         if len(short):
-            k, low_s = lanes.take(short, mode="clip"), low.take(short, mode="clip")
-            at = self.at.take(k, mode="clip")
-            self.out[at] = low_s >> _U32(16)
+            k, part = short if lanes is None else lanes.take(short), low.take(short)
+            at = self.at.take(k)
+            self.out[at] = part >> 16
             self.at[k] = at + 1
-            low[short] = low_s << _U32(16)
-            rng[short] = rng.take(short, mode="clip") << _U32(16)
+            low[short] = (part & 0xFFFF) << 16
+            rng[short] = rng.take(short) << 16
         return low, rng
 
     def finish(self) -> list[bytes]:
         self.room = 0
-        self.grow()
-        for _ in range(2):
-            self.out[self.at] = self.low >> _U32(16)
+        self.grow(0)
+        for shift in (16, 0):
+            self.out[self.at] = self.low >> 16 if shift else self.low & 0xFFFF
             self.at += 1
-            self.low <<= _U32(16)
-        flat = self.out.astype("<u2", copy=False)
+        over = np.flatnonzero(self.out > 0xFFFF)
+        while len(over):  # carries run back; none leaves its lane, as a code is below 1
+            self.out[over] &= 0xFFFF
+            self.out[over - 1] += 1
+            over = over[self.out[over - 1] > 0xFFFF] - 1
+        flat = self.out.astype("<u2")
         return [flat[k * self.cap : end].tobytes() for k, end in enumerate(self.at.tolist())]
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The code of each block of the ids (below 65536)."""
+def frequencies(ids: np.ndarray) -> list[np.ndarray]:
+    """For each byte of an id from the top, out of _TOTAL: frequencies of its values, by the byte above it."""
+    out = []
+    for k in ((3, 2, 1, 0) if len(ids) and int(ids.max()) > 0xFFFF else (1, 0)):
+        pair = (ids >> 8 * k) & 0xFFFF if len(out) else (ids >> 8 * k) & 0xFF
+        n = np.bincount(pair.astype(np.int64), minlength=65536).reshape(256, 256)
+        total = n.sum(axis=1, keepdims=True)
+        f = np.where(n > 0, np.maximum(n * (_TOTAL - 256) // np.maximum(total, 1), 1), 0)
+        most = n.argmax(axis=1)
+        f[np.arange(256), most] += _TOTAL - f.sum(axis=1)
+        out.append(f.reshape(-1))
+    return out
+
+
+def _starts(f: np.ndarray) -> np.ndarray:
+    f = f.reshape(256, 256)
+    return (np.cumsum(f, axis=1) - f).reshape(-1)
+
+
+def encode_blocks(ids: np.ndarray, freqs: list[np.ndarray], block: int = BLOCK) -> list[bytes]:
+    """The code of each block of the ids.  The last block is filled up with its last id."""
     if not len(ids):
         return []
-    if int(ids.max()) > 0xFFFF:
-        raise ValueError("ids must be below 65536")
     lanes = -(-len(ids) // block)
-    grid = np.zeros(lanes * block, _U32)
+    grid = np.full(lanes * block, ids[-1], np.int64)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    last = len(ids) - (lanes - 1) * block
-    m, e = _Model(lanes), _Encoder(lanes)
-    for t in range(block if lanes > 1 else last):
-        n = lanes if t < last else lanes - 1
-        x = grid[t, :n]
-        m.predict(n)
-        hit2 = x == m.id2
-        hit1 = (x == m.id1) & ~hit2
-        start = np.where(hit2, _U32(0), np.where(hit1, m.f2, m.f2 + m.f1))
-        e.grow()
-        e.low[:n], e.rng[:n] = e.code(e.every[:n], e.low[:n], e.rng[:n], start, np.where(hit2, m.f2, np.where(hit1, m.f1, m.f0)), _TOTAL_BITS)
+    tables = [(_starts(f), f, 8 * k) for f, k in zip(freqs, range(len(freqs) - 1, -1, -1))]
+    m, e = _Model(lanes, len(freqs) > 2), _Encoder(lanes)
+    low, rng = e.low, e.rng
+    for x in grid:
+        m.predict()
+        hit = m.ids == x
+        hit2 = hit[0]
+        hit1 = hit[1] > hit2
+        start = np.where(hit2, 0, np.where(hit1, m.f2, m.top))
+        freq = np.where(hit2, m.f2, np.where(hit1, m.top, _TOTAL)) - start
+        e.grow(len(freqs) + 1)
+        low, rng = e.code(None, low, rng, start, freq)
         lit = np.flatnonzero(~(hit2 | hit1))
         if len(lit):
-            y, low, rng = x.take(lit), e.low.take(lit), e.rng.take(lit)
-            d1, d2 = (y >> _U32(12)).astype(np.int64), (y >> _U32(8) & _U32(15)).astype(np.int64)
-            for table, rows, d in ((m.c1, lit, d1), (m.c2, lit * 16 + d1, d2)):
-                cdf = m.digit_row(table, rows)
-                low, rng = e.code(lit, low, rng, *m.bounds(cdf, d), _TOTAL_BITS)
-                m.adapt(table, rows, cdf, d)
-            low, rng = e.code(lit, low, rng, y & _U32(255), _U32(1), 8)
-            e.low[lit], e.rng[lit] = low, rng
-        m.update(n, x, hit2)
+            y, part, size = x.take(lit), low.take(lit), rng.take(lit)
+            above = 0
+            for starts, f, shift in tables:
+                digit = (y >> shift) & 0xFF
+                row = above + digit
+                part, size = e.code(lit, part, size, starts.take(row), f.take(row))
+                above = digit << 8
+            low[lit], rng[lit] = part, size
+        m.update(x, hit)
+    e.low = low
     return e.finish()
 
 
-def decode_blocks(codes: list[bytes], sizes: list[int]) -> np.ndarray:
-    """The ids of blocks of the given sizes, all equal but the last, which may be smaller."""
+@np.errstate(all="ignore")
+def decode_blocks(codes: list[bytes], freqs: list[np.ndarray], block: int) -> np.ndarray:
+    """The ids of blocks of one size."""
     lanes = len(codes)
     if not lanes:
-        return np.empty(0, np.uint16)
-    block, last = sizes[0], sizes[-1]
+        return np.empty(0, np.int64)
     offset = np.cumsum([0, *(len(c) // 2 for c in codes)])
-    words = np.append(np.frombuffer(b"".join(codes), "<u2"), np.zeros(4, "<u2")).astype(_U32)
+    words = np.append(np.frombuffer(b"".join(codes), "<u2"), np.zeros(2, "<u2")).astype(np.int64)
     pos = offset[:-1].copy()
-    code = words[pos] << _U32(16) | words[pos + 1]
+    code = words.take(pos, mode="clip") << 16 | words.take(pos + 1, mode="clip")
     pos += 2
-    rng, m, grid = np.full(lanes, 0xFFFFFFFF, _U32), _Model(lanes), np.zeros((block, lanes), _U32)
-
-    every = np.arange(lanes)
-
-    def take(lanes_at, r, c, start, freq):
-        """The new (code, range) of some lanes, with the words that they read."""
-        c, rg = c - r * start, r * freq
-        short = np.flatnonzero(rg < _U32(65536))
+    rng, m, grid = np.full(lanes, 0xFFFFFFFF), _Model(lanes, len(freqs) > 2), np.empty((block, lanes), np.int64)
+    tables = []
+    for f in freqs:
+        held = f.copy()
+        held[::256][held.reshape(256, 256).sum(axis=1) == 0] = _TOTAL  # bytes that never come
+        tables.append((_starts(held), f, np.repeat(np.tile(np.arange(256, dtype=np.uint8), 256), held)))
+
+    def take(at: np.ndarray | None, c: np.ndarray, r: np.ndarray, start: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The new (code, range) of some lanes or all, with the words that they read."""
+        c, size = c - r * start, r * freq
+        short = np.flatnonzero(size < 65536)
         if len(short):
-            k = lanes_at.take(short, mode="clip")
-            at = pos.take(k, mode="clip")
-            c[short] = c.take(short, mode="clip") << _U32(16) | words.take(at, mode="clip")
-            rg[short] = rg.take(short, mode="clip") << _U32(16)
-            pos[k] = at + 1
-        return c, rg
-
-    for t in range(block if lanes > 1 else last):
-        n = lanes if t < last else lanes - 1
-        m.predict(n)
-        r = rng[:n] >> _U32(_TOTAL_BITS)
-        v = np.minimum(code[:n] // r, _U32(_TOTAL - 1))
-        hit2 = v < m.f2
-        hit1 = ~hit2 & (v < m.f2 + m.f1)
-        code[:n], rng[:n] = take(every[:n], r, code[:n], np.where(hit2, _U32(0), np.where(hit1, m.f2, m.f2 + m.f1)), np.where(hit2, m.f2, np.where(hit1, m.f1, m.f0)))
-        x = np.where(hit2, m.id2, m.id1)
+            k = short if at is None else at.take(short)
+            p = pos.take(k)
+            c[short] = c.take(short) << 16 | words.take(p, mode="clip")
+            size[short] = size.take(short) << 16
+            pos[k] = p + 1
+        return c, size
+
+    for t in range(block):
+        m.predict()
+        r = rng >> _TOTAL_BITS
+        hit2 = code < r * m.f2
+        hit1 = (code < r * m.top) > hit2
+        start = np.where(hit2, 0, np.where(hit1, m.f2, m.top))
+        code, rng = take(None, code, r, start, np.where(hit2, m.f2, np.where(hit1, m.top, _TOTAL)) - start)
+        x = np.where(hit2, m.ids[0], m.ids[1]).astype(np.int64)
         lit = np.flatnonzero(~(hit2 | hit1))
         if len(lit):
-            y, rows = np.zeros(len(lit), _U32), lit
-            c, rg = code.take(lit), rng.take(lit)
-            for table in (m.c1, m.c2):
-                cdf = m.digit_row(table, rows)
-                r = rg >> _U32(_TOTAL_BITS)
-                v = np.minimum(c // r, _U32(_TOTAL - 1)).astype(np.int16)
-                columns = np.ascontiguousarray(cdf.reshape(-1, 16).T)
-                d = np.add.reduce((columns <= v).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64) - 1
-                c, rg = take(lit, r, c, *m.bounds(cdf, d))
-                m.adapt(table, rows, cdf, d)
-                y = y << _U32(4) | d.astype(_U32)
-                rows = lit * 16 + d
-            r = rg >> _U32(8)
-            v = np.minimum(c // r, _U32(255))
-            code[lit], rng[lit] = take(lit, r, c, v, _U32(1))
-            x[lit] = y << _U32(8) | v
-        grid[t, :n] = x
-        m.update(n, x, hit2)
-    flat = grid.T.reshape(-1)[: (lanes - 1) * block + last]
-    return flat.astype(np.uint16)
-
-
-_HEAD = struct.Struct("<4sBIIQ")
+            c, size, above, y = code.take(lit), rng.take(lit), 0, 0
+            for starts, f, symbol in tables:
+                r = size >> _TOTAL_BITS
+                # the quotient of numbers below 2^32 is never rounded up to the next integer; damaged codes give any digit
+                digit = symbol.take((above << 4) + np.minimum((c / r).astype(np.int64), _TOTAL - 1), mode="clip").astype(np.int64)
+                row = above + digit
+                c, size = take(lit, c, r, starts.take(row), f.take(row))
+                above, y = digit << 8, (y << 8) + digit
+            code[lit], rng[lit], x[lit] = c, size, y
+        grid[t] = x
+        m.update(x, m.ids == x)
+    return grid.T.reshape(-1)
+
+
+_HEAD = struct.Struct("<4sBBIQQI")
 
 
 def pack_segment(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment: head and document table with their checksum, block table with a checksum for each block, codes."""
-    codes = encode_blocks(ids, block)
-    head = _HEAD.pack(MAGIC, VERSION, block, len(doc_ids), len(ids)) + doc_ids.astype("<i8").tobytes() + counts.astype("<i8").tobytes()
-    flat = ids.astype("<u2")
-    table = np.array([[len(c), zlib.crc32(flat[k * block : (k + 1) * block].tobytes())] for k, c in enumerate(codes)], "<u4").reshape(-1)
-    head += table.tobytes()
+    """A segment: head, document table, frequencies and block table with their checksum, codes; each block has a checksum of its ids."""
+    ids = ids.astype(np.int64)
+    block = max(1, min(block, len(ids)))
+    freqs = frequencies(ids)
+    codes = encode_blocks(ids, freqs, block)
+    packed = zlib.compress(np.concatenate(freqs).astype("<u2").tobytes(), 6)
+    flat = memoryview(ids.astype("<u4")).cast("B")
+    table = np.array([[len(c), zlib.crc32(flat[4 * k * block : 4 * (k + 1) * block])] for k, c in enumerate(codes)], "<u4").reshape(-1)
+    head = _HEAD.pack(MAGIC, VERSION, len(freqs), block, len(doc_ids), len(ids), len(packed)) + doc_ids.astype("<i8").tobytes() + counts.astype("<i8").tobytes() + packed + table.tobytes()
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(codes)
 
 
 def unpack_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, counts, ids) of a segment, each block held against its checksum."""
-    magic, version, block, docs, n = _HEAD.unpack_from(data)
+    try:
+        magic, version, digits, block, docs, n, packed = _HEAD.unpack_from(data)
+    except struct.error as e:
+        raise CorruptBlock("damaged segment head") from e
     if magic != MAGIC or version != VERSION:
         raise CorruptBlock("not a segment of this format")
     blocks = -(-n // block)
-    end = _HEAD.size + 16 * docs + 8 * blocks
-    if struct.unpack_from("<I", data, end)[0] != zlib.crc32(data[:end]):
+    at = _HEAD.size + 16 * docs
+    end = at + packed + 8 * blocks
+    if len(data) < end + 4 or struct.unpack_from("<I", data, end)[0] != zlib.crc32(data[:end]):
         raise CorruptBlock("damaged segment head")
     doc_ids = np.frombuffer(data, "<i8", docs, _HEAD.size)
     counts = np.frombuffer(data, "<i8", docs, _HEAD.size + 8 * docs)
-    table = np.frombuffer(data, "<u4", 2 * blocks, _HEAD.size + 16 * docs).reshape(-1, 2)
-    at = end + 4 + np.cumsum([0, *table[:, 0].tolist()])
-    sizes = [block] * (blocks - 1) + [n - (blocks - 1) * block] if blocks else []
-    ids = decode_blocks([data[a:b] for a, b in zip(at[:-1], at[1:])], sizes)
-    flat = ids.astype("<u2")
+    freqs = list(np.frombuffer(zlib.decompress(data[at : at + packed]), "<u2").astype(np.int64).reshape(digits, -1))
+    table = np.frombuffer(data, "<u4", 2 * blocks, at + packed).reshape(-1, 2)
+    cuts = end + 4 + np.cumsum([0, *table[:, 0].tolist()])
+    ids = decode_blocks([data[a:b] for a, b in zip(cuts[:-1], cuts[1:])], freqs, block)[:n]
+    flat = memoryview(ids.astype("<u4")).cast("B")
     for k in range(blocks):
-        if zlib.crc32(flat[k * block : (k + 1) * block].tobytes()) != table[k, 1]:
+        if zlib.crc32(flat[4 * k * block : 4 * min(n, (k + 1) * block)]) != table[k, 1]:
             raise CorruptBlock(f"block {k} fails its checksum")
     return doc_ids, counts, ids

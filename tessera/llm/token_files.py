@@ -39,35 +39,32 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = DEFAULT
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq, before = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], enc.dtype).tobytes()
-        if enc.size > 1 << 16:
-            raise ValueError("the file format holds ids below 65536")
-        doc_ids: list[int] = []
-        rows: list[bytes] = []
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
         held = 0
 
         def close() -> pa.RecordBatch:
             nonlocal seq, before, held
-            ids = np.frombuffer(b"".join(rows), enc.dtype)
-            counts = np.array([len(r) // enc.dtype.itemsize for r in rows])
-            rows.clear()
-            data = pack_segment(np.array(doc_ids, dtype=np.int64), counts, ids, block)
-            out = batch(SEGMENTS, [[part], [seq], [before], [len(ids)], pa.array([data], pa.large_binary())])
-            doc_ids.clear()
-            seq, before, held = seq + 1, before + len(ids), 0
+            data = pack_segment(np.concatenate(keys), np.concatenate(counts), np.concatenate(rows), block)
+            out = batch(SEGMENTS, [[part], [seq], [before], [held], pa.array([data], pa.large_binary())])
+            keys.clear(), counts.clear(), rows.clear()
+            seq, before, held = seq + 1, before + held, 0
             return out
 
         for b in slices(batches):
-            keys = [NULL_ID if k is None else k for k in b.column(0).to_pylist()]
-            for key, ids in zip(keys, enc.encode(b.column(1).to_pylist())):
-                doc_ids.append(key)
-                rows.append(ids + end)
-                held += len(ids) // enc.dtype.itemsize + 1
+            ids, cuts = enc.encode(b.column(1))
+            ids, cuts = np.insert(ids, cuts[1:], end_id), cuts + np.arange(len(cuts))
+            key, at = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False), 0
+            while at < len(key):  # documents up to the one that fills the segment
+                to = min(len(key), int(np.searchsorted(cuts, cuts[at] + segment - held)))
+                keys.append(key[at:to]), counts.append(np.diff(cuts[at : to + 1])), rows.append(ids[cuts[at] : cuts[to]])
+                held += int(cuts[to] - cuts[at])
+                at = to
                 if held >= segment:
                     yield close()
         if rows:
             yield close()
-        enc.forget()
 
     spark = docs.sparkSession
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")

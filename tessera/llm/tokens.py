@@ -2,9 +2,9 @@
 
 The vocabularies handled here drop white space and never merge across their
 pre-split words, so ids of a text are the ids of its words.  Texts of plain
-characters are split by an equal regular expression and each distinct word is
-encoded once and remembered; any other text goes through the library's own
-normalizer and splitter.
+characters are lower-cased and split as bytes, all texts of a batch at once;
+each distinct word is encoded once and remembered.  Any other text goes through
+the library's own normalizer and splitter.
 """
 
 from __future__ import annotations
@@ -12,22 +12,53 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 #: The vocabulary of the registered queries; a path is taken as it is.
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
-_LETTERS = "a-zß-öø-įıĲ-ſ"
-#: Characters on which NFC is the identity and lower-casing goes letter by letter: ASCII text and accented Latin letters (not U+0130).
-PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-įı-ſ]*")
-WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
-#: Words remembered at most; beyond that the memory starts anew.
-MEMORY = 250_000
-#: Slots that tell words met before, and words after which they start anew: a word that comes once is not remembered.
-SLOTS = 1 << 22
-MET = 1 << 20
+#: Words and ids remembered at most, and log2 of the slots of the memory; beyond that it starts anew.
+MEMORY = 400_000
+ARENA = 1 << 23
+SLOT_BITS = 19
+#: New words that are encoded at once.
+TOGETHER = 1 << 16
+#: Bytes up to which a word is told by its bytes, longer ones by a 120-bit hash.
+SHORT = 16
+
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """Kind of each byte of lower-cased plain text; bytes of two-byte characters are letters."""
+    out = np.full(256, _ODD, np.uint8)
+    out[[9, 10, 11, 12, 13, 32]] = _SPACE
+    out[33:127] = _OTHER
+    out[[*range(97, 123), *range(65, 91), *range(128, 256)]] = _LETTER
+    out[48:58] = _DIGIT
+    return out
+
+
+def _lower() -> np.ndarray:
+    """Lower case of the accented Latin letters U+00C0 to U+017F, on which NFC is the identity; 0 for what is no letter or turns into two (U+0130)."""
+    out = np.zeros(0x180, np.int64)
+    for c in range(0xC0, 0x180):
+        low = chr(c).lower()
+        if chr(c).isalpha() and len(low) == 1 and 0xC0 <= ord(low) < 0x180:
+            out[c] = ord(low)
+    return out
+
+
+_KIND, _LOWER = _kinds(), _lower()
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ONE = np.zeros(256, bool)
+_ONE[list(b"stmd")] = True
 
 
 def vocabulary_path(name: str) -> str:
@@ -45,17 +76,81 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, whether a text is not plain, start and size of each word) of texts that lie side by side.
+
+    A text that is not plain is blanked, so it has no words here.  data has at
+    least four zero bytes behind the last text.
+    """
+    n = int(offsets[-1])
+    data = _FOLD.take(data)
+    bad = np.flatnonzero(_KIND.take(data[:n]) == _ODD)
+    lead = np.flatnonzero(data[:n] >= 0xC0)
+    code = ((data[lead].astype(np.int64) - 0xC0) << 6) | (data[lead + 1] & 0x3F)
+    low = np.where(code < 0x180, _LOWER.take(code, mode="clip"), 0)
+    odd = np.zeros(len(offsets) - 1, bool)
+    odd[np.searchsorted(offsets, np.append(bad, lead[low == 0]), side="right") - 1] = True
+    data[lead], data[lead + 1] = 0xC0 | low >> 6, 0x80 | low & 0x3F
+    for k in np.flatnonzero(odd).tolist():
+        data[offsets[k] : offsets[k + 1]] = 0x20
+    kind = _KIND.take(data)
+    edge, opens = kind == _DIGIT, np.zeros(len(data), bool)
+    edge[1:] |= kind[1:] != kind[:-1]
+    opens[offsets] = True
+    edge |= opens
+    q = np.flatnonzero(data[:n] == 0x27)
+    if len(q):  # an apostrophe that opens a word takes s, t, m, d, re, ve or ll with it
+        q = q[((kind[q - 1] != _OTHER) | opens[q]) & ~opens[q + 1]]
+        x, y = data[q + 1], data[q + 2]
+        one = _ONE[x]
+        two = ((((x == 0x72) | (x == 0x76)) & (y == 0x65)) | ((x == 0x6C) & (y == 0x6C))) & ~opens[q + 2]
+        edge[q[one | two] + 1] = False
+        edge[q[one] + 2] = True
+        edge[q[two] + 3] = True
+    at = np.flatnonzero(edge[: n + 1])
+    start, size = at[:-1], np.diff(at)
+    keep = kind[start] != _SPACE
+    return data, odd, start[keep], size[keep]
+
+
+def _keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers that tell words apart: their bytes, or a hash, which has a zero byte where short words have none."""
+    words = data.view(np.uint64)
+
+    def eight(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        k, s = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return (words.take(k) >> s | (words.take(k + 1) << np.uint64(1)) << (np.uint64(63) - s)) & _MASK.take(n, mode="clip")
+
+    a, b = eight(start, size), np.zeros(len(start), np.uint64)
+    second = np.flatnonzero(size > 8)
+    b[second] = eight(start[second] + 8, size[second] - 8)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h = xxhash.xxh3_128_intdigest(data[start[i] : start[i] + size[i]].tobytes())
+        a[i], b[i] = h >> 64, h & 0xFFFFFFFFFFFFFF00 | 0x100
+    return a, b
+
+
 class TextEncoder:
     """Ids of texts.  `engine` encodes distinct words: the library, or the automaton of bpe_automaton."""
 
     def __init__(self, vocabulary: str = DEFAULT_VOCABULARY, engine: Callable | None = None):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         path = vocabulary_path(vocabulary)
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
+        self.tok, self._lines = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tok in (self.tok, self._lines):
+            tok.no_truncation()
+            tok.no_padding()
+        # for words that are normalized and split, one a line
+        self._lines.normalizer = None
+        self._lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], json.dumps(spec["pre_tokenizer"])
@@ -71,91 +166,117 @@ class TextEncoder:
             self.labels[i] = text
         self._ends = np.zeros(self.size, bool)
         self._ends[[i for t, i in self.vocab.items() if t.endswith(self.suffix)]] = True
-        self._byte = byte_letters()
+        self._byte_of = {c: b for b, c in enumerate(byte_letters())}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.forget()
         self.engine = engine(self) if engine else None
 
-    def _pack(self, ids: Iterable[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
     def forget(self) -> None:
-        """Drop the remembered words, as at the end of a task: the worker process may go on to other work."""
-        self._known: dict[str, bytes] = {}
-        self._met, self._left = bytearray(SLOTS), MET
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of distinct words; those met before are remembered."""
-        todo = list(words)
-        out: dict[str, bytes] = {}
+        """Drop the remembered words: (keys, place in the arena of ids, ids) in buckets of two slots."""
+        slots = 1 << SLOT_BITS
+        self._a, self._b = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self._at, self._n = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self._arena, self._used, self._held = np.empty(1 << 16, self.dtype), 0, 0
+
+    def _encode_words(self, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of distinct words, each with a byte of its own behind it."""
         if self.engine:
-            letters = self._byte
-            for w in todo:
-                out[w] = self._pack(self.engine.encode("".join([letters[b] for b in w.encode()])))
-        else:
-            size = self.dtype.itemsize
-            for i in range(0, len(todo), 8192):
-                part = todo[i : i + 8192]
-                ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-                cuts = (np.flatnonzero(self._ends[ids]) + 1) * size
-                if len(cuts) == len(part):
-                    flat, at = ids.tobytes(), 0
-                    for w, end in zip(part, cuts.tolist()):
-                        out[w] = flat[at:end]
-                        at = end
-                else:  # a word that is not one unit for the library
-                    for w in part:
-                        out[w] = self._pack(self.tok.encode(w, add_special_tokens=False).ids)
-        if len(todo) > self._left:
-            self._met, self._left = bytearray(SLOTS), MET
-        self._left -= len(todo)
-        met = self._met
-        for w in todo:
-            slot = hash(w) & (SLOTS - 1)
-            if met[slot]:
-                self._known[w] = out[w]
-            met[slot] = 1
-        return out
-
-    def _odd(self, text: str) -> bytes:
+            return self.engine.encode_words(text, np.cumsum(size + 1) - size - 1, size)
+        text[np.cumsum(size + 1) - 1] = 10
+        lines = text.tobytes().decode()
+        found = np.array(self._lines.encode_batch_fast([lines], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.flatnonzero(self._ends[found]) + 1
+        if len(cuts) == len(size):
+            return found, np.diff(cuts, prepend=0)
+        rows = [self.tok.encode(w, add_special_tokens=False).ids for w in lines.split("\n")[:-1]]  # a word that is not one unit for the library
+        return np.array([i for r in rows for i in r], self.dtype), np.array([len(r) for r in rows])
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the arena, number of ids) of words that are told apart by a and b; as many as fit are remembered."""
+        at, n = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
+        for i in range(0, len(start), TOGETHER):
+            part = slice(i, i + TOGETHER)
+            ids, count = self._encode_words(data[runs(start[part], size[part] + 1)], size[part])
+            while self._used + len(ids) > len(self._arena):
+                self._arena = np.concatenate([self._arena, np.empty_like(self._arena)])
+            self._arena[self._used : self._used + len(ids)] = ids
+            at[part], n[part] = self._used + np.cumsum(count) - count, count
+            self._used += len(ids)
+        self._held += len(start)
+        place = np.where(self._a[slot] == 0, slot, np.where(self._a[slot ^ 1] == 0, slot ^ 1, slot))
+        place, first = np.unique(place, return_index=True)
+        self._a[place], self._b[place], self._at[place], self._n[place] = a[first], b[first], at[first], n[first]
+        return at, n
+
+    def _odd(self, text: str) -> np.ndarray:
         """Ids of a text with unusual characters or special tokens."""
         if not self.engine:
-            return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
-        out: list[int] = []
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
+        out: list[np.ndarray] = []
         at = 0
         for m in [*self._special.finditer(text), None]:
             piece = text[at : m.start()] if m else text[at:]
-            for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(piece)):
-                out += self.engine.encode(word)
+            words = [bytes(map(self._byte_of.__getitem__, w)) for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(piece))]
+            size = np.array([len(w) for w in words], np.int64)
+            out.append(self.engine.encode_words(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)[0].astype(self.dtype))
             if m:
-                out.append(self.special[m[0]])
+                out.append(np.array([self.special[m[0]]], self.dtype))
                 at = m.end()
-        return self._pack(out)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed little-endian ids (self.dtype) of each text; null counts as empty."""
-        if len(self._known) > MEMORY:
-            self._known.clear()
-        known = self._known.__getitem__
-        out: list[bytes] = []
-        later: list[tuple[int, list[str]]] = []
-        for i, t in enumerate(texts):
-            t = t or ""
-            if not PLAIN.fullmatch(t) or self._special.search(t):
-                out.append(self._odd(t))
-                continue
-            words = WORDS.findall(t.lower())
-            try:
-                out.append(b"".join(map(known, words)))
-            except KeyError:
-                out.append(b"")
-                later.append((i, words))
-        if later:
-            new = self._learn({w for _, words in later for w in words if w not in self._known})
-            every = self._known | new
-            for i, words in later:
-                out[i] = b"".join(map(every.__getitem__, words))
-        return out
+        return np.concatenate(out)
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cuts): the ids of text i are ids[cuts[i]:cuts[i + 1]]; null counts as empty.  texts: a list or an Arrow array."""
+        if self._held > MEMORY or self._used > ARENA:
+            self.forget()
+        column = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())).fill_null("")
+        _, ends, body = column.buffers()
+        offsets = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        raw = bytes(body)[offsets[0] : offsets[-1]] if body else b""
+        offsets = offsets - offsets[0]
+        data = np.zeros((len(raw) + 32) // 8 * 8, np.uint8)
+        data[: len(raw)] = np.frombuffer(raw, np.uint8)
+        data, odd, start, size = split(data, offsets)
+        at, n = self._words(data, start, size)
+        odd[[k for k in self._marked(raw, offsets) if k < len(odd)]] = True
+        ends = np.append(0, np.cumsum(n))
+        cuts = ends[np.searchsorted(start, offsets)]
+        ids = self._arena[runs(at, n)]
+        if odd.any():
+            parts = [self._odd(column[i].as_py()) if x else ids[a:z] for i, (x, a, z) in enumerate(zip(odd.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))]
+            ids, cuts = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+        return ids, cuts
+
+    def _marked(self, raw: bytes, offsets: np.ndarray) -> list[int]:
+        """Texts that may hold a special token."""
+        found = []
+        for token in self.special:
+            at = raw.find(token.encode())
+            while at >= 0:
+                found.append(int(np.searchsorted(offsets, at, side="right")) - 1)
+                at = raw.find(token.encode(), at + 1)
+        return found
+
+    def _words(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the arena, number of ids) of each word."""
+        a, b = _keys(data, start, size)
+        h = (a ^ b * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        slot = ((h * np.uint64(0x165667B19E3779F9)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        other = (self._a.take(slot) != a) | (self._b.take(slot) != b)
+        slot ^= other
+        at, n = self._at.take(slot).astype(np.int64), self._n.take(slot).astype(np.int64)
+        maybe = np.flatnonzero(other)
+        place = slot[maybe]
+        new = maybe[(self._a[place] != a[maybe]) | (self._b[place] != b[maybe])]
+        if len(new):
+            _, first, which = np.unique(h[new], return_index=True, return_inverse=True)
+            one = new[first]
+            if np.any(a[one][which] != a[new]) or np.any(b[one][which] != b[new]):  # two words with one hash
+                _, first, which = np.unique(np.stack([a[new], b[new]]), axis=1, return_index=True, return_inverse=True)
+                one, which = new[first], which.reshape(-1)
+            places, counts = self._learn(data, start[one], size[one], a[one], b[one], slot[one])
+            at[new], n[new] = places[which], counts[which]
+        return at, n
 
     def decode(self, ids: np.ndarray) -> str:
         """Without a decoder in the vocabulary, labels are joined by spaces."""
