@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.sources.scratch import scratch_dir
 
+_libc = ctypes.CDLL(None)
 #: Bytes of text that Python code handles at once; rows larger than that come alone.
 SLICE_BYTES = 4 << 20
 
@@ -24,11 +26,23 @@ def partitions(spark: SparkSession) -> int:
 
 
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of about `limit` bytes."""
-    for b in batches:
-        step = max(1, int(b.num_rows * limit // max(1, b.nbytes)))
-        for i in range(0, b.num_rows, step):
-            yield b.slice(i, step)
+    """The rows of the batches in slices of about `limit` bytes; at the end of a task its free memory goes back to the system, as the worker lives on."""
+    try:
+        for b in batches:
+            step = max(1, int(b.num_rows * limit // max(1, b.nbytes)))
+            for i in range(0, b.num_rows, step):
+                yield b.slice(i, step)
+    finally:
+        pa.default_memory_pool().release_unused()
+        if hasattr(_libc, "malloc_trim"):
+            _libc.malloc_trim(0)
+
+
+def unused(columns: Iterable[str], prefix: str = "__") -> str:
+    """A prefix that no column name starts with, for columns of an operator's own."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
 
 
 def bounded(df: DataFrame) -> DataFrame:

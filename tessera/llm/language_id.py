@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, bounded, mix, slices
+from tessera.llm.common import batch, bounded, mix, slices, unused
 
 #: Dimensions of the vectors; letters told apart (others share a slot by hash); letters in an n-gram.
 DIMENSIONS = 1024
 ALPHABET = 64
 GRAM = 3
+#: Vectors of n-grams that a task keeps, and that are bundled at once.
+VECTORS = 16384
+BLOCK = 2048
 #: Labels told apart; more than these is an error, not a sample.
 MOST_LANGUAGES = 2000
 UNDETERMINED = "und"
@@ -75,13 +78,13 @@ def letter_vectors(dimensions: int = DIMENSIONS) -> np.ndarray:
 
 
 def gram_vectors(codes: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Bound vectors of n-gram codes, as float32 rows."""
+    """Bound vectors of n-gram codes, rows of +1 and -1."""
     base = letter_vectors(dimensions)
     out = np.ones((len(codes), dimensions), np.int8)
     for k in range(GRAM):
         letter = codes // ALPHABET ** (GRAM - 1 - k) % ALPHABET
         out *= np.roll(base, GRAM - 1 - k, axis=1)[letter]
-    return out.astype(np.float32)
+    return out
 
 
 def train(docs: DataFrame, label: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
@@ -130,19 +133,24 @@ def train(docs: DataFrame, label: str = "lang", dimensions: int = DIMENSIONS) ->
 
 
 class Profiler:
-    """Profiles of texts; vectors of n-grams are made when first seen."""
+    """Profiles of texts; vectors of n-grams are made when first seen and kept as bytes, VECTORS of them at most."""
 
     def __init__(self, dimensions: int):
         self.row_of = np.full(ALPHABET**GRAM, -1, np.int32)  # n-gram code -> row of its vector
-        self.vectors, self.used = np.empty((1024, dimensions), np.float32), 0
+        self.vectors, self.used = np.empty((1024, dimensions), np.int8), 0
 
     def __call__(self, code: np.ndarray) -> tuple[np.ndarray, float]:
         """(profile, evidence): evidence is the number of n-grams that count, where repeated ones are no further evidence."""
         codes, n = np.unique(code, return_counts=True)
+        n = n.astype(np.float32)
+        parts = [n[i : i + BLOCK] @ self._rows(codes[i : i + BLOCK]).astype(np.float32) for i in range(0, len(codes), BLOCK)]
+        return sum(parts[1:], parts[0]), float(n.sum()) ** 2 / float(n @ n)
+
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
         rows = self.row_of[codes]
         if rows.min() < 0:
             new = codes[rows < 0]
-            if self.used + len(new) > 16384:  # bounded memory: start anew
+            if self.used + len(new) > VECTORS:  # bounded memory: start anew
                 self.row_of[:], self.used, new = -1, 0, codes
             while self.used + len(new) > len(self.vectors):
                 self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
@@ -150,8 +158,7 @@ class Profiler:
             self.row_of[new] = np.arange(self.used, self.used + len(new))
             self.used += len(new)
             rows = self.row_of[codes]
-        n = n.astype(np.float32)
-        return n @ self.vectors[rows], float(n.sum()) ** 2 / float(n @ n)
+        return self.vectors[rows]
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], extra: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
@@ -301,9 +308,11 @@ def accept(docs: DataFrame) -> DataFrame:
     training = docs.filter(~held_out())
     prototypes = train(training)
     columns = docs.columns
-    found = predict(docs, prototypes, tuple(c for c in columns if c != "doc_id"), "__")
-    held = spark.createDataFrame(bars(training, prototypes), "__lang_pred string, __class int, __bar double")
-    found = found.withColumn("__class", F.least(F.lit(CLASSES - 1), F.floor(2 * F.log2(F.greatest("__evidence", F.lit(1.0)))).cast("int"))).join(F.broadcast(held), ["__lang_pred", "__class"], "left")
-    near = F.col("__bar").isNull() | (F.col("__score") + F.col("__margin") >= F.col("__bar"))
-    good = (F.col("__lang_pred") != UNDETERMINED) & near & ((F.col("__score") >= ACCEPT_SCORE) | (F.col("__letters") < ACCEPT_EVIDENCE)) & (F.col("__letters") >= ACCEPT_LETTERS * F.length(F.regexp_replace("text", r"\s+", "")))
-    return found.filter(good).select(*[F.col("__lang_pred").alias(c) if c == "lang" else F.col(c) for c in columns])
+    own = unused(columns)
+    col = lambda name: F.col(own + name)
+    found = predict(docs, prototypes, tuple(c for c in columns if c != "doc_id"), own)
+    held = spark.createDataFrame(bars(training, prototypes), f"{own}lang_pred string, {own}class int, {own}bar double")
+    found = found.withColumn(own + "class", F.least(F.lit(CLASSES - 1), F.floor(2 * F.log2(F.greatest(col("evidence"), F.lit(1.0)))).cast("int"))).join(F.broadcast(held), [own + "lang_pred", own + "class"], "left")
+    near = col("bar").isNull() | (col("score") + col("margin") >= col("bar"))
+    good = (col("lang_pred") != UNDETERMINED) & near & ((col("score") >= ACCEPT_SCORE) | (col("letters") < ACCEPT_EVIDENCE)) & (col("letters") >= ACCEPT_LETTERS * F.length(F.regexp_replace("text", r"\s+", "")))
+    return found.filter(good).select(*[col("lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in columns])

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved
+from tessera.llm.common import saved, unused
 
 #: Lines shorter than this many characters are matched exactly only: one edit makes other words of short ones.
 FUZZY_CHARS = 20
@@ -31,6 +31,8 @@ PARTS = 16
 REGION = 32
 #: Rows up to which a side with a few narrow columns is broadcast; beyond that the join is shuffled.
 BROADCAST_ROWS = 500_000
+#: Bytes up to which a side whose rows grow with the texts is broadcast.
+BROADCAST_BYTES = 48 << 20
 
 
 def _side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -152,13 +154,19 @@ def marked(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "t", F.transform("x", lambda r: ~r["drop"]).alias("keep"))
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    marks = _side(saved(marked(docs), "marks").withColumnsRenamed({"doc_id": "__id", "t": "__t", "keep": "__keep"}), BROADCAST_ROWS)
-    return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left")
+def _joined(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents and the name of a column with the flags of their lines, null where all stay."""
+    own = unused(docs.columns)
+    marks = saved(marked(docs), "marks")
+    # flags grow with the texts, so they are counted too
+    size = marks.agg(F.sum(F.size("keep") + 16)).first()[0] or 0
+    marks = marks.withColumnsRenamed({"doc_id": own + "id", "t": own + "t", "keep": own + "keep"})
+    marks = F.broadcast(marks) if size <= BROADCAST_BYTES else marks
+    return docs.join(marks, F.col("doc_id").eqNullSafe(F.col(own + "id")) & (F.xxhash64("text") == F.col(own + "t")), "left"), own + "keep"
 
 
-def _kept() -> Column:
-    return F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.get("__keep", i)), "\n")
+def _kept(keep: str) -> Column:
+    return F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.get(keep, i)), "\n")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -168,18 +176,20 @@ def dedup(docs: DataFrame) -> DataFrame:
     goes; one that had none stays.  A null text has no lines.  Rows that are
     equal in doc_id and text count as one document and stay alike.
     """
-    columns = docs.columns
-    text = F.when(F.col("__keep").isNull(), F.col("text")).otherwise(_kept())
-    out = _joined(docs).withColumn("text", text).filter(F.col("__keep").isNull() | F.col("text").rlike(r"\S")).select(*columns)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    columns = [f"`{c}`" for c in docs.columns]
+    joined, keep = _joined(docs)
+    text = F.when(F.col(keep).isNull(), F.col("text")).otherwise(_kept(keep))
+    out = joined.withColumn("text", text).filter(F.col(keep).isNull() | F.col("text").rlike(r"\S")).select(*columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of every document; a null text has no lines and the digest of ''."""
-    lost = F.coalesce(F.size(F.filter("__keep", lambda k: ~k)), F.lit(0)).cast("bigint")
-    kept = F.when(F.col("__keep").isNull(), F.coalesce("text", F.lit(""))).otherwise(_kept())
+    joined, keep = _joined(docs)
+    lost = F.coalesce(F.size(F.filter(keep, lambda k: ~k)), F.lit(0)).cast("bigint")
+    kept = F.when(F.col(keep).isNull(), F.coalesce("text", F.lit(""))).otherwise(_kept(keep))
     lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint")
-    return _joined(docs).select("doc_id", lines.alias("n_lines"), F.when(F.col("__keep").isNull(), F.lit(0)).otherwise(lost).cast("bigint").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    return joined.select("doc_id", lines.alias("n_lines"), F.when(F.col(keep).isNull(), F.lit(0)).otherwise(lost).cast("bigint").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 #: The same in SQL: equal lines, and lines whose halves agree and that one substitution, insertion or deletion turns into each other.

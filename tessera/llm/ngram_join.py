@@ -2,16 +2,22 @@
 
 A document is the set of its word shingles.  Sets of similar size share a
 band; within a band two sets that are similar enough differ in at most k
-shingles, so when shingles are dealt to k+1 parts of the domain, at least one
-part holds the same shingles of both.  A set's signatures are the hashes of
-its parts, and sets that share none are never compared.
+shingles.  Shingles are dealt to parts of the domain, and those of a part to
+SUBPARTS subparts.  With more than k / (BAD + 1) parts, at least one holds no
+more than BAD shingles that only one of both has, so both agree on all
+SUBPARTS - BAD others: the subsets of so many subparts are enumerated, and the
+hash of what a set has in one of them is a signature.  Sets that share none are
+never compared.
 
 Bands overlap by the ratio of sizes that similar sets can have, so every
-similar pair has a band in common.  A part that is empty would match half the
-corpus: there are e parts more than needed, so a set with at most e empty
-parts still shares one that is not; the few sets with more of them are dealt
-anew with another seed, and meet there.  e lies three deviations above what the
-smallest sets of a band are expected to have.
+similar pair has a band in common.  A subset that is empty gives no signature,
+as it would match half the corpus: there are e parts more than needed.  A part
+that both sets agree on is lost if it is empty, one in which they differ also
+if all of it is in one subpart; as the latter takes one of the k differences,
+where a lost part may take BAD + 1, it counts half.  So a set whose empty parts
+and half of whose parts with one subpart number at most e meets every similar
+one; the few others are dealt anew with another seed, and meet there.  e lies
+three deviations above what the smallest sets of a band are expected to have.
 
 Equal sets are one node from the start.  Within a signature, members are first
 held against one pivot, the member with the most shared signatures; what these
@@ -22,9 +28,10 @@ A passage that many documents share fills parts of its own, and all of them
 would meet there.  Similar sets share f parts more than needed, so of the
 frequent signatures, those with more than PAIRS_EACH pairs to compare, a set
 may have up to f and still meet every similar set elsewhere: only sets with
-more of them are compared there.  Pairs that are left are first held against parity sketches: each shingle flips one bit,
-so sketches of two sets differ in no more bits than the sets in shingles, and
-a pair with more is done without its sets.
+more of them are compared there.  Pairs that are left are first held against
+parity sketches: each shingle flips one bit, so sketches of two sets differ in
+no more bits than the sets in shingles, and a pair with more is done without
+its sets.
 """
 
 from __future__ import annotations
@@ -44,18 +51,28 @@ from tessera.llm.components import components
 #: A band's largest size over its smallest, as a power of the size ratio of similar sets.
 BAND = 3
 BASE = 0xC2B2AE3D27D4EB4F
-#: Frequent parts allowed for each shingle in which sets may differ, and pairs from which a signature is frequent.
-FREQUENT = 0.3
+#: Subparts of a part, and shingles in which sets may differ within one part: each subset of SUBPARTS - BAD subparts gives a signature.
+SUBPARTS = 3
+BAD = 1
+#: Frequent parts allowed for each part that is needed, and pairs from which a signature is frequent.
+FREQUENT = 0.15
 PAIRS_EACH = 256
 #: Deals of a set whose empty parts are too many; one that fails all meets others like it under one signature (NO_BAND).
-SEEDS = 6
+SEEDS = 48
 NO_BAND = 255
 #: Members of a frequent signature that are compared in one task with each other or with as many others.
 CHUNK = 4096
 #: Bands there are room for: sizes beyond 10^15 are out of reach.
 MOST_BANDS = 100
-#: Bits of a parity sketch at most.
-PARITY_BITS = 4096
+#: Bits of a parity sketch: for each shingle at least, and at most.
+BITS_EACH = 8
+PARITY_BITS = 16384
+#: log2 of the signatures a task remembers, to tell those it has met twice.
+MET_BITS = 18
+#: Nodes a task remembers.
+SEEN = 50_000
+#: Parts over which the members of a frequent signature are dealt before they are known to be shared.
+SALTS = 255
 #: Documents wanted from the corpus up to which their ids are broadcast; beyond that the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -70,7 +87,7 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
 
 @lru_cache(4096)
 def parts_of(band: int, percent: int) -> tuple[int, int, int, int, int]:
-    """(smallest size, largest size, parts, empty parts allowed, frequent parts allowed) of a band.
+    """(smallest size, largest size, parts, lost parts allowed, frequent parts allowed) of a band.
 
     Band j holds sizes from lo(j) to lo(j) / t^BAND, with t the threshold; the
     next one starts a factor t before its end.
@@ -79,18 +96,20 @@ def parts_of(band: int, percent: int) -> tuple[int, int, int, int, int]:
     step = t ** -(BAND - 1)
     lo, hi = ceil(step**band - 1e-9), floor(step**band * t**-BAND + 1e-9)
     differ = (100 - percent) * 2 * hi // (100 + percent)
-    frequent = ceil(FREQUENT * differ)
+    needed = differ // (BAD + 1) + 1
+    frequent = floor(FREQUENT * needed)
 
-    def excess(empty: int) -> float:
-        """Three deviations above the empty parts that the smallest sets will have, over those allowed."""
-        parts = differ + 1 + frequent + empty
-        mean = parts * exp(-lo / parts)
-        return max(0.0, mean + 3 * sqrt(mean) - empty)
+    def excess(lost: int) -> float:
+        """Three deviations above the lost parts that the smallest sets will have, over those allowed."""
+        parts = needed + frequent + lost
+        none = exp(-lo / (SUBPARTS * parts))  # share of subparts that are empty
+        mean = parts * (none**3 + 1.5 * none**2 * (1 - none))
+        return max(0.0, mean + 3 * sqrt(mean) - lost)
 
     # the fewest that suffice; small sets, where none do, take what comes nearest
-    most = 2 * isqrt(differ) + differ // 3 + 3
-    empty = min(range(most + 1), key=lambda e: (excess(e), e)) if differ < 100_000 else most
-    return lo, hi, differ + 1 + frequent + empty, empty, frequent
+    most = isqrt(needed) + needed // 3
+    lost = min(range(most + 1), key=lambda e: (excess(e), e)) if differ < 100_000 else most
+    return lo, hi, needed + frequent + lost, lost, frequent
 
 
 @lru_cache(65536)
@@ -102,18 +121,28 @@ def bands(size: int, percent: int) -> list[int]:
 
 
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
-    out = []
+    out = [np.empty(0, np.uint64)]
+    if len(shingles) * (100 - percent) < percent:
+        return out[0]  # no other set is similar: one shingle more is too many
     for j in bands(len(shingles), percent):
-        _, _, parts, empty, _ = parts_of(j, percent)
+        _, largest, parts, allowed, _ = parts_of(j, percent)
+        if (100 - percent) * 2 * largest < 100 + percent:
+            continue  # equal sets only
         for seed in range(SEEDS):
             seeded = mix(shingles + np.uint64(j * 0x9E3779B9 + 1 + (seed << 40)))
-            part = (seeded % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            held, starts = np.unique(part[order], return_index=True)
-            sums = np.add.reduceat(mix(seeded[order] + np.uint64(0x51ED270B)), starts)
+            at = (seeded % np.uint64(SUBPARTS * parts)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            held, starts = np.unique(at[order], return_index=True)
+            sums, some = np.zeros(SUBPARTS * parts, np.uint64), np.zeros(SUBPARTS * parts, np.int64)
+            sums[held], some[held] = np.add.reduceat(mix(seeded[order] + np.uint64(0x51ED270B)), starts), 1
+            sums, some = sums.reshape(parts, SUBPARTS), some.reshape(parts, SUBPARTS)
+            # each subset leaves BAD = 1 subpart out
+            subsets, any_ = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums, some.sum(axis=1, keepdims=True) > some
+            found = np.flatnonzero(any_)
             # the low byte names the band
-            out.append(mix(sums + mix(held.astype(np.uint64) + np.uint64((j + 1) << 32))) & ~np.uint64(255) | np.uint64(j))
-            if parts - len(held) <= empty:
+            out.append(mix(subsets.reshape(-1)[found] + mix(found.astype(np.uint64) + np.uint64((j + 1 << 32) + (seed << 44)))) & ~np.uint64(255) | np.uint64(j))
+            full = some.sum(axis=1)
+            if 2 * np.count_nonzero(full == 0) + np.count_nonzero(full == 1) <= 2 * allowed:
                 break
         else:
             out.append(np.array([(j << 8) + NO_BAND], np.uint64))
@@ -121,8 +150,8 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """A sketch of 2^k bits, twice the set's size at least, up to PARITY_BITS: bit h is the parity of the shingles with hash h."""
-    size = min(PARITY_BITS, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
+    """A sketch of 2^k bits, BITS_EACH times the set's size at least, up to PARITY_BITS: bit h is the parity of the shingles with hash h."""
+    size = min(PARITY_BITS, max(64, 1 << (BITS_EACH * len(shingles) - 1).bit_length()))
     at = (mix(shingles + np.uint64(0x1234567)) % np.uint64(size)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -141,9 +170,8 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(mix(total)[0])
 
 
-MEMBERS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
-SIGNATURES = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
-SKETCHES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("parity", pa.binary())])
+MEMBERS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("parity", pa.binary())])
+SIGNATURES = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("salt", pa.int16())])
 SETS = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int64()))])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -153,26 +181,32 @@ def _signed(x: int) -> int:
 
 
 def membership(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, t, n, node): set size and set identity of each document; an empty set has no node."""
+    """(doc_id, t, n, node, parity): size, identity and sketch of each document's set; an empty set has no node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
             for text in b.column(2).cast(pa.binary()).to_pylist():
                 s = shingle_set(text, width)
-                rows.append((len(s), _signed(set_hash(s)) if len(s) else None))
-            yield batch(MEMBERS, [b.column(0), b.column(1), [r[0] for r in rows], [r[1] for r in rows]])
+                rows.append((len(s), _signed(set_hash(s)), parity(s)) if len(s) else (0, None, None))
+            yield batch(MEMBERS, [b.column(0), b.column(1), *([r[k] for r in rows] for k in range(3))])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").transform(bounded).mapInArrow(run, "doc_id bigint, t bigint, n bigint, node bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").transform(bounded).mapInArrow(run, "doc_id bigint, t bigint, n bigint, node bigint, parity binary")
 
 
 def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sig, node), each node once a task."""
+    """(sig, node, salt), each node once a task.
+
+    salt is 0 for the first two nodes of a signature in a task, which is
+    enough to tell that it is shared; more of them are known to be shared and
+    dealt by salt.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        met, times = np.zeros(1 << MET_BITS, np.uint64), np.zeros(1 << MET_BITS, np.int8)
         for b in slices(batches):
-            sigs, nodes = [], []
+            sigs, nodes, salts = [], [], []
             for text in b.column(0).cast(pa.binary()).to_pylist():
                 s = shingle_set(text, width)
                 if not len(s):
@@ -180,16 +214,20 @@ def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 node = set_hash(s)
                 if node in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(node)
                 x = signatures(s, percent)
+                slot = (x >> np.uint64(64 - MET_BITS)).astype(np.int64)
+                count = np.where(met[slot] == x, times[slot], 0)
+                met[slot], times[slot] = x, np.minimum(count + 1, 2)
                 sigs.append(x)
                 nodes.append(np.full(len(x), node, np.uint64))
+                salts.append(np.where(count < 2, 0, 1 + node % SALTS).astype(np.int16))
             if sigs:
-                yield batch(SIGNATURES, [as_i64(np.concatenate(sigs)), as_i64(np.concatenate(nodes))])
+                yield batch(SIGNATURES, [as_i64(np.concatenate(sigs)), as_i64(np.concatenate(nodes)), np.concatenate(salts)])
 
-    return docs.select("text").transform(bounded).mapInArrow(run, "sig bigint, node bigint")
+    return docs.select("text").transform(bounded).mapInArrow(run, "sig bigint, node bigint, salt smallint")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -207,17 +245,6 @@ def _once(rows: DataFrame) -> DataFrame:
     return saved(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in rows.columns if c != "node"]), "nodes")
 
 
-def sketches_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, n, parity) for each wanted node."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = [shingle_set(x, width) for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield batch(SKETCHES, [b.column(0), [len(x) for x in sets], [parity(x) for x in sets]])
-
-    return _once(_texts(docs, wanted).transform(bounded).mapInArrow(run, "node bigint, n bigint, parity binary"))
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, set) for each wanted node."""
 
@@ -309,28 +336,27 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     members = saved(membership(docs, width), "members")
-    rows = signature_rows(docs, width, percent).repartition(partitions(spark), "sig")
-    by_sig = Window.partitionBy("sig")
-    shared = rows.withColumn("lo", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig)).filter("lo < hi").select("sig", "node")
+    rows = signature_rows(docs, width, percent).repartition(partitions(spark), "sig", "salt")
+    by_sig = Window.partitionBy("sig", "salt")
+    shared = rows.withColumn("lo", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig)).filter("lo < hi or salt > 0").select("sig", "node")
     shared = saved(shared.distinct(), "shared")
     # a row with a doc_id stands for a set where there is one: nulls come last
-    sizes = members.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("rep"))
-    # the size filter drops pairs that no overlap could link
-    degrees = shared.groupBy("node").agg(F.count("*").alias("deg")).join(sizes, "node")
-    live = saved(shared.join(degrees.select("node", "deg", "n"), "node"), "live")
-    pivots = live.groupBy("sig").agg(F.max(F.struct("deg", "node", "n")).alias("p")).select("sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
+    sets = members.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("rep"), F.first("parity").alias("parity"))
+    nodes = saved(shared.groupBy("node").agg(F.count("*").alias("deg")).join(sets, "node"), "nodes")
+    reps, sketches = nodes.select("node", "rep.doc_id", "rep.t"), nodes.select("node", "n", "parity")
+    # joins read tables, not aggregates, so that AQE can split their hot keys; the size filter drops pairs that no overlap could link
+    live = saved(shared.join(nodes.select("node", "deg", "n"), "node"), "live")
+    pivots = saved(live.groupBy("sig").agg(F.max(F.struct("deg", "node", "n")).alias("p")).select("sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")), "pivots")
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = live.join(pivots, "sig").filter((F.col("node") != F.col("pivot")) & near("n", "pn")).select(*pair("node", "pivot")).distinct()
     star = saved(star, "star")
-    reps = saved(degrees.select("node", "rep.doc_id", "rep.t"), "reps")
-    sketches = sketches_of(docs, reps, width)
     links = linked(docs, star, sketches, reps, width, percent)
     roots = components(links)
     # what is left: pairs that share a signature, lie in different components, and were not held against each other
     named = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members_of = named.groupBy("sig", "root").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
-    pairs_of = members_of.withColumn("pairs", (F.col("all") * F.col("all") - F.col("same")) / 2).filter("pairs > 0").select("sig", (F.col("pairs") > PAIRS_EACH).alias("frequent"))
+    pairs_of = saved(members_of.withColumn("pairs", (F.col("all") * F.col("all") - F.col("same")) / 2).filter("pairs > 0").select("sig", (F.col("pairs") > PAIRS_EACH).alias("frequent")), "pairs")
     rest = saved(named.join(pairs_of, "sig").select("sig", "node", "root", "n", "frequent", F.col("sig").bitwiseAND(F.lit(255)).alias("band")), "rest")
     allowed = F.create_map(*[F.lit(x) for j in range(256) for x in (j, parts_of(j, percent)[4] if j < MOST_BANDS else 0)])
     often = rest.filter("frequent").groupBy("node", "band").agg(F.count("*").alias("c")).filter(F.col("c") > F.element_at(allowed, F.col("band").cast("int"))).select("node", "band")
@@ -341,9 +367,9 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     across = across.unionByName(among(frequent, sketches, percent)).distinct()
     more = linked(docs, saved(across, "across").join(star, ["a", "b"], "left_anti"), sketches, reps, width, percent)
     final = components(links.unionByName(more))
-    labelled = members.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = saved(members.join(final, "node", "left").select("doc_id", "t", "n", F.coalesce("root", "node").alias("root")), "labelled")
     # the smallest doc_id of a component: one row for each component and task is shuffled
-    first = labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    first = saved(labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
     return labelled.join(first, "root", "left").select("doc_id", "t", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_i64, batch, bounded, mix, rolling, saved, slices, word_hashes
+from tessera.llm.common import as_i64, batch, bounded, mix, rolling, saved, slices, unused, word_hashes
 
 WINDOW = 50
 RUN = 8
@@ -36,6 +36,8 @@ WIDTH_BITS = (16, 24)
 SLICE = 1 << 16
 #: Marked documents up to which the marks are broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which the ranges that go are broadcast.
+BROADCAST_BYTES = 48 << 20
 #: The mark of a text that repeats as a whole.
 WHOLE = bytearray(b"*")
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -114,7 +116,7 @@ def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, t) of the rows whose whole text also is that of a smaller doc_id, as a table."""
     keyed = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"))
     first = keyed.groupBy("t", "u").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("t", "u", "first")
-    return saved(keyed.join(first, ["t", "u"]).filter("doc_id > first").select("doc_id", "t").distinct(), "copies")
+    return saved(keyed.join(small(saved(first, "first")), ["t", "u"]).filter("doc_id > first").select("doc_id", "t").distinct(), "copies")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -152,14 +154,15 @@ def repeated(docs: DataFrame, later: DataFrame, window: int = WINDOW) -> DataFra
     found = saved(keyed.transform(bounded).mapInArrow(candidates, "h1 bigint, h2 bigint, doc_id bigint, t bigint, pos int"), "windows")
     # the first document of a window: sums in each task first, so a passage in very many documents is no hot spot
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
-    return found.join(first, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "t", "pos")
+    # as a table, so that AQE can split the rows of a hot window
+    return found.join(small(saved(first, "first")), ["h1", "h2"]).filter("doc_id > first").select("doc_id", "t", "pos")
 
 
-RANGES = pa.schema([("__id", pa.int64()), ("__t", pa.int64()), ("__gone", pa.binary())])
+RANGES = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("gone", pa.binary())])
 
 
-def _marked(docs: DataFrame, window: int) -> DataFrame:
-    """The documents with the ranges of words that go (__gone: pairs of 32-bit starts and ends), null where all stay."""
+def _marked(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
+    """The documents and the name of a column with the ranges of words that go (pairs of 32-bit starts and ends), null where all stay."""
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,10 +175,14 @@ def _marked(docs: DataFrame, window: int) -> DataFrame:
 
     later = copies(docs)
     starts = repeated(docs, later, window).groupBy("doc_id", "t").agg(F.collect_list("pos").alias("p"))
-    ranges = starts.transform(bounded).mapInArrow(merge, "__id bigint, __t bigint, __gone binary")
-    whole = later.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.lit(WHOLE).alias("__gone"))
-    marks = small(saved(ranges.unionByName(whole), "ranges"))
-    return docs.join(marks, (docs["doc_id"] == marks["__id"]) & (F.xxhash64(docs["text"]) == marks["__t"]), "left").drop("__id", "__t")
+    ranges = starts.transform(bounded).mapInArrow(merge, "doc_id bigint, t bigint, gone binary")
+    whole = later.select("doc_id", "t", F.lit(WHOLE).alias("gone"))
+    own = unused(docs.columns)
+    marks = saved(ranges.unionByName(whole), "ranges")
+    size = marks.agg(F.sum(F.octet_length("gone") + 24)).first()[0] or 0  # ranges grow with the texts
+    marks = marks.withColumnsRenamed({c: own + c for c in marks.columns})
+    marks = F.broadcast(marks) if size <= BROADCAST_BYTES else marks
+    return docs.join(marks, (F.col("doc_id") == F.col(own + "doc_id")) & (F.xxhash64("text") == F.col(own + "t")), "left").drop(own + "doc_id", own + "t"), own + "gone"
 
 
 def _gone(n: int, ranges: bytes, window: int) -> np.ndarray:
@@ -214,7 +221,8 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((key, n, removed, hashlib.sha256(b" ".join(words)).hexdigest()))
             yield batch(DIGESTS, [list(c) for c in zip(*rows)])
 
-    return _marked(docs, window).select("doc_id", "text", "__gone").transform(bounded).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    joined, gone = _marked(docs, window)
+    return joined.select("doc_id", "text", gone).transform(bounded).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -223,7 +231,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n_chars, where there is such a column, follows the text.  Documents of
     which nothing is left go; documents that were empty before stay.
     """
-    columns = docs.columns
+    columns = [f"`{c}`" for c in docs.columns]
 
     @F.pandas_udf("string")
     def cut(texts, marks):
@@ -244,8 +252,8 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         return type(texts)([one(t, s) for t, s in zip(texts, marks)], index=texts.index, dtype=object)
 
-    joined = _marked(docs, window)
-    touched = F.col("__gone").isNotNull()
+    joined, ranges = _marked(docs, window)
+    touched = F.col(ranges).isNotNull()
     # only the documents with repeated windows go through Python
-    out = joined.filter(~touched).select(*columns).unionByName(joined.filter(touched).withColumn("text", cut("text", "__gone")).filter(F.col("text").isNotNull()).select(*columns))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    out = joined.filter(~touched).select(*columns).unionByName(joined.filter(touched).withColumn("text", cut("text", ranges)).filter(F.col("text").isNotNull()).select(*columns))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
