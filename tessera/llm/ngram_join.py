@@ -25,13 +25,13 @@ links join is one component, and only pairs across components are left to
 compare.  Copies in one large group thus cost one comparison each.
 
 A passage that many documents share fills parts of its own, and all of them
-would meet there.  Similar sets share f parts more than needed, so of the
-frequent signatures, those with more than PAIRS_EACH pairs to compare, a set
-may have up to f and still meet every similar set elsewhere: only sets with
-more of them are compared there.  Pairs that are left are first held against
-parity sketches: each shingle flips one bit, so sketches of two sets differ in
-no more bits than the sets in shingles, and a pair with more is done without
-its sets.
+would meet there.  Similar sets share f parts more than needed, and as many as
+they have fewer lost parts than allowed.  So of the frequent signatures, those
+with more than PAIRS_EACH pairs to compare, a set does without the most
+frequent ones in so many parts and still meets every similar set.  Pairs that
+are left are first held against parity sketches: each shingle flips one bit, so
+sketches of two sets differ in no more bits than the sets in shingles, and a
+pair with more is done without its sets.
 """
 
 from __future__ import annotations
@@ -54,8 +54,10 @@ BASE = 0xC2B2AE3D27D4EB4F
 #: Subparts of a part, and shingles in which sets may differ within one part: each subset of SUBPARTS - BAD subparts gives a signature.
 SUBPARTS = 3
 BAD = 1
-#: Frequent parts allowed for each part that is needed, and pairs from which a signature is frequent.
-FREQUENT = 0.15
+#: Parts that a signature tells apart.
+PARTS_TOLD = 4096
+#: Frequent parts allowed for each part that is needed, besides those a set has to spare, and pairs from which a signature is frequent.
+FREQUENT = 0.0
 PAIRS_EACH = 256
 #: Deals of a set whose empty parts are too many; one that fails all meets others like it under one signature (NO_BAND).
 SEEDS = 48
@@ -73,6 +75,8 @@ MET_BITS = 18
 SEEN = 50_000
 #: Parts over which the members of a frequent signature are dealt before they are known to be shared.
 SALTS = 255
+#: Spare parts are told up to this number, as they share 15 bits with the salt.
+MOST_SPARE = 127
 #: Documents wanted from the corpus up to which their ids are broadcast; beyond that the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -120,10 +124,11 @@ def bands(size: int, percent: int) -> list[int]:
     return [j for j in range(first, first + 6) if parts_of(j, percent)[0] <= size <= parts_of(j, percent)[1]]
 
 
-def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
-    out = [np.empty(0, np.uint64)]
+def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, spare): parts of its band that the set could do without, besides those allowed to be frequent, for each signature."""
+    out, spare = [np.empty(0, np.uint64)], [np.empty(0, np.int16)]
     if len(shingles) * (100 - percent) < percent:
-        return out[0]  # no other set is similar: one shingle more is too many
+        return out[0], spare[0]  # no other set is similar: one shingle more is too many
     for j in bands(len(shingles), percent):
         _, largest, parts, allowed, _ = parts_of(j, percent)
         if (100 - percent) * 2 * largest < 100 + percent:
@@ -139,14 +144,18 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
             # each subset leaves BAD = 1 subpart out
             subsets, any_ = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums, some.sum(axis=1, keepdims=True) > some
             found = np.flatnonzero(any_)
-            # the low byte names the band
-            out.append(mix(subsets.reshape(-1)[found] + mix(found.astype(np.uint64) + np.uint64((j + 1 << 32) + (seed << 44)))) & ~np.uint64(255) | np.uint64(j))
+            # the low byte names the band, the bits above it the part
+            name = (found // SUBPARTS % PARTS_TOLD << 8 | j).astype(np.uint64)
+            out.append(mix(subsets.reshape(-1)[found] + mix(found.astype(np.uint64) + np.uint64((j + 1 << 32) + (seed << 44)))) & ~np.uint64(PARTS_TOLD * 256 - 1) | name)
             full = some.sum(axis=1)
-            if 2 * np.count_nonzero(full == 0) + np.count_nonzero(full == 1) <= 2 * allowed:
+            lost = np.count_nonzero(full == 0) + (np.count_nonzero(full == 1) + 1) // 2
+            if lost <= allowed:
                 break
         else:
             out.append(np.array([(j << 8) + NO_BAND], np.uint64))
-    return np.concatenate(out)
+        held = sum(map(len, out)) - sum(map(len, spare))
+        spare.append(np.full(held, min(MOST_SPARE, allowed - lost) if seed == 0 and lost <= allowed else 0, np.int16))
+    return np.concatenate(out), np.concatenate(spare)
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -197,9 +206,9 @@ def membership(docs: DataFrame, width: int) -> DataFrame:
 def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(sig, node, salt), each node once a task.
 
-    salt is 0 for the first two nodes of a signature in a task, which is
-    enough to tell that it is shared; more of them are known to be shared and
-    dealt by salt.
+    The low byte of salt is 0 for the first two nodes of a signature in a
+    task, which is enough to tell that it is shared; more of them are known to
+    be shared and dealt by it.  The high byte is the node's spare parts.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,13 +226,13 @@ def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.add(node)
-                x = signatures(s, percent)
+                x, spare = signatures(s, percent)
                 slot = (x >> np.uint64(64 - MET_BITS)).astype(np.int64)
                 count = np.where(met[slot] == x, times[slot], 0)
                 met[slot], times[slot] = x, np.minimum(count + 1, 2)
                 sigs.append(x)
                 nodes.append(np.full(len(x), node, np.uint64))
-                salts.append(np.where(count < 2, 0, 1 + node % SALTS).astype(np.int16))
+                salts.append(np.where(count < 2, 0, 1 + node % SALTS).astype(np.int16) | spare << 8)
             if sigs:
                 yield batch(SIGNATURES, [as_i64(np.concatenate(sigs)), as_i64(np.concatenate(nodes)), np.concatenate(salts)])
 
@@ -326,6 +335,29 @@ def linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, reps: DataFra
     return saved(joined.filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"), "linked")
 
 
+def _needed(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of frequent signatures without those that their sets can do without.
+
+    In an order of all signatures, the most frequent first, a set lets go of
+    the signatures before the one that brings in one part more than it has to
+    spare.  Two similar sets agree in one part more than either of them has to
+    spare; the last of the signatures that they share in these parts comes
+    too late for both to let it go.
+    """
+    by_band = [parts_of(j, percent) if j < MOST_BANDS else (0, 0, 1, 0, 0) for j in range(256)]
+    allowed = F.array(*[F.lit(b[4]) for b in by_band])
+    told = F.array(*[F.lit(b[2] <= PARTS_TOLD) for b in by_band])
+    band = F.col("sig").bitwiseAND(F.lit(255)).cast("int")
+    rows = rows.withColumn("band", band).withColumn("place", F.struct("pairs", "sig"))
+    # where parts are not told apart, each signature counts as one
+    part = F.when(F.get(told, F.col("band")), F.col("sig").bitwiseAND(F.lit(PARTS_TOLD * 256 - 256))).otherwise(F.col("sig"))
+    first = rows.withColumn("part", part).groupBy("node", "band", "part").agg(F.max("place").alias("place"), F.max("spare").alias("spare"))
+    order = Window.partitionBy("node", "band").orderBy(F.col("place").desc())
+    bars = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == F.get(allowed, F.col("band")) + F.col("spare") + 1)
+    bars = saved(bars.select(F.col("node").alias("of"), F.col("band").alias("in"), F.col("place").alias("bar")), "bars")
+    return rows.join(bars, (F.col("node") == F.col("of")) & (F.col("band") == F.col("in")) & (F.col("place") <= F.col("bar"))).select("sig", "node", "root", "n")
+
+
 def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, t, n_shingles, component_id) of every document row.
 
@@ -336,10 +368,10 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     members = saved(membership(docs, width), "members")
-    rows = signature_rows(docs, width, percent).repartition(partitions(spark), "sig", "salt")
+    rows = signature_rows(docs, width, percent).select("sig", "node", F.shiftright("salt", 8).cast("tinyint").alias("spare"), (F.col("salt") % 256).alias("salt")).repartition(partitions(spark), "sig", "salt")
     by_sig = Window.partitionBy("sig", "salt")
-    shared = rows.withColumn("lo", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig)).filter("lo < hi or salt > 0").select("sig", "node")
-    shared = saved(shared.distinct(), "shared")
+    shared = rows.withColumn("lo", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig)).filter("lo < hi or salt > 0")
+    shared = saved(shared.groupBy("sig", "node").agg(F.max("spare").alias("spare")), "shared")
     # a row with a doc_id stands for a set where there is one: nulls come last
     sets = members.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("rep"), F.first("parity").alias("parity"))
     nodes = saved(shared.groupBy("node").agg(F.count("*").alias("deg")).join(sets, "node"), "nodes")
@@ -356,12 +388,10 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     # what is left: pairs that share a signature, lie in different components, and were not held against each other
     named = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members_of = named.groupBy("sig", "root").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
-    pairs_of = saved(members_of.withColumn("pairs", (F.col("all") * F.col("all") - F.col("same")) / 2).filter("pairs > 0").select("sig", (F.col("pairs") > PAIRS_EACH).alias("frequent")), "pairs")
-    rest = saved(named.join(pairs_of, "sig").select("sig", "node", "root", "n", "frequent", F.col("sig").bitwiseAND(F.lit(255)).alias("band")), "rest")
-    allowed = F.create_map(*[F.lit(x) for j in range(256) for x in (j, parts_of(j, percent)[4] if j < MOST_BANDS else 0)])
-    often = rest.filter("frequent").groupBy("node", "band").agg(F.count("*").alias("c")).filter(F.col("c") > F.element_at(allowed, F.col("band").cast("int"))).select("node", "band")
-    frequent = saved(rest.filter("frequent").join(often, ["node", "band"], "left_semi").select("sig", "node", "root", "n"), "frequent")
-    rest = rest.filter("not frequent").select("sig", "node", "root", "n")
+    pairs_of = saved(members_of.withColumn("pairs", (F.col("all") * F.col("all") - F.col("same")) / 2).filter("pairs > 0").select("sig", "pairs"), "pairs")
+    rest = saved(named.join(pairs_of, "sig").select("sig", "node", "root", "n", "spare", "pairs"), "rest")
+    frequent = saved(_needed(rest.filter(F.col("pairs") > PAIRS_EACH), percent), "frequent")
+    rest = rest.filter(F.col("pairs") <= PAIRS_EACH)
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root")) & near(F.col("x.n"), F.col("y.n"))).select(*pair(F.col("x.node"), F.col("y.node"))).distinct()
     across = across.unionByName(among(frequent, sketches, percent)).distinct()

@@ -324,6 +324,25 @@ def test_ngram_join(spark, mixed, width, percent):
     assert ngram_join.classes(table(spark, []), width, percent).count() == 0
 
 
+def test_ngram_join_frequent_signatures(spark, monkeypatch):
+    """A passage that all documents share makes its signatures frequent; pairs at the threshold are still found where sets do without some of them."""
+    monkeypatch.setattr(ngram_join, "PAIRS_EACH", 2)
+    monkeypatch.setattr(ngram_join, "CHUNK", 16)
+    rnd = random.Random(21)
+    passage, rows = prose(rnd, 90).split(), []
+    for i in range(60):
+        words = prose(rnd, rnd.choice([8, 16, 24, 40])).split() + passage
+        rows.append((3 * i, " ".join(words)))
+        for k in (1, 2):  # one or two words changed: just about the threshold
+            edited = list(words)
+            for at in rnd.sample(range(len(words)), rnd.choice([1, 2, 3])):
+                edited[at] = f"e{i}x{at}"
+            rows.append((3 * i + k, " ".join(edited)))
+    want = brute_classes(brute_sets(rows, 5), 80)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.classes(table(spark, rows), 5, 80).collect())
+    assert got == want and 20 < len({c for _, _, c in want}) < 170
+
+
 def test_ngram_join_null_ids(spark):
     """Rows with a null doc_id link others: as copies of a set that has near copies, and as the only row of a set between two others."""
     rnd, last = random.Random(2), 10**9
@@ -357,7 +376,7 @@ def test_signatures_meet():
                 if lost == extra == 0:
                     continue  # equal sets are one node
                 a, b = base[:n], np.concatenate([base[lost:n], base[n : n + extra]])
-                assert np.intersect1d(ngram_join.signatures(np.sort(a), percent), ngram_join.signatures(np.sort(b), percent)).size, (percent, n, extra)
+                assert np.intersect1d(ngram_join.signatures(np.sort(a), percent)[0], ngram_join.signatures(np.sort(b), percent)[0]).size, (percent, n, extra)
 
 
 def test_components(spark):
