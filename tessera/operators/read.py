@@ -11,21 +11,32 @@ from tessera.functions import grid
 from tessera.functions.dtypes import DType
 
 
-def newest_chunks(data: DataFrame, index: DataFrame | None) -> DataFrame:
-    """The newest row of each chunk.
+#: Chunks up to which the winners are broadcast, 24 bytes each.
+BROADCAST_ROWS = 500_000
+
+
+def newest_chunks(data: DataFrame, index: DataFrame | None, chunks: int | None = None) -> DataFrame:
+    """The newest row of each chunk; `chunks` is how many there can be, counted if it is not known.
 
     The winners come from the narrow index, a hash aggregate that never
-    carries values; the join back is then on the unique (array, chunk, write).
-    With a single part there is nothing to resolve.
+    carries values; the join back is then on the unique (array, chunk, write),
+    and moves values only where there are too many winners to broadcast.  With
+    a single part there is nothing to resolve.
     """
     if index is None:
         return data
     winners = index.groupBy("array_id", "chunk_ord").agg(F.max("wseq").alias("wseq"))
+    if (winners.count() if chunks is None else chunks) <= BROADCAST_ROWS:
+        winners = F.broadcast(winners)
     return data.join(winners, ["array_id", "chunk_ord", "wseq"], "left_semi")
 
 
-def dense_chunks(spark: SparkSession, chunks: DataFrame | None, shape: Sequence[int], chunk: Sequence[int], axes: Sequence[range], t: DType, fill: Column) -> DataFrame:
-    """(chunk_ord, vals) of every chunk in the ranges; chunks that nobody wrote hold the fill value."""
+def dense_chunks(spark: SparkSession, chunks: DataFrame | None, index: DataFrame | None, shape: Sequence[int], chunk: Sequence[int], axes: Sequence[range], t: DType, fill: Column) -> DataFrame:
+    """(chunk_ord, vals) of every chunk in the ranges; chunks that nobody wrote hold the fill value.
+
+    Which ones those are is told by the index alone, so written values stay in
+    the task that reads them.
+    """
     count = 1
     for r in axes:
         count *= len(r)
@@ -34,7 +45,9 @@ def dense_chunks(spark: SparkSession, chunks: DataFrame | None, shape: Sequence[
     blank = F.array_repeat(fill, length)
     if chunks is None:
         return ords.select("chunk_ord", blank.alias("vals"))
-    return ords.join(chunks.select("chunk_ord", "vals"), "chunk_ord", "left").select("chunk_ord", F.coalesce("vals", blank).alias("vals"))
+    written = index.select("chunk_ord").distinct()
+    missing = ords.join(F.broadcast(written) if count <= BROADCAST_ROWS else written, "chunk_ord", "left_anti")
+    return chunks.select("chunk_ord", "vals").unionByName(missing.select("chunk_ord", blank.alias("vals")))
 
 
 def cells(chunks: DataFrame, shape: Sequence[int], chunk: Sequence[int], start: Sequence[int], stop: Sequence[int]) -> DataFrame:

@@ -18,15 +18,29 @@ from tessera.functions.dtypes import DTYPES, DType
 #: Typed fields of the smallest and largest value: integers of any kind, floats, bytes.
 INDEX_SCHEMA = "array_id bigint, chunk_ord bigint, wseq bigint, n bigint, nn bigint, min_i decimal(20,0), max_i decimal(20,0), min_f double, max_f double, min_b binary, max_b binary"
 
+#: Arrays with a null marker up to which the table of markers is broadcast.
+BROADCAST_ROWS = 200_000
+
 
 def value_column(t: DType) -> str:
     return {"Float": "f", "Bytes": "b"}.get(t.stat, "i")
 
 
 def partials(chunks: DataFrame, t: DType, fills: dict[int, object]) -> DataFrame:
-    """Index rows of chunk rows (array_id, chunk_ord, wseq, vals); fills: the null marker of each array that has one."""
-    marker = fill_column(chunks, t, fills)
-    v = F.filter("vals", lambda x: x.isNotNull() & ~x.eqNullSafe(marker)) if fills else F.filter("vals", lambda x: x.isNotNull())
+    """Index rows of chunk rows (array_id, chunk_ord, wseq, vals); fills: the null marker, or None, of each array in the part.
+
+    A marker counts for its own array only.  One array's is a literal; those of
+    many arrays are a small table, of which only the arrays that have one are
+    rows.
+    """
+    held = {k: x for k, x in fills.items() if x is not None}
+    if len(fills) == 1 or not held:
+        marker = literal(t, next(iter(held.values()), None))
+    else:
+        rows = chunks.sparkSession.createDataFrame([(k, _cell(t, x)) for k, x in held.items()], f"of bigint, marker {t.spark}")
+        chunks = chunks.join(F.broadcast(rows) if len(held) <= BROADCAST_ROWS else rows, F.col("array_id") == F.col("of"), "left")
+        marker = F.col("marker")
+    v = F.filter("vals", lambda x: x.isNotNull() & ~x.eqNullSafe(marker)) if held else F.filter("vals", lambda x: x.isNotNull())
     low, high = F.array_min("v"), F.array_max("v")
     own = value_column(t)
     kind = {"i": "decimal(20,0)", "f": "double", "b": "binary"}
@@ -35,12 +49,12 @@ def partials(chunks: DataFrame, t: DType, fills: dict[int, object]) -> DataFrame
     return chunks.select("array_id", "chunk_ord", "wseq", F.size("vals").cast("bigint").alias("n"), v.alias("v")).select("array_id", "chunk_ord", "wseq", "n", F.size("v").cast("bigint").alias("nn"), *cols)
 
 
-def fill_column(chunks: DataFrame, t: DType, fills: dict[int, object]) -> Column:
-    """The null marker of a chunk's array: a literal for one array, else a lookup in a literal map."""
-    lit = lambda x: F.lit(None if x is None else Decimal(x) if t.name == "uint64" else bytearray(x) if t.name == "binary" else x).cast(t.spark)
-    if len(set(map(repr, fills.values()))) <= 1:
-        return lit(next(iter(fills.values()), None))
-    return F.create_map(*[y for k, x in fills.items() for y in (F.lit(k).cast("bigint"), lit(x))])[F.col("array_id")]
+def _cell(t: DType, x):
+    return None if x is None else Decimal(x) if t.name == "uint64" else bytearray(x) if t.name == "binary" else x
+
+
+def literal(t: DType, x) -> Column:
+    return F.lit(_cell(t, x)).cast(t.spark)
 
 
 def newest(index: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def extent(df: DataFrame, key: str) -> int:
 
 @topic
 def events(spark, sf_dir, s):
-    """value: even chunks of 1000, then a patch over [2500, 3500); kept: written once and whole."""
+    """value: even chunks of 1000, then a patch over a tenth of the extent, from a quarter on; whole: written once."""
     ev = table(spark, sf_dir, "events")
     n = extent(ev, "event_id")
     s.define_array("value", "float64", [n], [1000], ["event_id"], Fill("Float", -999.0))
@@ -54,23 +54,12 @@ def events(spark, sf_dir, s):
     s.write_cells("whole", cells)
     s.write_cells("user", ev.select(F.col("event_id").alias("d0"), F.col("user_id").alias("v")))
     s.flush()
-    s.write_cells("value", cells.filter("d0 >= 2500 and d0 < 3500").withColumn("v", F.col("v") * 10))
+    s.write_cells("value", cells.filter((F.col("d0") >= n // 4) & (F.col("d0") < n * 7 // 20)).withColumn("v", F.col("v") * 10))
     s.flush()
 
 
 @topic
 def pending(spark, sf_dir, s):
-    """As events' value, but the patch is not flushed."""
-    ev = table(spark, sf_dir, "events")
-    cells = ev.select(F.col("event_id").alias("d0"), F.col("value").alias("v"))
-    s.define_array("value", "float64", [extent(ev, "event_id")], [1000], fill=Fill("Float", -1.0))
-    s.write_cells("value", cells.filter("d0 < 500"))
-    s.flush()
-    s.write_cells("value", cells.filter("d0 between 250 and 749").withColumn("v", -F.col("v")))
-
-
-@topic
-def pending_whole(spark, sf_dir, s):
     """The lower half, flushed, and the middle half over it, not flushed."""
     ev = table(spark, sf_dir, "events")
     n = extent(ev, "event_id")
@@ -82,13 +71,13 @@ def pending_whole(spark, sf_dir, s):
 
 
 @topic
-def patched_whole(spark, sf_dir, s):
-    """Whole tables, then patches whose extent grows with the table's: rmw, cross and apart of events, row and inner of embeddings."""
+def patched(spark, sf_dir, s):
+    """Whole tables, then patches whose extent grows with the table's: rmw, cross, apart and full of events, row and inner of embeddings."""
     ev, em = table(spark, sf_dir, "events"), table(spark, sf_dir, "embeddings")
     n, rows = extent(ev, "event_id"), extent(em, "vec_id")
     cells = ev.select(F.col("event_id").alias("d0"), F.col("value").alias("v"))
     matrix = em.select(F.col("vec_id").alias("d0"), F.posexplode("embedding").alias("p", "v")).select("d0", F.col("p").cast("bigint").alias("d1"), "v")
-    for name in ("rmw", "cross", "apart"):
+    for name in ("rmw", "cross", "apart", "full"):
         s.define_array(name, "float64", [n], [1000], fill=Fill("Float", -999.0))
         s.write_cells(name, cells.filter("(d0 div 1000) % 2 = 0") if name == "rmw" else cells)
     for name in ("row", "inner"):
@@ -96,6 +85,7 @@ def patched_whole(spark, sf_dir, s):
         s.write_cells(name, matrix)
     s.flush()
     s.write_cells("rmw", cells.filter((F.col("d0") >= n // 4) & (F.col("d0") < n * 3 // 4)).withColumn("v", F.col("v") * 10))
+    s.write_cells("full", cells.filter("(d0 div 1000) % 2 = 1").withColumn("v", -F.col("v")))
     s.write_cells("cross", cells.filter((F.col("d0") >= n // 10) & (F.col("d0") < n * 9 // 10)).withColumn("v", F.lit(1.0)))
     s.write_cells("cross", cells.filter((F.col("d0") >= n // 3) & (F.col("d0") < n * 2 // 3)).withColumn("v", F.lit(2.0)))
     s.write_cells("apart", cells.filter("(d0 div 1000) % 3 = 1 and d0 % 1000 between 200 and 799").withColumn("v", -F.col("v")))
@@ -115,7 +105,7 @@ def vectors(spark, sf_dir, s):
         s.write_cells(name, cells)
     s.flush()
     s.write_array("patched", [2, 0], np.full((1, 64), 7, dtype="float32"))
-    s.write_array("patched", [120, 14], np.full((16, 4), 5, dtype="float32"))
+    s.write_array("patched", [shape[0] // 4, 14], np.full((16, 4), 5, dtype="float32"))
     s.flush()
 
 
@@ -149,8 +139,8 @@ def orders(spark, sf_dir, s):
     s.flush()
     s.write_cells("price", cells.filter(F.col("d0") >= n // 2))
     s.flush()
-    s.write_cells("price", cells.filter("d0 between 100 and 899").withColumn("v", F.lit(1.0)))
-    s.write_cells("price", cells.filter("d0 between 300 and 599").withColumn("v", F.lit(2.0)))
+    s.write_cells("price", cells.filter((F.col("d0") >= n // 10) & (F.col("d0") < n * 9 // 10)).withColumn("v", F.lit(1.0)))
+    s.write_cells("price", cells.filter((F.col("d0") >= n // 3) & (F.col("d0") < n * 2 // 3)).withColumn("v", F.lit(2.0)))
     s.flush()
 
 
@@ -162,6 +152,8 @@ def typed(spark, sf_dir, s):
     ns = F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000
     for name, kind, n, fill, df in (
         ("int", "int32", np_, Fill("Int", 1), p.select(F.col("p_partkey").alias("d0"), F.col("p_size").alias("v"))),
+        ("plain", "int32", np_, None, p.select(F.col("p_partkey").alias("d0"), F.col("p_size").alias("v"))),
+        ("half", "int32", np_ + 7, Fill("Int", 25), p.select(F.col("p_partkey").alias("d0"), F.col("p_size").alias("v"))),
         ("byte", "uint8", np_, Fill("UInt", 50), p.select(F.col("p_partkey").alias("d0"), F.col("p_size").alias("v"))),
         ("big", "uint64", np_, None, p.select(F.col("p_partkey").alias("d0"), (F.lit("18446744073709551615").cast("decimal(20,0)") - F.col("p_partkey")).cast("decimal(20,0)").alias("v"))),
         ("float", "float64", ne, None, ev.select(F.col("event_id").alias("d0"), (F.col("value") + F.lit(0.0)).alias("v"))),
@@ -184,18 +176,18 @@ def catalog(spark, sf_dir, s):
     for name, kind, shape, chunk in (("a", "int32", [10], [4]), ("b", "float32", [4, 6], [2, 3]), ("c", "string", [4], None), ("gone", "int8", [2], None), ("again", "int64", [6], [2])):
         s.define_array(name, kind, shape, chunk, fill=Fill("Int", 9) if name == "again" else None)
     s.write_array("a", [0], np.arange(10, dtype="int32"))
-    s.write_array("c", [0], ["alpha", "beta", "gamma", "delta"])
+    s.write_array("c", [0], ["north", "east", "south", "west"])
     s.write_array("gone", [0], np.array([1, 2], dtype="int8"))
     s.write_array("again", [0], np.arange(6, dtype="int64"))
-    s.set_attribute("a", "units", "hPa")
-    s.set_attribute("b", "units", "K")
+    s.set_attribute("a", "units", "mm")
+    s.set_attribute("b", "units", "cm")
     s.set_attribute("a", "level", Attr("Int32", 3))
     s.flush()
     s.delete("gone")
     s.delete("again")
     s.define_array("again", "int64", [6], [2], fill=Fill("Int", 9))
     s.write_array("again", [2], np.array([42, 43], dtype="int64"))
-    s.set_attribute("b", "units", "Pa")
+    s.set_attribute("b", "units", "m")
     s.set_attribute("b", "level", Attr("Int32", 8))
     s.define_array("answer", "int32", [], fill=Fill("Int", 42))
     s.define_array("orders", "int64", [])

@@ -27,8 +27,17 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def _read(topic: str, array: str, start=(), shape=(), **options) -> Query:
-    return lambda spark, d: store(spark, d, topic, **options).read_cells(array, start, shape)
+def _read(topic: str, array: str, **options) -> Query:
+    return lambda spark, d: store(spark, d, topic, **options).read_cells(array)
+
+
+def _region(topic: str, array: str, region: Callable[[list[int]], tuple[list[int], list[int]]]) -> Query:
+    """A region (start, shape) that follows the array's shape."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = store(spark, d, topic)
+        return s.read_cells(array, *region(s.get_array(array).shape))
+
+    return run
 
 
 def _add(name: str, f: Query, sql: str) -> None:
@@ -37,19 +46,23 @@ def _add(name: str, f: Query, sql: str) -> None:
 
 # -- region reads ------------------------------------------------------------
 
-VALUE = "CASE WHEN event_id BETWEEN 2500 AND 3499 THEN value * 10 WHEN (event_id // 1000) % 2 = 0 THEN value ELSE -999.0 END"
+N = "(SELECT max(event_id) + 1 FROM events)"
+ROWS = "(SELECT max(vec_id) + 1 FROM embeddings)"
+ORDERS = "(SELECT max(o_orderkey) + 1 FROM orders)"
+#: What the store of topic events holds in `value`: even chunks of 1000, then a patch of a tenth of the extent.
+VALUE = f"CASE WHEN event_id >= {N} // 4 AND event_id < {N} * 7 // 20 THEN value * 10 WHEN (event_id // 1000) % 2 = 0 THEN value ELSE -999.0 END"
 CELL2 = "SELECT CAST(vec_id AS BIGINT) AS d0, CAST(i AS BIGINT) AS d1, embedding[i + 1] AS v FROM embeddings, range(64) t(i)"
 _add("full_read_1d", _read("events", "value"), f"SELECT event_id AS d0, {VALUE} AS v FROM events")
-_add("subregion_1d", _read("events", "value", [1500], [3000]), f"SELECT event_id AS d0, {VALUE} AS v FROM events WHERE event_id BETWEEN 1500 AND 4499")
-_add("read_clamped", _read("events", "value", [900], [10**9]), f"SELECT event_id AS d0, {VALUE} AS v FROM events WHERE event_id >= 900")
-_add("read_rank_default", _read("events", "whole", [1, 2], [3, 4, 5]), "SELECT event_id AS d0, value AS v FROM events")
+_add("subregion_1d", _region("events", "value", lambda s: ([s[0] * 3 // 20], [s[0] * 9 // 20 - s[0] * 3 // 20])), f"SELECT event_id AS d0, {VALUE} AS v FROM events WHERE event_id >= {N} * 3 // 20 AND event_id < {N} * 9 // 20")
+_add("read_clamped", _region("events", "value", lambda s: ([s[0] // 11], [10**9])), f"SELECT event_id AS d0, {VALUE} AS v FROM events WHERE event_id >= {N} // 11")
+_add("read_rank_default", _region("events", "whole", lambda s: ([1, 2], [3, 4, 5])), "SELECT event_id AS d0, value AS v FROM events")
 _add("full_read_2d", _read("vectors", "m"), CELL2)
-_add("subregion_2d_multi_chunk", _read("vectors", "m", [100, 10], [40, 10]), f"SELECT * FROM ({CELL2}) c WHERE d0 BETWEEN 100 AND 139 AND d1 BETWEEN 10 AND 19")
-_add("edge_chunk_read", _read("vectors", "m", [380, 40], [10**6, 24]), f"SELECT * FROM ({CELL2}) c WHERE d0 >= 380 AND d1 >= 40")
+_add("subregion_2d_multi_chunk", _region("vectors", "m", lambda s: ([s[0] // 5, 10], [s[0] // 2 - s[0] // 5, 10])), f"SELECT * FROM ({CELL2}) c WHERE d0 >= {ROWS} // 5 AND d0 < {ROWS} // 2 AND d1 BETWEEN 10 AND 19")
+_add("edge_chunk_read", _region("vectors", "m", lambda s: ([s[0] * 3 // 4, 40], [10**6, 24])), f"SELECT * FROM ({CELL2}) c WHERE d0 >= {ROWS} * 3 // 4 AND d1 >= 40")
 CUBE = "SELECT l_suppkey AS s, l_linenumber - 1 AS l, year(l_shipdate) - 1995 AS y, sum(l_quantity) AS q FROM lineitem GROUP BY ALL"
 _add(
     "subregion_3d",
-    _read("cube", "q", [3, 1, 2], [6, 5, 4]),
+    _region("cube", "q", lambda s: ([3, 1, 2], [6, 5, 4])),
     f"SELECT CAST(g.s AS BIGINT) AS d0, CAST(h.l AS BIGINT) AS d1, CAST(k.y AS BIGINT) AS d2, coalesce(c.q, 0.0) AS v FROM range(3, 9) g(s), range(1, 6) h(l), range(2, 6) k(y) LEFT JOIN ({CUBE}) c ON c.s = g.s AND c.l = h.l AND c.y = k.y",
 )
 _add(
@@ -76,28 +89,19 @@ _add("fill_timestamp", _read("typed", "time"), "SELECT o_orderkey AS d0, CAST(ep
 
 # -- writes ----------------------------------------------------------------------
 
-_add("write_full_chunks", _read("events", "whole"), "SELECT event_id AS d0, value AS v FROM events")
-_add("write_partial_rmw", _read("events", "value", [2000], [2000]), f"SELECT event_id AS d0, {VALUE} AS v FROM events WHERE event_id BETWEEN 2000 AND 3999")
-PRICE = "CASE WHEN o_orderkey BETWEEN 300 AND 599 THEN 2.0 WHEN o_orderkey BETWEEN 100 AND 899 THEN 1.0 ELSE o_totalprice END"
-_add("write_cross_chunk", _read("orders", "price", [0], [1200]), f"SELECT o_orderkey AS d0, {PRICE} AS v FROM orders WHERE o_orderkey < 1200")
-_add("write_non_adjacent", _read("events", "value", [0], [5000]), f"SELECT event_id AS d0, {VALUE} AS v FROM events WHERE event_id < 5000")
-PATCH = f"SELECT d0, d1, CASE WHEN d0 BETWEEN 120 AND 135 AND d1 BETWEEN 14 AND 17 THEN CAST(5 AS FLOAT) WHEN d0 = 2 THEN CAST(7 AS FLOAT) ELSE v END AS v FROM ({CELL2}) c"
-_add("write_row_2d", _read("vectors", "patched", [0, 0], [8, 64]), f"SELECT * FROM ({PATCH}) p WHERE d0 < 8")
-_add("write_inner_patch_2d", _read("vectors", "patched", [110, 8], [40, 16]), f"SELECT * FROM ({PATCH}) p WHERE d0 BETWEEN 110 AND 149 AND d1 BETWEEN 8 AND 23")
+# whole arrays are read, so damage outside a patch is seen; patches grow with the extent
+PRICE = f"CASE WHEN o_orderkey >= {ORDERS} // 3 AND o_orderkey < {ORDERS} * 2 // 3 THEN 2.0 WHEN o_orderkey >= {ORDERS} // 10 AND o_orderkey < {ORDERS} * 9 // 10 THEN 1.0 ELSE o_totalprice END"
+PATCHED = f"SELECT d0, d1, CASE WHEN d0 >= {ROWS} // 4 AND d0 < {ROWS} // 4 + 16 AND d1 BETWEEN 14 AND 17 THEN CAST(5 AS FLOAT) WHEN d0 = 2 THEN CAST(7 AS FLOAT) ELSE v END AS v FROM ({CELL2}) c"
+_add("write_full_chunks", _read("patched", "full"), "SELECT event_id AS d0, CASE WHEN (event_id // 1000) % 2 = 1 THEN -value ELSE value END AS v FROM events")
+_add("write_partial_rmw", _read("patched", "rmw"), f"SELECT event_id AS d0, CASE WHEN event_id >= {N} // 4 AND event_id < {N} * 3 // 4 THEN value * 10 WHEN (event_id // 1000) % 2 = 0 THEN value ELSE -999.0 END AS v FROM events")
+_add("write_cross_chunk", _read("patched", "cross"), f"SELECT event_id AS d0, CASE WHEN event_id >= {N} // 3 AND event_id < {N} * 2 // 3 THEN 2.0 WHEN event_id >= {N} // 10 AND event_id < {N} * 9 // 10 THEN 1.0 ELSE value END AS v FROM events")
+_add("write_non_adjacent", _read("patched", "apart"), "SELECT event_id AS d0, CASE WHEN (event_id // 1000) % 3 = 1 AND event_id % 1000 BETWEEN 200 AND 799 THEN -value ELSE value END AS v FROM events")
+_add("write_row_2d", _read("patched", "row"), f"SELECT d0, d1, CASE WHEN d0 % 50 = 2 THEN CAST(7 AS FLOAT) ELSE v END AS v FROM ({CELL2}) c")
+_add("write_inner_patch_2d", _read("patched", "inner"), f"SELECT d0, d1, CASE WHEN d0 >= {ROWS} // 4 AND d0 < {ROWS} * 3 // 4 AND d1 BETWEEN 14 AND 49 THEN CAST(5 AS FLOAT) ELSE v END AS v FROM ({CELL2}) c")
+_add("write_arrays_of_driver", _read("vectors", "patched"), PATCHED)
 _add("latest_write_wins", _read("orders", "price"), f"SELECT o_orderkey AS d0, {PRICE} AS v FROM orders")
-_add("layered_append_array", _read("orders", "price", [900], [10**12]), f"SELECT o_orderkey AS d0, {PRICE} AS v FROM orders WHERE o_orderkey >= 900")
-_add("pending_read_your_writes", _read("pending", "value", [0], [1000]), "SELECT event_id AS d0, CASE WHEN event_id BETWEEN 250 AND 749 THEN -value WHEN event_id < 500 THEN value ELSE -1.0 END AS v FROM events WHERE event_id < 1000")
-
-
-# the same over whole arrays: patches grow with the extent, and every cell is read, so damage outside a patch is seen
-EVENTS = "events, (SELECT max(event_id) + 1 AS n FROM events) x"
-VECTORS = f"({CELL2}) c, (SELECT max(vec_id) + 1 AS n FROM embeddings) x"
-_add("pending_read_whole", _read("pending_whole", "value"), f"SELECT event_id AS d0, CASE WHEN event_id >= n // 4 AND event_id < n * 3 // 4 THEN -value WHEN event_id < n // 2 THEN value ELSE -1.0 END AS v FROM {EVENTS}")
-_add("write_partial_rmw_whole", _read("patched_whole", "rmw"), f"SELECT event_id AS d0, CASE WHEN event_id >= n // 4 AND event_id < n * 3 // 4 THEN value * 10 WHEN (event_id // 1000) % 2 = 0 THEN value ELSE -999.0 END AS v FROM {EVENTS}")
-_add("write_cross_chunk_whole", _read("patched_whole", "cross"), f"SELECT event_id AS d0, CASE WHEN event_id >= n // 3 AND event_id < n * 2 // 3 THEN 2.0 WHEN event_id >= n // 10 AND event_id < n * 9 // 10 THEN 1.0 ELSE value END AS v FROM {EVENTS}")
-_add("write_non_adjacent_whole", _read("patched_whole", "apart"), "SELECT event_id AS d0, CASE WHEN (event_id // 1000) % 3 = 1 AND event_id % 1000 BETWEEN 200 AND 799 THEN -value ELSE value END AS v FROM events")
-_add("write_row_2d_whole", _read("patched_whole", "row"), f"SELECT d0, d1, CASE WHEN d0 % 50 = 2 THEN CAST(7 AS FLOAT) ELSE v END AS v FROM ({CELL2}) c")
-_add("write_inner_patch_2d_whole", _read("patched_whole", "inner"), f"SELECT d0, d1, CASE WHEN d0 >= n // 4 AND d0 < n * 3 // 4 AND d1 BETWEEN 14 AND 49 THEN CAST(5 AS FLOAT) ELSE v END AS v FROM {VECTORS}")
+_add("layered_append_array", _region("orders", "price", lambda s: ([s[0] // 2], [10**12])), f"SELECT o_orderkey AS d0, {PRICE} AS v FROM orders WHERE o_orderkey >= {ORDERS} // 2")
+_add("pending_read_your_writes", _read("pending", "value"), f"SELECT event_id AS d0, CASE WHEN event_id >= {N} // 4 AND event_id < {N} * 3 // 4 THEN -value WHEN event_id < {N} // 2 THEN value ELSE -1.0 END AS v FROM events")
 
 
 @query("SELECT o_custkey AS d0, max_by(o_totalprice, o_orderkey) AS v FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey, 0.0 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey <= (SELECT max(o_custkey) FROM orders)")
@@ -132,18 +136,22 @@ def num_layers(spark, d):
     return spark.createDataFrame([(0, store(spark, d, "events").num_layers()), (1, store(spark, d, "compacted").num_layers())], "topic bigint, layers bigint")
 
 
-@query("SELECT a.i * 22 + b.i * 4 + c.i AS chunk_ord, CAST(least(3, 16 - 3 * a.i) * least(5, 28 - 5 * b.i) * least(2, 7 - 2 * c.i) AS BIGINT) AS n FROM range(6) a(i), range(6) b(i), range(4) c(i)".replace("* 22", "* 24"))
+@query("SELECT a.i * 24 + b.i * 4 + c.i AS chunk_ord, CAST(least(3, 16 - 3 * a.i) * least(5, 28 - 5 * b.i) * least(2, 7 - 2 * c.i) AS BIGINT) AS n FROM range(6) a(i), range(6) b(i), range(4) c(i)")
 def chunk_grid(spark, d):
     shape, chunk = [16, 28, 7], [3, 5, 2]
     axes = [range(g) for g in grid.grid_of(shape, chunk)]
     return spark.range(144).select(F.expr(grid.ordinal_of_rank_sql(shape, chunk, axes)).alias("chunk_ord")).select("chunk_ord", F.expr(grid.chunk_len_sql(shape, chunk)).cast("bigint").alias("n"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS chunk_ord FROM range(9) t(i) WHERE i >= 1 AND i <= (SELECT least(8, max(event_id) // 1000) FROM events) AND (i % 2 = 0 OR i = 3)")
+#: Chunks of `value` that are written: even ones, and those that the patch meets.
+WRITTEN = f"(i % 2 = 0 OR (i >= {N} // 4 // 1000 AND i <= ({N} * 7 // 20 - 1) // 1000))"
+
+
+@query(f"SELECT CAST(i AS BIGINT) AS chunk_ord FROM (SELECT DISTINCT event_id // 1000 AS i FROM events) t WHERE i >= {N} * 3 // 20 // 1000 AND i <= ({N} * 17 // 20 - 1) // 1000 AND {WRITTEN}")
 def chunk_overlap_prune(spark, d):
     """Written chunks of a region: pruned on the driver, found in the index alone."""
     a = store(spark, d, "events").get_array("value")
-    axes, _ = grid.overlapping(a.shape, a.chunk, [1500], [min(8500, a.shape[0])])
+    axes, _ = grid.overlapping(a.shape, a.chunk, [a.shape[0] * 3 // 20], [a.shape[0] * 17 // 20])
     return store(spark, d, "events").chunk_index("value").filter(grid.ordinal_filter(a.shape, a.chunk, axes)).select("chunk_ord")
 
 
@@ -181,7 +189,7 @@ _add("in_memory_roundtrip", _read("events", "user"), "SELECT event_id AS d0, CAS
 # -- attributes ---------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('a', 'hPa'), ('b', 'Pa'), ('c', NULL), ('again', NULL), ('answer', NULL), ('orders', NULL), ('__file__', NULL)) t(name, units)")
+@query("SELECT * FROM (VALUES ('a', 'mm'), ('b', 'm'), ('c', NULL), ('again', NULL), ('answer', NULL), ('orders', NULL), ('__file__', NULL)) t(name, units)")
 def attr_index(spark, d):
     return store(spark, d, "catalog").attribute_index("units").select("name", F.col("value.s").alias("units"))
 
@@ -192,7 +200,7 @@ def attr_get(spark, d):
     return spark.createDataFrame([("a", x.kind, x.value)], "name string, kind string, level bigint")
 
 
-@query("SELECT 'Pa' AS units")
+@query("SELECT 'm' AS units")
 def attr_overwrite(spark, d):
     return store(spark, d, "catalog").attribute_index("units").filter("name = 'b'").select(F.col("value.s").alias("units"))
 
@@ -233,8 +241,12 @@ _stat("stats_timestamp", "time", "i", "SELECT 'TimestampNs' AS kind, CAST(min(ep
 _stat("stats_unwritten_null", "value", "f", f"SELECT 'Float' AS kind, min(v) FILTER (v <> -999.0) AS low, max(v) FILTER (v <> -999.0) AS high, CAST(count_if(v = -999.0) AS BIGINT) AS null_count, count(*) AS row_count FROM (SELECT {VALUE} AS v FROM events) t", "events")
 _stat("stats_after_overwrite", "price", "f", f"SELECT 'Float' AS kind, min(v) AS low, max(v) AS high, CAST(0 AS BIGINT) AS null_count, count(*) AS row_count FROM (SELECT {PRICE} AS v FROM orders) t", "orders")
 _stat("stats_survive_compact", "value", "f", SQL["stats_unwritten_null"], "compacted")
-SQL["stats_fill_as_null"] = SQL["stats_int"]
-QUERIES["stats_fill_as_null"] = QUERIES["stats_int"]
+# written cells that equal the fill value and cells that nobody wrote are null alike
+_stat("stats_fill_as_null", "half", "i", "SELECT 'Int' AS kind, CAST(min(p_size) FILTER (p_size <> 25) AS VARCHAR) AS low, CAST(max(p_size) FILTER (p_size <> 25) AS VARCHAR) AS high, CAST(count_if(p_size = 25) + 7 AS BIGINT) AS null_count, count(*) + 7 AS row_count FROM part")
+# an array without a fill value beside arrays of its type that have one
+_stat("stats_mixed_fills", "plain", "i", "SELECT 'Int' AS kind, CAST(min(p_size) AS VARCHAR) AS low, CAST(max(p_size) AS VARCHAR) AS high, CAST(0 AS BIGINT) AS null_count, count(*) AS row_count FROM part")
+# a float fill value is read where nobody wrote, but marks no written integer, nor those that fill up a chunk that is written in part
+_stat("stats_fill_kind_mismatch", "float_fill", "i", "SELECT 'Int' AS kind, CAST(min(p_size) AS VARCHAR) AS low, CAST(max(p_size) AS VARCHAR) AS high, CAST(count(*) + 3 - least(count(*) + 3, (count(*) + 999) // 1000 * 1000) AS BIGINT) AS null_count, count(*) + 3 AS row_count FROM part")
 
 
 @query("SELECT CAST(0 AS BIGINT) AS entries")
@@ -247,7 +259,7 @@ def stats_entries(spark, d):
     return store(spark, d, "catalog").stats().select("name")
 
 
-@query(f"SELECT event_id // 1000 AS chunk_ord, count(*) AS n, CAST(count_if(v <> -999.0) AS BIGINT) AS nn, min(v) FILTER (v <> -999.0) AS min_f, max(v) FILTER (v <> -999.0) AS max_f FROM (SELECT event_id, {VALUE} AS v FROM events) t WHERE (event_id // 1000) % 2 = 0 OR event_id // 1000 = 3 GROUP BY 1")
+@query(f"SELECT event_id // 1000 AS chunk_ord, count(*) AS n, CAST(count_if(v <> -999.0) AS BIGINT) AS nn, min(v) FILTER (v <> -999.0) AS min_f, max(v) FILTER (v <> -999.0) AS max_f FROM (SELECT event_id, {VALUE} AS v FROM events) t WHERE {WRITTEN.replace('i ', 'event_id // 1000 ')} GROUP BY 1")
 def stats_chunk_partials(spark, d):
     return store(spark, d, "events").chunk_stats("value").select("chunk_ord", "n", "nn", "min_f", "max_f")
 
@@ -282,10 +294,8 @@ def encode_offsets(spark, d):
 @query("SELECT event_id, event_type AS v FROM events")
 def decode_offsets(spark, d):
     """Encode blocks of 500 values, decode them again."""
-    ev = table(spark, d, "events").select("event_id", "event_type", F.expr("event_id div 500L").alias("b"))
-    blocks = ev.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("r"))
-    coded = blocks.select(F.col("r.event_id").alias("ids"), offsets.encode_array(F.col("r.event_type")).alias("e"))
-    return coded.select(F.explode(F.arrays_zip("ids", offsets.decode_array(F.col("e")).alias("v"))).alias("x")).select(F.col("x.ids").alias("event_id"), F.col("x.v").cast("string").alias("v"))
+    coded = offsets.encode_blocks(table(spark, d, "events").withColumn("b", F.expr("event_id div 500L")), "b", "event_id", "event_type")
+    return coded.select(F.explode(F.arrays_zip("keys", offsets.decode_array(F.col("encoded")).alias("v"))).alias("x")).select(F.col("x.keys").alias("event_id"), F.col("x.v").cast("string").alias("v"))
 
 
 for _codec in ("none", "zstd", "lz4"):

@@ -12,7 +12,6 @@ import uuid
 from collections.abc import Sequence
 from copy import deepcopy
 from decimal import Decimal
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +28,15 @@ from tessera.sources import manifest as M
 from tessera.sources.fs import HadoopFs
 from tessera.sources.scratch import scratch_dir
 
-#: Codec names and what Spark's Parquet writer calls them.
-CODECS = {"none": "uncompressed", "zstd": "zstd", "lz4": "lz4_raw"}
+#: Codec names, what Spark's Parquet writer calls them, and further options of the writer.
+CODECS: dict[str, tuple[str, dict[str, str]]] = {"none": ("uncompressed", {}), "zstd": ("zstd", {}), "lz4": ("lz4_raw", {})}
+
+
+def register_codec(name: str, parquet: str, **options: str) -> None:
+    """Make a codec of the Parquet writer, with its options, known under a name.  Files tell their codec, so readers need not know it."""
+    CODECS[name] = (parquet, {k: str(v) for k, v in options.items()})
+
+
 ARRAYS_SCHEMA = "name string, dtype string, shape array<bigint>, chunk_shape array<bigint>, dims array<string>, seq bigint"
 
 
@@ -93,9 +99,9 @@ class ArrayStore:
         state.number, state.generation = old.number + 1, old.generation + 1
         base = M.Layer(0)
         for name in sorted({p.dtype for p in self._parts()}):
-            ids = [a.array_id for a in state.arrays.values() if a.dtype == name and a.written]
-            if ids:
-                base.parts.append(self._write_part(DTYPES[name], self._newest(name, ids), state.generation, clustered=True))
+            arrays = [a for a in state.arrays.values() if a.dtype == name and a.written]
+            if arrays:
+                base.parts.append(self._write_part(DTYPES[name], self._newest(name, [a.array_id for a in arrays]), arrays, state.generation, clustered=True))
         state.layers = [base]
         self._fill_stats(state, list(state.arrays.values()), state)
         fs = HadoopFs(self.spark, self.root)
@@ -254,20 +260,23 @@ class ArrayStore:
         if order_by:
             cells = cells.groupBy(*dims).agg(F.max_by("v", order_by).alias("v"))
         cells = cells.select(*[F.col(d).cast("bigint").alias(d) for d in dims], "v")
-        checks = [F.count("*").alias("n"), *[F.min(d).alias(f"lo{k}") for k, d in enumerate(dims)], *[F.max(d).alias(f"hi{k}") for k, d in enumerate(dims)], F.count_if(reduce(lambda x, y: x | y, [F.col(d).isNull() for d in dims], F.lit(False))).alias("bad")]
-        seen = cells.agg(*checks).first()
-        if seen["n"] == 0:
-            return
-        if seen["bad"]:
-            raise StoreFormatError(f"array {name!r}: a coordinate is null")
-        first = [seen[f"lo{k}"] for k in range(len(dims))]
-        self._bounds(a, first, [seen[f"hi{k}"] - f + 1 for k, f in enumerate(first)])
         t = DTYPES[a.dtype]
-        axes, _ = grid.overlapping(a.shape, a.chunk, first, [seen[f"hi{k}"] + 1 for k in range(len(dims))])
-        patches = W.cells_to_chunks(cells, a.shape, a.chunk, t.spark)
-        if not order_by:
-            patches = patches.withColumn("pv", F.when(F.size(F.array_distinct(F.transform("pv", lambda x: x["pos"]))) < F.size("pv"), F.raise_error(F.lit(f"array {name!r}: repeated coordinates"))).otherwise(F.col("pv")))
-        self._append(a, W.covered(patches).unionByName(W.patched(patches, self._dense(a, axes))))
+        # grouped once and kept, so that checks, covered and patched chunks all see one evaluation of the source
+        staged = scratch_dir(self.spark, "patches")
+        found = W.cells_to_chunks(cells, a.shape, a.chunk, t.spark)
+        found.write.parquet(staged)
+        patches = self.spark.read.schema(found.schema).parquet(staged)
+        seen = patches.agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), *[f(f"{m}{k}").alias(f"{m}{k}") for k in range(len(dims)) for m, f in (("lo", F.min), ("hi", F.max))]).first()
+        if seen["n"]:
+            if seen["bad"]:
+                raise StoreFormatError(f"array {name!r}: a coordinate is null")
+            first = [seen[f"lo{k}"] for k in range(len(dims))]
+            self._bounds(a, first, [seen[f"hi{k}"] - f + 1 for k, f in enumerate(first)])
+            axes, _ = grid.overlapping(a.shape, a.chunk, first, [seen[f"hi{k}"] + 1 for k in range(len(dims))])
+            if not order_by:
+                patches = patches.withColumn("pv", F.when(F.size(F.array_distinct(F.transform("pv", lambda x: x["pos"]))) < F.size("pv"), F.raise_error(F.lit(f"array {name!r}: repeated coordinates"))).otherwise(F.col("pv")))
+            self._append(a, W.covered(patches).unionByName(W.patched(patches, self._dense(a, axes))))
+        HadoopFs(self.spark, staged).delete(staged)
 
     def write_many(self, rows: DataFrame, name: str, pos: str, value: str) -> None:
         """Fill many one-dimensional arrays of one type in one job; every cell of a touched chunk must be present."""
@@ -281,7 +290,7 @@ class ArrayStore:
         vals = F.when(short, F.raise_error(F.lit("write_many: a chunk is covered in part"))).otherwise(F.transform("pv", lambda x: x["v"]))
         self._touch()
         seq = self._next()
-        self._pending.append(self._write_part(t, grouped.select("array_id", "chunk_ord", F.lit(seq).cast("bigint").alias("wseq"), vals.alias("vals")), self._state.generation))
+        self._pending.append(self._write_part(t, grouped.select("array_id", "chunk_ord", F.lit(seq).cast("bigint").alias("wseq"), vals.alias("vals")), metas, self._state.generation, clustered=True))
         for a in metas:
             a.written = True
             self._dirty.add(a.array_id)
@@ -340,45 +349,46 @@ class ArrayStore:
         wanted = self.spark.createDataFrame([(int(i),) for i in ids], "array_id bigint")
         return df.filter(F.col("array_id").between(int(min(ids)), int(max(ids)))).join(wanted, "array_id", "left_semi")
 
-    def _newest(self, dtype: str, ids: Sequence[int], where: str = "true") -> DataFrame | None:
+    def _newest(self, dtype: str, ids: Sequence[int], where: str = "true", chunks: int | None = None) -> DataFrame | None:
         parts = [p for p in self._parts() if p.dtype == dtype]
         if not parts:
             return None
         t = DTYPES[dtype]
         data = self.spark.read.schema(f"array_id bigint, chunk_ord bigint, wseq bigint, vals array<{t.spark}>").parquet(*[f"{self.root}/{p.data}" for p in parts])
         data = self._of(data, ids).filter(where)
-        return R.newest_chunks(data, self._index(dtype, ids, where) if len(parts) > 1 else None)
+        return R.newest_chunks(data, self._index(dtype, ids, where) if len(parts) > 1 else None, chunks)
 
     def _dense(self, a: M.ArrayMeta, axes) -> DataFrame:
         t = DTYPES[a.dtype]
         fill = read_fill(t, self._fill_of(a), self.honour_string_fill)
-        chunks = self._newest(a.dtype, [a.array_id], grid.ordinal_filter(a.shape, a.chunk, axes)) if a.written else None
-        return R.dense_chunks(self.spark, chunks, a.shape, a.chunk, axes, t, F.lit(Decimal(fill) if t.name == "uint64" else fill).cast(t.spark))
+        where = grid.ordinal_filter(a.shape, a.chunk, axes)
+        chunks = self._newest(a.dtype, [a.array_id], where, math.prod(len(r) for r in axes)) if a.written else None
+        index = self._index(a.dtype, [a.array_id], where) if chunks is not None else None
+        return R.dense_chunks(self.spark, chunks, index, a.shape, a.chunk, axes, t, F.lit(Decimal(fill) if t.name == "uint64" else fill).cast(t.spark))
 
     def _append(self, a: M.ArrayMeta, chunks: DataFrame) -> None:
         self._touch()
         a = self._meta(a.name)
         seq = self._next()
         rows = chunks.select(F.lit(a.array_id).cast("bigint").alias("array_id"), "chunk_ord", F.lit(seq).cast("bigint").alias("wseq"), "vals")
-        self._pending.append(self._write_part(DTYPES[a.dtype], rows, self._state.generation))
+        self._pending.append(self._write_part(DTYPES[a.dtype], rows, [a], self._state.generation))
         a.written = True
         self._dirty.add(a.array_id)
 
-    def _write_part(self, t: DType, rows: DataFrame, generation: int, clustered: bool = False) -> M.Part:
-        """Write chunk rows, then their index from what was written, so that sources are computed once."""
+    def _write_part(self, t: DType, rows: DataFrame, arrays: Sequence[M.ArrayMeta], generation: int, clustered: bool = False) -> M.Part:
+        """Write chunk rows of some arrays, then their index from what was written, so that sources are computed once."""
         tag = uuid.uuid4().hex
         part = M.Part(t.name, f"gen={generation}/data/dtype={t.name}/{tag}", f"gen={generation}/index/dtype={t.name}/{tag}")
-        options = {"compression": CODECS[self.codec]}
+        options = {"compression": CODECS[self.codec][0]} | CODECS[self.codec][1]
         if self.codec == "zstd" and self.codec_level is not None:
             options["parquet.compression.codec.zstd.level"] = str(self.codec_level)
         if self.block_bytes:
             options["parquet.block.size"] = str(self.block_bytes)
         if clustered:  # chunks of an array side by side, so that row groups prune on array_id and chunk_ord
-            rows = rows.repartitionByRange("array_id", "chunk_ord").sortWithinPartitions("array_id", "chunk_ord")
-        rows.write.options(**options).parquet(f"{self.root}/{part.data}")
+            rows = rows.repartitionByRange("array_id", "chunk_ord")
+        rows.sortWithinPartitions("array_id", "chunk_ord").write.options(**options).parquet(f"{self.root}/{part.data}")
         data = self.spark.read.schema(f"array_id bigint, chunk_ord bigint, wseq bigint, vals array<{t.spark}>").parquet(f"{self.root}/{part.data}")
-        fills = {a.array_id: m for a in self._state.arrays.values() if a.dtype == t.name and (m := stat_fill(t, self._fill_of(a))) is not None}
-        S.partials(data, t, fills).write.parquet(f"{self.root}/{part.index}")
+        S.partials(data, t, {a.array_id: stat_fill(t, self._fill_of(a)) for a in arrays}).write.parquet(f"{self.root}/{part.index}")
         return part
 
     def _fill_stats(self, state: M.State, arrays: list[M.ArrayMeta], source: M.State | None = None) -> None:

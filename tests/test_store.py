@@ -1,5 +1,9 @@
 """End-to-end cases: values that region reads, writes, layers, attributes and statistics must give."""
 
+import glob
+import json
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -15,15 +19,20 @@ def store(spark):
 
 
 def test_fill_and_partial_writes(store):
-    store.define_array("sparse", "int32", [6], [3], fill=Fill("Int", 42))
-    store.write_array("sparse", [0], np.array([1, 2, 3], dtype="int32"))
-    assert store.read_array("sparse").tolist() == [1, 2, 3, 42, 42, 42]
-    store.define_array("arr", "int32", [8], [4], fill=Fill("Int", 0))
-    store.write_array("arr", [0], np.array([1, 2, 3, 4]))
-    store.write_array("arr", [5], np.array([10, 20]))
-    store.flush()
-    assert store.read_array("arr").tolist() == [1, 2, 3, 4, 0, 10, 20, 0]
-    assert store.read_array("arr", [4], [3]).tolist() == [0, 10, 20]
+    rng = np.random.default_rng(3)
+    model = {}
+    for name, n, chunk, fill in (("whole_then_blank", 11, 4, 17), ("patched_inside", 13, 5, -6)):
+        store.define_array(name, "int32", [n], [chunk], fill=Fill("Int", fill))
+        model[name] = np.full(n, fill)
+    for name, at, size in (("whole_then_blank", 0, 4), ("patched_inside", 0, 5), ("patched_inside", 7, 2)):
+        values = rng.integers(100, 200, size)
+        store.write_array(name, [at], values)
+        model[name][at : at + size] = values
+    for _ in range(2):
+        for name, want in model.items():
+            assert store.read_array(name).tolist() == want.tolist()
+            assert store.read_array(name, [3], [7]).tolist() == want[3:10].tolist()
+        store.flush()
 
 
 def test_patch_over_chunks_2d(store):
@@ -39,30 +48,61 @@ def test_patch_over_chunks_2d(store):
 
 
 def test_scalar_and_strings(store):
-    store.define_array("pi", "float64", [])
-    store.define_array("answer", "int32", [], fill=Fill("Int", 42))
-    store.define_array("hello", "string", [])
-    store.write_array("pi", [], np.array(np.pi))
-    store.write_array("hello", [], np.array("hello", dtype=object))
+    for name, kind, fill, value in (("ratio", "float32", None, 0.375), ("blank", "int16", Fill("Int", -31), None), ("title", "string", None, "Übergröße"), ("raw", "binary", None, b"\x00\xff")):
+        store.define_array(name, kind, [], fill=fill)
+        if value is not None:
+            store.write_array(name, [], np.array(value, dtype="float32" if kind == "float32" else object))
     store.flush()
-    assert store.read_array("pi")[()] == np.pi and store.read_array("answer")[()] == 42 and store.read_array("hello")[()] == "hello"
+    assert [store.read_array(n)[()] for n in ("ratio", "blank", "title", "raw")] == [0.375, -31, "Übergröße", b"\x00\xff"]
+
+
+def entry_of(values, marker, written):
+    """What the statistics of one array must say."""
+    held = [int(v) for v, w in zip(values.tolist(), written.tolist()) if w and v != marker]
+    return {"kind": "Int", "min": min(held, default=None), "max": max(held, default=None), "null_count": values.size - len(held), "row_count": values.size}
 
 
 def test_stats_life_cycle(store):
-    store.define_array("sensor", "int32", [8], [4], fill=Fill("Int", -999))
-    store.write_array("sensor", [0], np.array([23, -999, 31, 28]))
-    assert store.array_stats("sensor") is None
-    store.flush()
-    assert store.array_stats("sensor")["null_count"] == 5
-    store.write_array("sensor", [4], np.array([19, 25, 30, 27]))
-    store.flush()
-    assert store.array_stats("sensor")["null_count"] == 1
-    store.write_array("sensor", [0], np.array([23, 20, 31, 28]))
-    store.flush()
+    rng = np.random.default_rng(12)
+    store.define_array("depth", "int32", [14], [5], fill=Fill("Int", 3))
+    model, written = np.full(14, 3), np.zeros(14, bool)
+    assert store.array_stats("depth") is None
+    for at, size in ((5, 5), (0, 4), (10, 4), (2, 9)):
+        values = rng.integers(0, 6, size)
+        store.write_array("depth", [at], values)
+        model[at : at + size], written[at // 5 * 5 : -(-(at + size) // 5) * 5] = values, True
+        store.flush()
+        assert store.array_stats("depth") == entry_of(model, 3, written)
     store.compact()
-    assert store.array_stats("sensor") == {"kind": "Int", "min": 19, "max": 31, "null_count": 0, "row_count": 8}
-    store.delete("sensor")
-    assert store.array_stats("sensor") is None
+    assert store.array_stats("depth") == entry_of(model, 3, written)
+    store.delete("depth")
+    assert store.array_stats("depth") is None
+
+
+def test_stats_are_by_array(spark):
+    """Random fills, of several kinds or none, over arrays of one type: a marker counts for its own array only."""
+    rng = np.random.default_rng(5)
+    for trial in range(2):
+        store, model = ArrayStore.in_memory(spark), {}
+        for k in range(6):
+            fill = [None, Fill("Int", int(rng.integers(0, 4))), Fill("Float", 2.0)][k % 3]
+            store.define_array(f"a{k}", "int32", [10], [4], fill=fill)
+            model[f"a{k}"] = (np.full(10, 0 if fill is None else int(fill.value)), np.zeros(10, bool), fill.value if fill and fill.kind == "Int" else None)
+        if trial:  # all in one part
+            rows = [(name, i, int(rng.integers(0, 4))) for name in model for i in range(8)]
+            store.write_many(spark.createDataFrame(rows, "name string, pos bigint, v int"), "name", "pos", "v")
+            for name, i, v in rows:
+                model[name][0][i], model[name][1][i] = v, True
+        else:
+            for name, (values, written, _) in model.items():
+                values[2:7] = rng.integers(0, 4, 5)
+                written[:8] = True
+                store.write_array(name, [2], values[2:7])
+        store.flush()
+        for step in range(2):
+            for name, (values, written, marker) in model.items():
+                assert store.array_stats(name) == entry_of(values, marker, written), (trial, step, name)
+            store.compact()
 
 
 def test_stats_kinds(store):
@@ -150,6 +190,93 @@ def test_clamped_and_default_reads(store):
     assert store.read_array("a", [1, 1], [2]).tolist() == [0, 1]
 
 
+def test_reads_do_not_shuffle_values(spark, store):
+    """Two layers, unwritten chunks, joins by broadcast off but for counted sides: no exchange between the scan of the values and their use."""
+    store.define_array("q", "int32", [400], [10], fill=Fill("Int", 5))
+    cells = spark.range(400).selectExpr("id as d0", "cast(id as int) as v")
+    store.write_cells("q", cells.filter("d0 < 200"))
+    store.flush()
+    store.write_cells("q", cells.filter("d0 between 95 and 104").selectExpr("d0", "-v as v"))
+    store.flush()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = store.read_cells("q")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {r["d0"]: r["v"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == {i: (-i if 95 <= i <= 104 else i) if i < 200 else 5 for i in range(400)}
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    lines = plan.split("\n")
+    for k, line in enumerate(lines):
+        if "FileScan" in line and "vals" in line:
+            level, above = depth(line), []
+            for x in reversed(lines[:k]):
+                if depth(x) < level:
+                    level = depth(x)
+                    above.append(x)
+            assert not any("Exchange" in x for x in above), plan
+
+
+def test_write_cells_sees_one_evaluation(spark, store):
+    store.define_array("r", "float64", [40, 6], [7, 4], fill=Fill("Float", -1.0))
+    store.write_cells("r", spark.range(200).selectExpr("id div 5 as d0", "id % 5 as d1", "rand() as v"))
+    got = store.read_array("r")
+    assert (got[:, :5] >= 0).all() and (got[:, 5] == -1).all()
+    for bad in ("d0 = 40", "d0 = -1", "d0 = null"):
+        value = bad.split(" = ")[1]
+        with pytest.raises(StoreFormatError):
+            store.write_cells("r", spark.sql(f"select cast({value} as bigint) as d0, 0L as d1, 1.0D as v"))
+    store.write_cells("r", spark.range(0).selectExpr("id as d0", "id as d1", "0.0D as v"))
+    assert np.array_equal(store.read_array("r"), got)
+
+
+def test_offsets(spark):
+    from tessera.functions import offsets
+
+    values = [None if i % 7 == 3 else "é" * (i % 4) for i in range(700)]
+    df = spark.createDataFrame(list(enumerate(values)), "k bigint, v string")
+    at, want = 0, []
+    for i, v in enumerate(values):
+        want.append((i, at))
+        at += len((v or "").encode())
+    for segment in (4, 64, 4096):
+        assert sorted((r["k"], r["off"]) for r in offsets.running_offsets(df, "k", "v", segment).collect()) == want
+    coded = offsets.encode_blocks(df.withColumn("b", F.expr("k div 100")), "b", "k", "v")
+    for r in coded.select("keys", "encoded", offsets.decode_array(F.col("encoded")).alias("d")).collect():
+        mine = [(values[k] or "").encode() for k in r["keys"]]
+        assert [bytes(x) for x in r["d"]] == mine and bytes(r["encoded"]["payload"]) == b"".join(mine)
+        assert r["encoded"]["offsets"] == np.cumsum([0, *map(len, mine)]).tolist()
+
+
+def test_codecs_in_footers_and_damaged_manifests(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from tessera.store import register_codec
+
+    register_codec("quick", "snappy")
+    for name, want in (("none", "UNCOMPRESSED"), ("zstd", "ZSTD"), ("lz4", "LZ4"), ("quick", "SNAPPY")):
+        root = str(tmp_path / name)
+        s = ArrayStore.create(spark, root, codec=name, codec_level=5 if name == "zstd" else None)
+        s.define_array("x", "int32", [100], [10])
+        s.write_array("x", [0], np.arange(100))
+        s.flush()
+        files = glob.glob(f"{root}/gen=0/data/**/*.parquet", recursive=True)
+        assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {want}
+        assert ArrayStore.open(spark, root).read_array("x").tolist() == list(range(100))
+    manifest = max(p for p in glob.glob(f"{root}/manifests/*") if not p.endswith(".crc"))
+    text = open(manifest).read()
+    state = json.loads(text)
+    for broken in (text[: len(text) // 2], "{}", json.dumps(state | {"format": "other"}), json.dumps(state | {"version": 99})):
+        for p in glob.glob(f"{root}/manifests/.*.crc"):
+            os.remove(p)
+        with open(manifest, "w") as f:
+            f.write(broken)
+        with pytest.raises(StoreFormatError):
+            ArrayStore.open(spark, root)
+
+
 def test_type_tables():
     t = DTYPES
     assert read_fill(t["int8"], Fill("Int", 300)) == 44 and read_fill(t["uint8"], Fill("Int", -1)) == 255
