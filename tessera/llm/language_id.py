@@ -53,6 +53,13 @@ def _letter_table() -> np.ndarray:
 _table: list[np.ndarray] = []
 
 
+def _letter_table_of(c: str) -> int:
+    """Slot of one character of the basic plane."""
+    if not _table:
+        _table.append(_letter_table())
+    return _table[0][ord(c)]
+
+
 def grams(text: str) -> tuple[np.ndarray, int]:
     """(n-gram codes, letters): runs of non-letters count as one separator."""
     if not _table:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import saved, unused
 
-#: Lines shorter than this many characters are matched exactly only: one edit makes other words of short ones.
+#: Lines shorter than this many characters are matched exactly only, as one edit makes other words of short ones; callers can pass another bound.
 FUZZY_CHARS = 20
 #: Parts of a region in one narrowing step, and the length at which variants are emitted.
 PARTS = 16
@@ -102,10 +102,10 @@ def _variants(rows: DataFrame) -> DataFrame:
     return out.select("h", "short", F.xxhash64("key", "size", left).alias("key"), "pos")
 
 
-def near(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Hashes h of the lines that have an earlier line within edit distance 1; first: (h, o) of each distinct line."""
+def near(docs: DataFrame, first: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
+    """Hashes h of the lines of at least fuzzy_chars characters that have an earlier such line within edit distance 1; first: (h, o) of each distinct line."""
     chars = F.char_length("line")
-    long_lines = _lines(docs).filter(chars >= FUZZY_CHARS).select(F.xxhash64("line").alias("h"), "line")
+    long_lines = _lines(docs).filter(chars >= fuzzy_chars).select(F.xxhash64("line").alias("h"), "line")
     keys = long_lines.select("h", F.explode(F.array(*_half_keys(F.col("line"), chars))).alias("key"))
     live_keys = saved(_live(keys, ("h",)), "live")
     live_lines = saved(keys.join(_side(live_keys), "key", "left_semi").select("h").distinct(), "lines")
@@ -137,14 +137,14 @@ def near(docs: DataFrame, first: DataFrame) -> DataFrame:
     return checked.select("h").distinct()
 
 
-def marked(docs: DataFrame) -> DataFrame:
+def marked(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
     """(doc_id, t, keep) of the documents that lose lines; keep: a flag for each line."""
     text = F.col("line")
     rows = _lines(docs).select("doc_id", "t", "line_no", F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"), (F.trim(F.regexp_replace(text, r"\s+", " ")) == "").alias("blank"))
     lines = saved(rows, "lines")
     solid = lines.filter("not blank")
     groups = saved(solid.groupBy("h", "h2").agg(F.min(_order()).alias("o"), F.count("*").alias("n")), "groups")
-    later = near(docs, groups.select("h", "o"))
+    later = near(docs, groups.select("h", "o"), fuzzy_chars)
     gone = groups.filter("n > 1").select("h", "h2", F.col("o").alias("first")).join(later.withColumn("near", F.lit(True)), "h", "full")
     # a near line takes all its copies with it; of a line that stays, the first copy stays
     flagged = lines.join(_side(saved(gone.select("h", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "gone")).withColumnsRenamed({"h2": "g2"}), "h", "left")
@@ -154,10 +154,10 @@ def marked(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "t", F.transform("x", lambda r: ~r["drop"]).alias("keep"))
 
 
-def _joined(docs: DataFrame) -> tuple[DataFrame, str]:
+def _joined(docs: DataFrame, fuzzy_chars: int) -> tuple[DataFrame, str]:
     """The documents and the name of a column with the flags of their lines, null where all stay."""
     own = unused(docs.columns)
-    marks = saved(marked(docs), "marks")
+    marks = saved(marked(docs, fuzzy_chars), "marks")
     # flags grow with the texts, so they are counted too
     size = marks.agg(F.sum(F.size("keep") + 16)).first()[0] or 0
     marks = marks.withColumnsRenamed({"doc_id": own + "id", "t": own + "t", "keep": own + "keep"})
@@ -169,23 +169,26 @@ def _kept(keep: str) -> Column:
     return F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.get(keep, i)), "\n")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
     """The documents without the repeated lines, all columns kept; n_chars, if there is one, follows the text.
 
+    fuzzy_chars: length from which lines are matched within edit distance 1; 1
+    matches all, as an empty line is never matched.
+
     Lines of white space stay.  A document that loses all its other lines
     goes; one that had none stays.  A null text has no lines.  Rows that are
     equal in doc_id and text count as one document and stay alike.
     """
     columns = [f"`{c}`" for c in docs.columns]
-    joined, keep = _joined(docs)
+    joined, keep = _joined(docs, fuzzy_chars)
     text = F.when(F.col(keep).isNull(), F.col("text")).otherwise(_kept(keep))
     out = joined.withColumn("text", text).filter(F.col(keep).isNull() | F.col("text").rlike(r"\S")).select(*columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of every document; a null text has no lines and the digest of ''."""
-    joined, keep = _joined(docs)
+    joined, keep = _joined(docs, fuzzy_chars)
     lost = F.coalesce(F.size(F.filter(keep, lambda k: ~k)), F.lit(0)).cast("bigint")
     kept = F.when(F.col(keep).isNull(), F.coalesce("text", F.lit(""))).otherwise(_kept(keep))
     lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint")

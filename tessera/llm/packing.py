@@ -113,5 +113,6 @@ def pack(docs: DataFrame, size: int = 4096, vocabulary: str = DEFAULT_VOCABULARY
         columns = [*by.columns, pa.array([(number << 32) + w for w, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
         return pa.Table.from_arrays(columns, schema=PACKED)
 
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # by row of the table, not by value: repeated rows are dealt apart
+    dealt = cut.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint")

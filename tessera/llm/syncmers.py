@@ -3,8 +3,9 @@
 A k-mer of characters is a closed syncmer if the smallest of its inner s-mers
 is the first or the last one: a choice that looks at nothing outside the
 k-mer, so an edit moves no anchor elsewhere.  A fingerprint keeps the anchors
-with the smallest hashes and their places; two fingerprints are as alike as
-the share of their joint smallest anchors that both have in the same order.
+with the smallest hashes and their places, a fixed share of all and some more
+of a short text; two fingerprints are as alike as the share of their joint
+anchors that both have in the same order.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from tessera.llm.substring_dedup import sliding_min
 
 K = 16
 S = 8
-#: Anchors in a fingerprint.
+#: Anchors in a fingerprint: those with hashes up to SHARE, a sixteenth of all, so their number grows with the text, and the smallest KEEP at least.
 KEEP = 64
+SHARE = (1 << 60) - 1
+#: Bytes of text in a range of documents.
+RANGE_BYTES = 64 << 20
 BASE = 0xA0761D6478BD642F
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 Anchors = tuple[list[int], list[int]]
@@ -45,13 +49,17 @@ def anchors(text: str) -> Anchors:
     if not len(places):
         return whole
     hashes = rolling(points, K, BASE)[places]
-    if len(hashes) > 8 * KEEP:  # only small hashes can be kept; repeated ones need a margin, or all are sorted
-        few = np.argpartition(hashes, 4 * KEEP)[: 4 * KEEP + 1]
-        found, at = _first(hashes[few], places[few])
-        if len(found) >= KEEP:
-            return found[:KEEP].tolist(), at[:KEEP].tolist()
-    found, at = _first(hashes, places)
-    return found[:KEEP].tolist(), at[:KEEP].tolist()
+    few = hashes <= np.uint64(SHARE)
+    found, at = _first(hashes[few], places[few]) if few.any() else (hashes[few], places[few])
+    if len(found) < KEEP:
+        found, at = _first(hashes, places)
+        found, at = found[:KEEP], at[:KEEP]
+    return found.tolist(), at.tolist()
+
+
+def reach(a: Anchors) -> int:
+    """The hash up to which a fingerprint holds all anchors of its text."""
+    return max(a[0][-1], SHARE) if len(a[0]) >= KEEP else 1 << 64
 
 
 def _first(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +80,13 @@ def from_text(fingerprint: str) -> Anchors:
 
 
 def likeness(a: Anchors, b: Anchors) -> float:
-    """0 to 1: anchors of both, in one order, among the smallest KEEP of either; 1 for equal fingerprints."""
+    """0 to 1: share of the anchors of either, up to where both fingerprints reach, that both have in one order; 1 for equal fingerprints."""
     if a == b:
         return 1.0
     if not a[0] or not b[0]:
         return 0.0
-    union = sorted({*a[0], *b[0]})[:KEEP]
-    top = union[-1]
+    top = min(reach(a), reach(b))
+    union = {h for x in (a, b) for h in x[0] if h <= top}
     where = dict(zip(*b))
     both = sorted((p, where[h]) for h, p in zip(*a) if h <= top and h in where)
     chain: list[int] = []  # longest chain that ascends in both texts
@@ -108,15 +116,17 @@ def edited(docs: DataFrame) -> DataFrame:
 
     Edited: the last quarter of the code points is replaced by as many of the
     next document in ascending doc_id, after the last one the first.  Rows
-    with one doc_id follow each other in the order of their texts.
+    with one doc_id follow each other in the order of their texts; those
+    without one come first, null texts count as empty.
 
     Texts are shuffled once, by ranges of doc_id.  The rows at which ranges
     begin are real doc_ids, one a range, so the row that the last document of
     a range needs is known beforehand and sent to both.
     """
     spark = docs.sparkSession
-    n = 2 * partitions(spark)
     rows = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    n = max(2 * partitions(spark), -(-size // RANGE_BYTES))  # tasks stay of one size however large the corpus
     bounds = rows.agg(F.min("key"), F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n)).first()
     if bounds[0] is None:
         return docs.select("doc_id", "text").limit(0).transform(bounded).mapInArrow(lambda batches: iter(()), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -12,7 +12,11 @@ of bounded size, and keeps k rows a query, so that merging is small.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +54,8 @@ def top_k(query: np.ndarray, columns: np.ndarray, mass: np.ndarray, ids: np.ndar
     return [(int(ids[alive[i]]), int(part[i])) for i in order]
 
 
-def quantized(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): floor(64 x) of each component as little-endian 64-bit integers; null or non-finite vectors go."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v): components as little-endian doubles; null vectors and those with null or non-finite components go."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,20 +65,27 @@ def quantized(vectors: DataFrame) -> DataFrame:
                     continue
                 x = np.array(v, np.float64)
                 if np.isfinite(x).all():
-                    x = np.floor(SCALE * x)
-                    if len(x) and np.abs(x).max() >= 2**62:
-                        raise ValueError(f"vector {key}: a component is too large for 64-bit scores")
                     ids.append(key)
-                    rows.append(x.astype("<i8").tobytes())
+                    rows.append(x.astype("<f8").tobytes())
             yield batch(pa.schema([("vec_id", pa.int64()), ("v", pa.binary())]), [ids, rows])
 
     return vectors.select(F.col("vec_id").cast("bigint"), "embedding").transform(bounded).mapInArrow(run, "vec_id bigint, v binary")
 
 
 def _matrix(packed: list[bytes], width: int) -> np.ndarray:
-    out = np.zeros((len(packed), width), np.int64)
+    out = np.zeros((len(packed), width))
     for row, p in zip(out, packed):
-        row[: len(p) // 8] = np.frombuffer(p, "<i8")
+        row[: len(p) // 8] = np.frombuffer(p, "<f8")
+    return out
+
+
+def _large(xs: np.ndarray, qs: np.ndarray, ids: np.ndarray, keys: list[int], k: int) -> list[tuple[int, int, int]]:
+    """As top_k() for all queries of a block whose scores may not fit 64 bits: exact integers, cut to 64 bits at the end, no pruning."""
+    whole = lambda m: [[math.floor(Fraction(v) * SCALE) for v in row] for row in m.tolist()]
+    rows, out = whole(xs), []
+    for key, q in zip(keys, whole(qs)):
+        scores = [(-max(-(1 << 63), min((1 << 63) - 1, sum(map(mul, q, row)))), i) for i, row in zip(ids.tolist(), rows) if i != key]
+        out += [(key, i, -s) for s, i in heapq.nsmallest(k, scores)]
     return out
 
 
@@ -84,12 +95,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     Fewer than k candidates give fewer rows.  Vectors of unequal length are
     filled up with zeros.  Rows that repeat a vec_id are candidates each by
     itself, none of them for a query with that id; the query is one of them.
+    A score beyond 64 bits is cut to the largest or smallest 64-bit number.
     """
-    all_rows = saved(quantized(vectors), "vectors")
+    all_rows = saved(usable(vectors), "vectors")
     queries = all_rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_c = max(1, -(-all_rows.count() // CANDIDATES))
     n_q = max(1, -(-queries.count() // QUERIES))
-    h = F.xxhash64("vec_id", "v")
+    # by row, not by value: repeated rows are dealt apart
+    h = F.xxhash64(F.monotonically_increasing_id())
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cand = all_rows.withColumn("c", F.pmod(h, F.lit(n_c)).cast("int")).withColumn("q", each(n_q))
     ask = queries.withColumn("q", F.pmod(h, F.lit(n_q)).cast("int")).withColumn("c", each(n_c))
@@ -100,15 +113,18 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         x, q = left.column("v").to_pylist(), right.column("v").to_pylist()
         width = max(map(len, [*x, *q])) // 8
         xs, qs, ids = _matrix(x, width), _matrix(q, width), left.column("vec_id").to_numpy()
-        largest = float(np.abs(xs).max(initial=1)) * float(np.abs(qs).max(initial=1)) * max(1, width)
-        if largest >= 2**62:
-            raise ValueError("scores do not fit 64 bits")
+        keys = right.column("vec_id").to_pylist()
+        largest = (SCALE * float(np.abs(xs).max(initial=1)) + 1) * (SCALE * float(np.abs(qs).max(initial=1)) + 1) * max(1, width)
+        if not largest < 2**62:
+            rows = _large(xs, qs, ids, keys, k)
+            return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], schema=FOUND)
+        xs, qs = np.floor(SCALE * xs), np.floor(SCALE * qs)
         spread = np.argsort(-(xs.astype(np.float64) ** 2).sum(0), kind="stable")  # heavy dimensions first
         kind = np.float64 if largest < 2**52 else np.int64  # sums of integers are exact in doubles up to 2^53
         columns = np.ascontiguousarray(xs[:, spread].T.astype(kind))
         square = np.cumsum((xs[:, spread].T.astype(np.float64) ** 2)[::-1], axis=0)[::-1]
         mass = [np.sqrt(square[b]) for b in range(0, width, BLOCK)]
-        rows = [(key, v, s) for key, vec in zip(right.column("vec_id").to_pylist(), qs[:, spread].astype(kind)) for v, s in top_k(vec, columns, mass, ids, k, key)]
+        rows = [(key, v, s) for key, vec in zip(keys, qs[:, spread].astype(kind)) for v, s in top_k(vec, columns, mass, ids, k, key)]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], schema=FOUND)
 
     local = cand.groupBy("c", "q").cogroup(ask.groupBy("c", "q")).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")

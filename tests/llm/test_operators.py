@@ -3,16 +3,19 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import textwrap
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe_automaton, components, language_id, licenses, line_dedup, ngram_join, packing, range_coder, substring_dedup, syncmers, token_files, topk
+from tessera.llm.common import mix, rolling
 from tessera.llm.tokens import TextEncoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +108,8 @@ def test_range_coder_round_trips():
         for ids in (rng.integers(0, 65536, n), rng.integers(0, 3, n), np.full(n, 65535), np.repeat(rng.integers(0, 49408, n // 7 + 1), 7)[:n]):
             data = range_coder.pack_segment(np.array([3]), np.array([n]), ids.astype(np.uint16), 64)
             assert np.array_equal(range_coder.unpack_segment(data)[2], ids)
+        wide = rng.integers(0, 1 << 32, n) if n % 2 else rng.integers(0, 200_000, n)
+        assert np.array_equal(range_coder.unpack_segment(range_coder.pack_segment(np.array([3]), np.array([n]), wide, 64))[2], wide)
     text = np.tile(rng.integers(0, 49408, 50), 100).astype(np.uint16)
     data = bytearray(range_coder.pack_segment(np.array([3]), np.array([5000]), text))
     assert len(data) < 5000
@@ -199,6 +204,39 @@ def test_language_id(spark):
     assert language_id.identify(table(spark, [])).count() == 0
 
 
+def test_language_id_brute_force(spark):
+    """Prototypes, cosines and the largest of them recomputed letter by letter, from the definition, for texts whose languages share letters."""
+    rnd = random.Random(17)
+    base, width = language_id.letter_vectors().astype(np.int64), language_id.GRAM
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 4, 30]))), k) for i in range(90) for k, words in [rnd.choice([("l1", ["tarn", "vel", "ost", "in"]), ("l2", ["nart", "lev", "ost", "an"]), ("l3", ["rant", "tso", "İnéz", "vel"])])]]
+    rows += [(100, "Ωμέγα стол 日本語", None), (101, "x" * 500, None), (102, "tarn-vel, ost", "l2")]
+    # many distinct n-grams: memory of vectors starts anew, blocks are summed
+    rows += [(103, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéßøжψ ") for _ in range(30000)), "l3")]
+
+    def profile(text):
+        slots = [int(language_id._letter_table_of(c)) for c in text]
+        runs = [0] + [s for i, s in enumerate(slots) if s or i == 0 or slots[i - 1]] + [0]
+        out = np.zeros(language_id.DIMENSIONS, np.int64)
+        for i in range(len(runs) - width + 1):
+            bound = np.ones(language_id.DIMENSIONS, np.int64)
+            for k in range(width):
+                bound *= np.roll(base[runs[i + k]], width - 1 - k)
+            out += bound
+        return out
+
+    prototypes = {}
+    for i, t, k in rows:
+        if k and zlib.crc32(str(i).encode()) % 4 != 2:
+            prototypes[k] = prototypes.get(k, 0) + profile(t)
+    got = {r["doc_id"]: r for r in language_id.identify(table(spark, rows)).collect()}
+    for i, t, _ in rows:
+        p = profile(t)
+        cos = {k: float(p @ v / np.sqrt(float(p @ p) * float(v @ v))) for k, v in prototypes.items()}
+        best = max(cos.values())
+        assert abs(got[i]["score"] - min(1, max(0, best))) < 1e-4, i
+        assert cos[got[i]["lang_pred"]] > best - 1e-4
+
+
 def test_unlearned_language(spark):
     """Texts in a language without labelled rows are rejected, all labelled ones stay; languages share letters and some syllables."""
     rnd = random.Random(11)
@@ -223,7 +261,7 @@ def test_profiles_are_cosines_of_bundles():
     assert np.array_equal(language_id.gram_vectors(code).sum(0), want)
 
 
-def brute_lines(rows):
+def brute_lines(rows, fuzzy_chars=line_dedup.FUZZY_CHARS):
     """Lines removed from each (doc_id, text), by definition."""
     rows = list(dict.fromkeys(rows))
     order = sorted(rows, key=lambda r: (r[0] is None, r[0]))
@@ -231,7 +269,7 @@ def brute_lines(rows):
     first, out = {}, {}
 
     def near(a, b):
-        if min(len(a), len(b)) < line_dedup.FUZZY_CHARS or abs(len(a) - len(b)) > 1 or a == b:
+        if min(len(a), len(b)) < fuzzy_chars or abs(len(a) - len(b)) > 1 or a == b:
             return False
         i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
@@ -271,6 +309,8 @@ def test_line_dedup(spark, mixed):
             assert texts[k][0] == "\n".join(kept[k]) and texts[k][1] == len(texts[k][0])
         else:
             assert k not in texts
+    kept, gone = brute_lines(rows, 1)
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.digests(table(spark, rows), 1).collect()} == gone
     assert line_dedup.digests(table(spark, [])).count() == 0
     twice = line_dedup.digests(table(spark, [(1, "same\nline"), (1, "same\nline"), (2, "line")])).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in twice) == [(1, 0), (1, 0), (2, 1)]
@@ -435,14 +475,45 @@ def test_full_sketch_loses_nothing(spark, mixed, monkeypatch):
     assert sorted(map(tuple, substring_dedup.digests(table(spark, rows)).collect())) == brute_passages(rows)
 
 
+def naive_syncmers(text):
+    """Hash and first place of every k-mer whose smallest inner s-mer is its first or last one."""
+    h = lambda x: int(rolling(mix(np.array([ord(c) + 1 for c in x], np.uint64)), len(x), syncmers.BASE)[0])
+    out = {}
+    for p in range(len(text) - syncmers.K + 1):
+        kmer = text[p : p + syncmers.K]
+        inner = [h(kmer[i : i + syncmers.S]) for i in range(syncmers.K - syncmers.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.setdefault(h(kmer), p)
+    return out
+
+
+def naive_likeness(a, b):
+    """By definition, with the longest chain by quadratic dynamic programming; a and b are texts."""
+    x, y = (dict(zip(*syncmers.anchors(t))) for t in (a, b))
+    if x == y:
+        return 1.0
+    full = lambda z: max(max(z), syncmers.SHARE) if len(z) >= syncmers.KEEP else 1 << 64
+    if not x or not y:
+        return 0.0
+    top = min(full(x), full(y))
+    both = sorted((x[h], y[h]) for h in x if h in y and h <= top)
+    best = []
+    for i, (_, q) in enumerate(both):
+        best.append(1 + max((best[j] for j in range(i) if both[j][1] < q), default=0))
+    return max(best, default=0) / len({h for h in [*x, *y] if h <= top})
+
+
 def test_closed_syncmers():
     rnd = random.Random(6)
     text = "".join(rnd.choice("abcd é") for _ in range(400))
-    found = dict(zip(*syncmers.anchors(text)))
-    assert len(found) == syncmers.KEEP and list(found) == sorted(found)
-    kmers = {text[p : p + syncmers.K] for p in found.values()}
-    moved = syncmers.anchors("prefix " + text)  # context-free: the same k-mers are chosen wherever they stand
-    assert kmers - {("prefix " + text)[p : p + syncmers.K] for p in moved[1]} == set() or len(kmers & {("prefix " + text)[p : p + syncmers.K] for p in moved[1]}) > 55
+    for sample, least in ((text, syncmers.KEEP), (prose(rnd, 4000), syncmers.KEEP + 1)):
+        closed = naive_syncmers(sample)
+        order = sorted(closed)
+        want = {h: closed[h] for i, h in enumerate(order) if i < syncmers.KEEP or h <= syncmers.SHARE}
+        found = dict(zip(*syncmers.anchors(sample)))
+        assert found == want and len(found) >= least and list(found) == sorted(found)
+    # context-free: the same k-mers are chosen wherever they stand
+    assert set(naive_syncmers("prefix " + text)) >= set(naive_syncmers(text))
     assert syncmers.from_text(syncmers.as_text(syncmers.anchors(text))) == syncmers.anchors(text)
     assert syncmers.likeness(syncmers.anchors(text), syncmers.anchors(text)) == 1
     assert syncmers.likeness(syncmers.anchors(""), syncmers.anchors("")) == 1 and syncmers.likeness(syncmers.anchors(""), syncmers.anchors(text)) == 0
@@ -459,7 +530,7 @@ def test_fingerprints(spark, mixed):
         t, nxt = t or "", nxt or ""
         e = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
         a, b, c = map(syncmers.anchors, (t, e, nxt))
-        want.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), syncmers.as_text(a), syncmers.as_text(b), syncmers.likeness(a, b), syncmers.likeness(a, c)))
+        want.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), syncmers.as_text(a), syncmers.as_text(b), naive_likeness(t, e), naive_likeness(t, nxt)))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert syncmers.edited(table(spark, [])).count() == 0
     alone = syncmers.edited(table(spark, [(5, "only one text here, twice")])).first()
@@ -482,6 +553,11 @@ def test_topk(spark, monkeypatch):
             best = sorted((-int(vecs[q] @ v), k) for k, v in vecs.items() if k != q)[:20]
             want += [(q, r, k, -s) for r, (s, k) in enumerate(best, 1)]
     assert sorted(map(tuple, topk.search(df).collect())) == sorted(want)
+    large = [(0, [1e300, 1.0]), (1, [1e300, -3.0]), (2, [-1e300, 0.5]), (20, [4e7] * 2), (3, [1.7e308, -1.7e308]), (40, [0.5, 2.0**55]), (20, [4e7] * 2)]
+    exact = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in large}
+    cut = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = [(q, r, i, -s) for q in (0, 20, 40) for r, (s, i) in enumerate(sorted((-cut(sum(x * y for x, y in zip(exact[q], exact[i]))), i) for i, _ in large if i != q)[:20], 1)]
+    assert sorted(map(tuple, topk.search(spark.createDataFrame(large, "vec_id bigint, embedding array<double>")).collect())) == sorted(want)
     few = topk.search(df.filter("vec_id in (20, 21, 22)")).collect()
     assert [(r["query_id"], r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [(20, 1), (20, 2)]
     assert topk.search(df.limit(0)).count() == 0
