@@ -81,6 +81,8 @@ LONG = 500
 REACH = 3
 #: Share of a template's squared weight that words not in a better template must have for a second licence on the same lines.
 OWN = 0.1
+#: Directories up to which what they inherit is broadcast.
+BROADCAST_ROWS = 200_000
 TOKEN = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -234,9 +236,10 @@ def scan(docs: DataFrame, path: str = "path", keys: tuple[str, ...] = ()) -> Dat
     """(path, own_license, score, kind, own_licenses, license, licenses, inherited_from, *keys) of every file (path, text).
 
     own_license is the one with the highest cosine, own_licenses has all that
-    the text states; both are inherited.  A null or empty text has no header.  A null path has no directory and
-    inherits nothing.  Of several licence files in one directory the one with
-    the highest cosine counts, ties to the smaller path.
+    the text states; both are inherited.  A null or empty text has no header.
+    A null path has no directory and inherits nothing.  Of several licence
+    files in one directory the one with the highest cosine counts, ties to the
+    smaller path.  Repeated rows each give a row, an empty table gives none.
     """
     n, df = document_frequencies(docs)
     schema = pa.schema([*SCANNED])
@@ -258,5 +261,7 @@ def scan(docs: DataFrame, path: str = "path", keys: tuple[str, ...] = ()) -> Dat
     # the nearest licensed directory is found once for each directory, then joined to its files
     homes = found.filter("own_license is null and path is not null").select(F.get(ancestors, 0).alias("home"), ancestors.alias("up")).filter("home is not null").distinct()
     near = homes.select("home", F.posexplode("up").alias("depth", "dir")).join(dirs, "dir").groupBy("home").agg(F.min(F.struct("depth", "dir", "dir_license", "dir_licenses")).alias("x")).select("home", F.col("x.dir").alias("inherited_from"), F.col("x.dir_license").alias("inherited"), F.col("x.dir_licenses").alias("all_inherited"))
+    near = saved(near, "near")
+    near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
     out = found.withColumn("home", F.when(F.col("own_license").isNull(), F.get(ancestors, 0)))
     return out.join(near, "home", "left").select("path", "own_license", "score", "kind", "own_licenses", F.coalesce("own_license", "inherited").alias("license"), F.when(F.col("own_license").isNull(), F.coalesce("all_inherited", "own_licenses")).otherwise(F.col("own_licenses")).alias("licenses"), "inherited_from", *keys)

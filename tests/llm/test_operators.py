@@ -575,6 +575,55 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_cosines_brute_force(spark):
+    """The best cosine over all blocks of lines and all templates, recomputed by definition."""
+    rnd = random.Random(23)
+    short = [(name, licenses.words(t)) for name, t in licenses.TEMPLATES if len(licenses.words(t)) < licenses.LONG]
+    rows = []
+    for i in range(90):
+        lines = [prose(rnd, rnd.randint(1, 9)) for _ in range(rnd.randint(0, 4))]
+        name, words = rnd.choice(short)
+        words = words[:120]
+        for _ in range(rnd.choice([0, 0, 3, 12, 30])):
+            words = [w for w in words if rnd.random() > 0.1] + [rnd.choice(["noise", "the", "software", "license"])] * rnd.randint(0, 2)
+        stated = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+        at = rnd.randint(0, len(lines))
+        rows.append((i, f"d{i}/f", "\n".join(lines[:at] + stated + lines[at:])))
+    rows += [(90, "x/f", None), (91, "y/f", ""), (92, "z/f", "license " * 50)]
+    texts = [[licenses.words(x) for x in (t or "").split("\n")] for _, _, t in rows]
+    df = collections.Counter(w for lines in texts for w in {w for x in lines for w in x})
+    known = {w for _, t in licenses.TEMPLATES for w in licenses.words(t)}
+    idf = lambda w: math.log((1 + len(rows)) / (1 + df[w])) + 1 if w in known else math.log(1 + len(rows)) + 1
+
+    def vector(words):
+        v = {w: c * idf(w) for w, c in collections.Counter(words).items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / size for w, x in v.items()}
+
+    templates = [(name, len(words), vector(words)) for name, words in short]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string"), keys=("doc_id",)).collect()}
+    exact = hits = 0
+    for (i, _, _), lines in zip(rows, texts):
+        best = {}
+        for a in range(len(lines)):
+            for z in range(a + 1, len(lines) + 1):
+                words = [w for x in lines[a:z] for w in x]
+                block = vector(words)
+                for name, size, v in templates:
+                    if z == a + 1 or len(words) <= licenses.REACH * size:
+                        best[name] = max(best.get(name, 0.0), sum(x * v.get(w, 0.0) for w, x in block.items()))
+        top = max(best.values(), default=0.0)
+        if top < licenses.HEADER:
+            assert got[i]["own_license"] is None and got[i]["own_licenses"] == [], i
+        else:
+            own = got[i]["own_license"]
+            assert abs(got[i]["score"] - min(1.0, best[own])) < 1e-9, i
+            exact += best[own] > top - 1e-9  # a statement that is a part of a longer one of another licence does not count beside it
+            hits += 1
+    assert hits - exact <= 2 and exact > 20
+    assert 20 < sum(r["own_license"] is not None for r in got.values()) < 85
+
+
 def wrapped(text, prefix=""):
     return "\n".join(prefix + x for x in textwrap.wrap(text, 76))
 
