@@ -91,9 +91,10 @@ _add("fill_timestamp", _read("typed", "time"), "SELECT o_orderkey AS d0, CAST(ep
 
 # whole arrays are read, so damage outside a patch is seen; patches grow with the extent
 PRICE = f"CASE WHEN o_orderkey >= {ORDERS} // 3 AND o_orderkey < {ORDERS} * 2 // 3 THEN 2.0 WHEN o_orderkey >= {ORDERS} // 10 AND o_orderkey < {ORDERS} * 9 // 10 THEN 1.0 ELSE o_totalprice END"
+RMW = f"CASE WHEN event_id >= {N} // 4 AND event_id < {N} * 3 // 4 THEN value * 10 WHEN (event_id // 1000) % 2 = 0 THEN value ELSE -999.0 END"
 PATCHED = f"SELECT d0, d1, CASE WHEN d0 >= {ROWS} // 4 AND d0 < {ROWS} // 4 + 16 AND d1 BETWEEN 14 AND 17 THEN CAST(5 AS FLOAT) WHEN d0 = 2 THEN CAST(7 AS FLOAT) ELSE v END AS v FROM ({CELL2}) c"
 _add("write_full_chunks", _read("patched", "full"), "SELECT event_id AS d0, CASE WHEN (event_id // 1000) % 2 = 1 THEN -value ELSE value END AS v FROM events")
-_add("write_partial_rmw", _read("patched", "rmw"), f"SELECT event_id AS d0, CASE WHEN event_id >= {N} // 4 AND event_id < {N} * 3 // 4 THEN value * 10 WHEN (event_id // 1000) % 2 = 0 THEN value ELSE -999.0 END AS v FROM events")
+_add("write_partial_rmw", _read("patched", "rmw"), f"SELECT event_id AS d0, {RMW} AS v FROM events")
 _add("write_cross_chunk", _read("patched", "cross"), f"SELECT event_id AS d0, CASE WHEN event_id >= {N} // 3 AND event_id < {N} * 2 // 3 THEN 2.0 WHEN event_id >= {N} // 10 AND event_id < {N} * 9 // 10 THEN 1.0 ELSE value END AS v FROM events")
 _add("write_non_adjacent", _read("patched", "apart"), "SELECT event_id AS d0, CASE WHEN (event_id // 1000) % 3 = 1 AND event_id % 1000 BETWEEN 200 AND 799 THEN -value ELSE value END AS v FROM events")
 _add("write_row_2d", _read("patched", "row"), f"SELECT d0, d1, CASE WHEN d0 % 50 = 2 THEN CAST(7 AS FLOAT) ELSE v END AS v FROM ({CELL2}) c")
@@ -306,3 +307,11 @@ for _codec in ("none", "zstd", "lz4"):
 def many_arrays_read(spark, d):
     found = store(spark, d, "many").read_many()
     return found.select(F.substring("name", 6, 7).cast("bigint").alias("l_partkey"), F.size("vals").cast("bigint").alias("n"), F.round(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query(f"SELECT 'rmw' AS name, count(*) AS n, CAST(count_if(({RMW}) = -999.0) AS BIGINT) AS blank FROM events UNION ALL SELECT 'apart', count(*), 0 FROM events")
+def many_arrays_filled(spark, d):
+    """All chunks of several arrays, those that nobody wrote too."""
+    found = store(spark, d, "patched").read_many(["rmw", "apart"], fill=True)
+    blank = F.size(F.filter("vals", lambda x: x == -999.0))
+    return found.groupBy("name").agg(F.sum(F.size("vals")).alias("n"), F.sum(blank).alias("blank"))

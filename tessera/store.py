@@ -204,15 +204,28 @@ class ArrayStore:
             out[dst] = block[src]
         return out
 
-    def read_many(self, names: Sequence[str] | None = None) -> DataFrame:
-        """(name, chunk_ord, vals) of the written chunks of many arrays of one element type, in one job."""
+    def read_many(self, names: Sequence[str] | None = None, fill: bool = False) -> DataFrame:
+        """(name, chunk_ord, vals) of the chunks of many arrays of one element type, in one job: the written ones, or with `fill` all."""
         metas = [self._meta(n) for n in names] if names is not None else [a for a in self._state.arrays.values() if a.written]
         kinds = {a.dtype for a in metas}
         if len(kinds) != 1:
             raise StoreError(f"read_many takes arrays of one element type, not {sorted(kinds)}")
-        found = self._newest(kinds.pop(), [a.array_id for a in metas])
+        t, ids = DTYPES[kinds.pop()], [a.array_id for a in metas]
         by_id = self.spark.createDataFrame([(a.array_id, a.name) for a in metas], "array_id bigint, name string")
-        return found.join(by_id, "array_id").select("name", "chunk_ord", "vals")
+        found = self._newest(t.name, ids)
+        out = self.spark.createDataFrame([], f"array_id bigint, chunk_ord bigint, vals array<{t.spark}>") if found is None else found.select("array_id", "chunk_ord", "vals")
+        if fill:
+            rows = []
+            for a in metas:
+                g = grid.grid_of(a.shape, a.chunk)
+                rows.append((a.array_id, a.shape, a.chunk, g, grid.strides(g), math.prod(g), to_cell(read_fill(t, self._fill_of(a), self.honour_string_fill), t)))
+            every = self.spark.createDataFrame(rows, f"array_id bigint, shape array<bigint>, chunk array<bigint>, grid array<bigint>, strides array<bigint>, chunks bigint, fill {t.spark}")
+            every = every.filter("chunks > 0").withColumn("chunk_ord", F.expr("explode(sequence(0L, chunks - 1L))"))
+            if found is not None:
+                every = every.join(self._index(t.name, ids).select("array_id", "chunk_ord").distinct(), ["array_id", "chunk_ord"], "left_anti")
+            length = F.expr("aggregate(arrays_zip(shape, chunk, grid, strides), 1L, (a, x) -> a * least(x.chunk, x.shape - ((chunk_ord div x.strides) % x.grid) * x.chunk))")
+            out = out.unionByName(every.select("array_id", "chunk_ord", F.array_repeat("fill", length.cast("int")).alias("vals")))
+        return out.join(by_id, "array_id").select("name", "chunk_ord", "vals")
 
     # -- writing -----------------------------------------------------------
 
@@ -364,7 +377,7 @@ class ArrayStore:
         where = grid.ordinal_filter(a.shape, a.chunk, axes)
         chunks = self._newest(a.dtype, [a.array_id], where, math.prod(len(r) for r in axes)) if a.written else None
         index = self._index(a.dtype, [a.array_id], where) if chunks is not None else None
-        return R.dense_chunks(self.spark, chunks, index, a.shape, a.chunk, axes, t, F.lit(Decimal(fill) if t.name == "uint64" else fill).cast(t.spark))
+        return R.dense_chunks(self.spark, chunks, index, a.shape, a.chunk, axes, t, F.lit(to_cell(fill, t)).cast(t.spark))
 
     def _append(self, a: M.ArrayMeta, chunks: DataFrame) -> None:
         self._touch()
@@ -410,6 +423,11 @@ def to_numpy(vals, t: DType) -> np.ndarray:
     return np.array([int(v) for v in vals] if t.name == "uint64" else vals, dtype=t.numpy)
 
 
+def to_cell(value, t: DType):
+    """One value as Spark takes it."""
+    return Decimal(value) if t.name == "uint64" else bytearray(value) if t.name == "binary" else value
+
+
 def to_spark(flat: np.ndarray, t: DType) -> list:
     if t.name == "uint64":
         return [Decimal(int(v)) for v in flat]

@@ -277,6 +277,24 @@ def test_codecs_in_footers_and_damaged_manifests(spark, tmp_path):
             ArrayStore.open(spark, root)
 
 
+def test_many_arrays_with_fill(store):
+    rng, shapes = np.random.default_rng(1), {"p": ([5, 7], [2, 3]), "q": ([], []), "r": ([9], [4]), "s": ([0, 3], [1, 1])}
+    for k, (name, (shape, chunk)) in enumerate(shapes.items()):
+        store.define_array(name, "int32", shape, chunk, fill=Fill("Int", -k - 1))
+    for name in shapes:  # nothing is written yet
+        assert sum(len(r["vals"]) for r in store.read_many([name], fill=True).collect()) == store.read_array(name).size
+    store.write_array("p", [1, 2], rng.integers(0, 9, (2, 2)))
+    store.write_array("r", [8], np.array([3]))
+    store.flush()
+    found = {}
+    for r in store.read_many(list(shapes), fill=True).collect():
+        assert (r["name"], r["chunk_ord"]) not in found
+        found[r["name"], r["chunk_ord"]] = r["vals"]
+    for name in shapes:
+        assert sorted(v for (n, _), vals in found.items() if n == name for v in vals) == sorted(store.read_array(name).reshape(-1).tolist())
+    assert {r["name"] for r in store.read_many().collect()} == {"p", "r"}
+
+
 def test_type_tables():
     t = DTYPES
     assert read_fill(t["int8"], Fill("Int", 300)) == 44 and read_fill(t["uint8"], Fill("Int", -1)) == 255
