@@ -40,7 +40,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: No SQL expresses language identification or packing; the tests hold each stage against brute force.
+#: No SQL expresses language identification or packing.  The tests hold the operator behind each stage against brute force or the
+#: tokenizers library, and the stages in order against what each must leave.
 ORACLE_SQL = None
 
 
