@@ -24,16 +24,18 @@ import zlib
 import numpy as np
 
 MAGIC = b"TSRC"
-VERSION = 2
+VERSION = 3
 #: Ids in a block.
 BLOCK = 1024
 _SLOT_BITS = 8
 _TOTAL_BITS = 12
 _TOTAL = 1 << _TOTAL_BITS
+_WHOLE = np.uint32(_TOTAL)
 #: Confidences: 0 to 7; up by one on a hit, halved on a miss; an id of confidence 0 or 1 gives way to the one that came.
-_START_RATES = np.array([64, 800, 1600, 2400, 2800, 3200, 3500, 3700])
-_NEXT = np.array([1, 1, *(c >> 1 for c in range(2, 8)), *(min(c + 1, 7) for c in range(8))])
-_STAYS = np.array([False, False] + [True] * 14)
+_SURE = 7
+_START_RATES = np.array([64, 800, 1600, 2400, 2800, 3200, 3500, 3700], np.uint32)
+#: What a rate gains, after a sixteenth of it is taken away, and what it gains beside on a hit.
+_MISS, _HIT = np.uint32(2), np.uint32(250)
 
 
 class CorruptBlock(ValueError):
@@ -44,34 +46,37 @@ class _Model:
     """Prediction state of many blocks side by side; row 0 is order 2, row 1 order 1."""
 
     def __init__(self, lanes: int, wide: bool):
-        kind, slots = (np.int64, np.int64(32)) if wide else (np.int32, np.int32(16)), 1 << _SLOT_BITS
-        self.table, self.bits = np.zeros(2 * lanes * slots, kind[0]), kind[1]
-        self.mask, self.next = kind[0]((1 << int(self.bits)) - 1), (_NEXT << int(self.bits)).astype(kind[0])
+        self.kind, self.bits = (np.uint64, 32) if wide else (np.uint32, 16)
+        slots = 1 << _SLOT_BITS
+        self.table, self.mask = np.zeros(2 * lanes * slots, self.kind), self.kind((1 << self.bits) - 1)
         self.rates = np.tile(_START_RATES, 2 * lanes)
         rows = np.arange(2 * lanes).reshape(2, lanes)
-        self.slots, self.rate_rows, self.at = rows * slots, rows * 8, np.empty((2, lanes), np.int64)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.slots, self.rate_rows = rows * slots, rows * 8
+        self.key, self.at, self.q = np.empty((2, lanes), np.uint32), np.empty((2, lanes), np.int64), np.empty((2, lanes), np.int64)
+        self.prev1, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def predict(self) -> None:
         """ids: predicted by each order; f2, top: where the interval of order 2 ends, and that of order 1."""
-        a = self.prev1 * 0x9E3779B1
-        self.at[0] = ((a ^ self.prev2 * 0x85EBCA6B) * 0x2B2AE35 >> 40) & ((1 << _SLOT_BITS) - 1)
-        self.at[1] = (a >> 23) & ((1 << _SLOT_BITS) - 1)
+        np.multiply(self.prev1, 0x9E3779B1, out=self.key[1])
+        np.multiply(self.prev2, 0x85EBCA6B, out=self.key[0])
+        self.key[0] += self.key[1]
+        self.at[:] = self.key >> (32 - _SLOT_BITS)
         self.at += self.slots
         entry = self.table.take(self.at)
-        self.conf, self.ids = entry >> self.bits, entry & self.mask
-        self.q = self.rate_rows + self.conf
+        self.conf, self.ids = entry >> self.bits, (entry & self.mask).astype(np.uint32, copy=False)
+        self.q[:] = self.conf
+        self.q += self.rate_rows
         self.p = self.rates.take(self.q)
         self.f2 = self.p[0]
         f1 = np.maximum((_TOTAL - self.f2) * self.p[1] >> _TOTAL_BITS, 1)
-        f1[self.ids[0] == self.ids[1]] = 1  # order 1 has nothing to add
+        np.putmask(f1, self.ids[0] == self.ids[1], 1)  # order 1 has nothing to add
         self.top = self.f2 + f1
 
     def update(self, x: np.ndarray, hit: np.ndarray) -> None:
-        state = self.conf + (hit.view(np.int8) << 3)
-        self.table[self.at] = self.next.take(state) | np.where(_STAYS.take(state), self.ids, x)
+        conf = np.where(hit, np.minimum(self.conf + 1, _SURE), np.maximum(self.conf >> 1, 1))
+        self.table[self.at] = (conf << self.bits) | np.where(self.conf > 1, self.ids, x)  # on a hit both are the id that came
         # moves toward 4032 on a hit and 32 on a miss, so all outcomes keep room
-        self.rates[self.q] = self.p + ((np.where(hit, 4032, 32) - self.p) >> 4)
+        self.rates[self.q] = self.p - (self.p >> 4) + (hit * _HIT + _MISS)
         self.prev2, self.prev1 = self.prev1, x
 
 
@@ -79,7 +84,7 @@ class _Encoder:
     """Range coders side by side.  Words of 16 bits go out as soon as they are settled but for a carry, which is a 17th bit until the end."""
 
     def __init__(self, lanes: int):
-        self.low, self.rng = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF)
+        self.low, self.rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint32)
         self.cap = 256
         self.out, self.every = np.zeros(lanes * self.cap, np.int32), np.arange(lanes)
         self.at = self.every * self.cap  # where the next word of a lane goes
@@ -100,7 +105,7 @@ class _Encoder:
     def code(self, lanes: np.ndarray | None, low: np.ndarray, rng: np.ndarray, start: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Narrow the intervals (low, rng) of some lanes, or of all; gives the new ones."""
         r = rng >> _TOTAL_BITS
-        low = low + r * start
+        low = low + (r * start).astype(np.uint64)
         rng = r * freq
         short = np.flatnonzero(rng < 65536)
         if len(short):
@@ -129,10 +134,13 @@ class _Encoder:
 
 def frequencies(ids: np.ndarray) -> list[np.ndarray]:
     """For each byte of an id from the top, out of _TOTAL: frequencies of its values, by the byte above it."""
+    counts = []
+    for k in (2, 1, 0) if len(ids) and int(ids.max()) > 0xFFFF else (0,):
+        counts.append(np.bincount((ids >> 8 * k & 0xFFFF).astype(np.int64), minlength=65536).reshape(256, 256))
+    top = np.zeros((256, 256), np.int64)
+    top[0] = counts[0].sum(axis=1)
     out = []
-    for k in ((3, 2, 1, 0) if len(ids) and int(ids.max()) > 0xFFFF else (1, 0)):
-        pair = (ids >> 8 * k) & 0xFFFF if len(out) else (ids >> 8 * k) & 0xFF
-        n = np.bincount(pair.astype(np.int64), minlength=65536).reshape(256, 256)
+    for n in (top, *counts):
         total = n.sum(axis=1, keepdims=True)
         f = np.where(n > 0, np.maximum(n * (_TOTAL - 256) // np.maximum(total, 1), 1), 0)
         most = n.argmax(axis=1)
@@ -141,9 +149,10 @@ def frequencies(ids: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _starts(f: np.ndarray) -> np.ndarray:
+def _intervals(f: np.ndarray) -> np.ndarray:
+    """Start and length of each interval, as the upper and lower half of a number."""
     f = f.reshape(256, 256)
-    return (np.cumsum(f, axis=1) - f).reshape(-1)
+    return ((np.cumsum(f, axis=1) - f) << 16 | f).astype(np.uint32).reshape(-1)
 
 
 def encode_blocks(ids: np.ndarray, freqs: list[np.ndarray], block: int = BLOCK) -> list[bytes]:
@@ -151,30 +160,30 @@ def encode_blocks(ids: np.ndarray, freqs: list[np.ndarray], block: int = BLOCK)
     if not len(ids):
         return []
     lanes = -(-len(ids) // block)
-    grid = np.full(lanes * block, ids[-1], np.int64)
+    grid = np.full(lanes * block, ids[-1], np.uint32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    tables = [(_starts(f), f, 8 * k) for f, k in zip(freqs, range(len(freqs) - 1, -1, -1))]
+    shifts = range(8 * len(freqs) - 8, -1, -8)
+    digits = [_intervals(f).take(grid >> k & 0xFFFF) for f, k in zip(freqs, shifts)]
     m, e = _Model(lanes, len(freqs) > 2), _Encoder(lanes)
     low, rng = e.low, e.rng
-    for x in grid:
+    for t, x in enumerate(grid):
         m.predict()
         hit = m.ids == x
         hit2 = hit[0]
         hit1 = hit[1] > hit2
-        start = np.where(hit2, 0, np.where(hit1, m.f2, m.top))
-        freq = np.where(hit2, m.f2, np.where(hit1, m.top, _TOTAL)) - start
+        start = np.where(hit1, m.f2, m.top)
+        end = np.where(hit1, m.top, _WHOLE)
+        np.putmask(start, hit2, 0)
+        np.copyto(end, m.f2, where=hit2)
         e.grow(len(freqs) + 1)
-        low, rng = e.code(None, low, rng, start, freq)
+        low, rng = e.code(None, low, rng, start, end - start)
         lit = np.flatnonzero(~(hit2 | hit1))
         if len(lit):
-            y, part, size = x.take(lit), low.take(lit), rng.take(lit)
-            above = 0
-            for starts, f, shift in tables:
-                digit = (y >> shift) & 0xFF
-                row = above + digit
-                part, size = e.code(lit, part, size, starts.take(row), f.take(row))
-                above = digit << 8
+            part, size = low.take(lit), rng.take(lit)
+            for d in digits:
+                both = d[t].take(lit)
+                part, size = e.code(lit, part, size, both >> 16, both & 0xFFFF)
             low[lit], rng[lit] = part, size
         m.update(x, hit)
     e.low = low
@@ -188,16 +197,16 @@ def decode_blocks(codes: list[bytes], freqs: list[np.ndarray], block: int) -> np
     if not lanes:
         return np.empty(0, np.int64)
     offset = np.cumsum([0, *(len(c) // 2 for c in codes)])
-    words = np.append(np.frombuffer(b"".join(codes), "<u2"), np.zeros(2, "<u2")).astype(np.int64)
+    words = np.append(np.frombuffer(b"".join(codes), "<u2"), np.zeros(2, "<u2")).astype(np.uint32)
     pos = offset[:-1].copy()
     code = words.take(pos, mode="clip") << 16 | words.take(pos + 1, mode="clip")
     pos += 2
-    rng, m, grid = np.full(lanes, 0xFFFFFFFF), _Model(lanes, len(freqs) > 2), np.empty((block, lanes), np.int64)
+    rng, m, grid = np.full(lanes, 0xFFFFFFFF, np.uint32), _Model(lanes, len(freqs) > 2), np.empty((block, lanes), np.uint32)
     tables = []
     for f in freqs:
         held = f.copy()
         held[::256][held.reshape(256, 256).sum(axis=1) == 0] = _TOTAL  # bytes that never come
-        tables.append((_starts(held), f, np.repeat(np.tile(np.arange(256, dtype=np.uint8), 256), held)))
+        tables.append((_intervals(held), np.repeat(np.tile(np.arange(256, dtype=np.uint8), 256), held)))
 
     def take(at: np.ndarray | None, c: np.ndarray, r: np.ndarray, start: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The new (code, range) of some lanes or all, with the words that they read."""
@@ -216,18 +225,21 @@ def decode_blocks(codes: list[bytes], freqs: list[np.ndarray], block: int) -> np
         r = rng >> _TOTAL_BITS
         hit2 = code < r * m.f2
         hit1 = (code < r * m.top) > hit2
-        start = np.where(hit2, 0, np.where(hit1, m.f2, m.top))
-        code, rng = take(None, code, r, start, np.where(hit2, m.f2, np.where(hit1, m.top, _TOTAL)) - start)
-        x = np.where(hit2, m.ids[0], m.ids[1]).astype(np.int64)
+        start = np.where(hit1, m.f2, m.top)
+        end = np.where(hit1, m.top, _WHOLE)
+        np.putmask(start, hit2, 0)
+        np.copyto(end, m.f2, where=hit2)
+        code, rng = take(None, code, r, start, end - start)
+        x = np.where(hit2, m.ids[0], m.ids[1])
         lit = np.flatnonzero(~(hit2 | hit1))
         if len(lit):
             c, size, above, y = code.take(lit), rng.take(lit), 0, 0
-            for starts, f, symbol in tables:
+            for intervals, symbol in tables:
                 r = size >> _TOTAL_BITS
                 # the quotient of numbers below 2^32 is never rounded up to the next integer; damaged codes give any digit
                 digit = symbol.take((above << 4) + np.minimum((c / r).astype(np.int64), _TOTAL - 1), mode="clip").astype(np.int64)
-                row = above + digit
-                c, size = take(lit, c, r, starts.take(row), f.take(row))
+                both = intervals.take(above + digit)
+                c, size = take(lit, c, r, both >> 16, both & 0xFFFF)
                 above, y = digit << 8, (y << 8) + digit
             code[lit], rng[lit], x[lit] = c, size, y
         grid[t] = x
@@ -240,7 +252,7 @@ _HEAD = struct.Struct("<4sBBIQQI")
 
 def pack_segment(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A segment: head, document table, frequencies and block table with their checksum, codes; each block has a checksum of its ids."""
-    ids = ids.astype(np.int64)
+    ids = ids.astype(np.uint32)
     block = max(1, min(block, len(ids)))
     freqs = frequencies(ids)
     codes = encode_blocks(ids, freqs, block)
