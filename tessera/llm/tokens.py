@@ -22,9 +22,9 @@ import xxhash
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
 #: Words and ids remembered at most, and log2 of the slots of the memory; beyond that it starts anew.
-MEMORY = 400_000
+MEMORY = 1_200_000
 ARENA = 1 << 23
-SLOT_BITS = 19
+SLOT_BITS = 21
 #: New words that are encoded at once.
 TOGETHER = 1 << 16
 #: Bytes up to which a word is told by its bytes, longer ones by a 120-bit hash.
