@@ -23,6 +23,8 @@ from tessera.sources.scratch import scratch_dir
 
 #: Ids after which a segment is closed; a longer document is a segment of its own.
 SEGMENT = 8 << 20
+#: Words that a worker remembers, some 60 MB.
+MEMORY = 1_200_000
 SEGMENTS = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.large_binary())])
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.large_binary())])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -38,7 +40,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = DEFAULT
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq, before = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        enc, part, seq, before = encoder(vocabulary, memory=MEMORY), TaskContext.get().partitionId(), 0, 0
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         rows: list[np.ndarray] = []

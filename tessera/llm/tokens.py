@@ -21,10 +21,9 @@ import xxhash
 #: The vocabulary of the registered queries; a path is taken as it is.
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
-#: Words and ids remembered at most, and log2 of the slots of the memory; beyond that it starts anew.
-MEMORY = 1_200_000
+#: Words, unless the caller says how many, and ids remembered at most; beyond that the memory starts anew.
+MEMORY = 400_000
 ARENA = 1 << 23
-SLOT_BITS = 21
 #: New words that are encoded at once.
 TOGETHER = 1 << 16
 #: Bytes up to which a word is told by its bytes, longer ones by a 120-bit hash.
@@ -137,9 +136,9 @@ def _keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nda
 
 
 class TextEncoder:
-    """Ids of texts.  `engine` encodes distinct words: the library, or the automaton of bpe_automaton."""
+    """Ids of texts.  `engine` encodes distinct words: the library, or the automaton of bpe_automaton.  `memory`: words remembered at most."""
 
-    def __init__(self, vocabulary: str = DEFAULT_VOCABULARY, engine: Callable | None = None):
+    def __init__(self, vocabulary: str = DEFAULT_VOCABULARY, engine: Callable | None = None, memory: int = MEMORY):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -168,12 +167,13 @@ class TextEncoder:
         self._ends[[i for t, i in self.vocab.items() if t.endswith(self.suffix)]] = True
         self._byte_of = {c: b for b, c in enumerate(byte_letters())}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        self.memory, self._bits = memory, int(memory * 1.3).bit_length()  # of the slots' number
         self.forget()
         self.engine = engine(self) if engine else None
 
     def forget(self) -> None:
         """Drop the remembered words: (keys, place in the arena of ids, ids) in buckets of two slots."""
-        slots = 1 << SLOT_BITS
+        slots = 1 << self._bits
         self._a, self._b = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
         self._at, self._n = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self._arena, self._used, self._held = np.empty(1 << 16, self.dtype), 0, 0
@@ -226,7 +226,7 @@ class TextEncoder:
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids, cuts): the ids of text i are ids[cuts[i]:cuts[i + 1]]; null counts as empty.  texts: a list or an Arrow array."""
-        if self._held > MEMORY or self._used > ARENA:
+        if self._held > self.memory or self._used > ARENA:
             self.forget()
         column = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())).fill_null("")
         _, ends, body = column.buffers()
@@ -261,7 +261,7 @@ class TextEncoder:
         a, b = _keys(data, start, size)
         h = (a ^ b * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
-        slot = ((h * np.uint64(0x165667B19E3779F9)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = ((h * np.uint64(0x165667B19E3779F9)) >> np.uint64(64 - self._bits)).astype(np.int64)
         other = (self._a.take(slot) != a) | (self._b.take(slot) != b)
         slot ^= other
         at, n = self._at.take(slot).astype(np.int64), self._n.take(slot).astype(np.int64)
@@ -286,10 +286,10 @@ class TextEncoder:
 _encoders: dict[tuple, TextEncoder] = {}
 
 
-def encoder(vocabulary: str = DEFAULT_VOCABULARY, engine: Callable | None = None) -> TextEncoder:
+def encoder(vocabulary: str = DEFAULT_VOCABULARY, engine: Callable | None = None, memory: int = MEMORY) -> TextEncoder:
     """One encoder for each worker process, which keeps its memory of words from task to task."""
-    key = (vocabulary, engine)
+    key = (vocabulary, engine, memory)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = TextEncoder(vocabulary, engine)
+        _encoders[key] = TextEncoder(vocabulary, engine, memory)
     return _encoders[key]
