@@ -1,13 +1,15 @@
 """Operator 10: removal of passages that an earlier document holds, with a count-min prefilter.
 
 A passage is a window of 50 words.  Counting every window would shuffle one
-row a word, so a first pass only counts anchors: the smallest hash among the
-8-word runs of a window, the same for equal windows.  Each task adds the
-distinct anchors of each document to a count-min sketch; the merged sketches
-overestimate in how many documents an anchor is, and so in how many a window
-is.  A second pass groups exactly the windows whose anchor may be in two
-documents.  No repeated window is lost; a sketch that is too full only lets
-more windows through.
+row a word, so a first pass only takes anchors: the smallest hash among the
+25-word runs of a window, the same for equal windows.  The distinct anchors of
+each document are written, counted, and dealt by hash to as many shards as
+keep the load of a shard's count-min sketch low, however large the input.  A
+sketch overestimates in how many documents an anchor is, and so in how many a
+window is; the anchors that may be in two go into the shard's part of a
+filter.  A second pass groups exactly the windows whose anchor is in the
+filter.  No repeated window is lost; a filter that is too full only lets more
+windows through.
 
 Texts that repeat as a whole are told by their hashes first: only the first of
 them counts and is grouped, and the later ones go whole.
@@ -18,8 +20,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import as_i64, batch, bounded, mix, rolling, saved, slices, unused, word_hashes
 
 WINDOW = 50
-RUN = 8
+RUN = 25
 DEPTH = 3
-#: log2 of counters in a sketch row: from the input's size, between these bounds (48 MB at most).
-WIDTH_BITS = (16, 24)
-SLICE = 1 << 16
+#: log2 of counters in a row of a shard's sketch: from the number of anchors, between these bounds.  There are shards enough for LOAD counters an anchor.
+WIDTH_BITS = (12, 20)
+LOAD = 4
+#: Bytes of the filter that a pass over the texts holds; beyond that (some 30 GB of input) there are more passes, each for a range of shards.
+FILTER_BYTES = 64 << 20
+#: Anchors that a task holds before it writes them.
+HELD = 1 << 18
 #: Marked documents up to which the marks are broadcast.
 BROADCAST_ROWS = 200_000
 #: Bytes up to which the ranges that go are broadcast.
@@ -44,12 +50,6 @@ BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def width_bits(docs: DataFrame) -> int:
-    """About one counter for eight bytes of input; anchors are some forty times fewer than words."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(WIDTH_BITS[1], max(WIDTH_BITS[0], math.ceil(math.log2(max(2, size) / 8))))
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of `width` values, by doubling."""
     n, span = len(x) - width + 1, 1
@@ -60,53 +60,72 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(words: np.ndarray, window: int) -> np.ndarray:
-    """Anchor of each window."""
+    """Anchor of each window, as a hash that is uniform (minima are not)."""
     run = min(RUN, window)
-    return sliding_min(rolling(words, run, BASES[0]), window - run + 1)
+    return mix(sliding_min(rolling(words, run, BASES[0]), window - run + 1) ^ np.uint64(BASES[1]))
+
 
+def shard(anchor: np.ndarray, shards: int) -> np.ndarray:
+    return (((anchor >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
-def cells(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Counter of an anchor in each sketch row."""
-    return [(mix(anchor + np.uint64(r + 1)) >> np.uint64(64 - bits)).astype(np.int64) + (r << bits) for r in range(DEPTH)]
 
+def cells(anchor: np.ndarray, bits: int, first: int = 0) -> list[np.ndarray]:
+    """Place of an anchor in each of DEPTH rows of a sketch, or with hashes of its own in a filter."""
+    return [(mix(anchor + np.uint64(first + r + 1)) >> np.uint64(64 - bits)).astype(np.int64) for r in range(DEPTH)]
 
-def sketch(docs: DataFrame, bits: int, window: int) -> np.ndarray:
-    """Merged counters (0, 1, 2: two or more) over all documents.
 
-    Tasks emit the slices of their sketch that are not empty, compressed;
-    slices are merged in parallel, and the merged sketch, whose size is
-    bounded, goes to the driver.
+def sketch(docs: DataFrame, window: int) -> tuple[DataFrame, int, int]:
+    """(k, f), the filter of each shard k that has anchors, as a table; the number of shards; log2 of the bits of a filter.
+
+    A filter holds the anchors that are in two documents or more by the
+    shard's count-min sketch.
     """
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(DEPTH << bits, np.uint8)
+    def distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def packed() -> pa.RecordBatch:
+            # documents count one by one, and beyond two they all count as two
+            x, n = np.unique(np.concatenate(held), return_counts=True)
+            x = np.concatenate([x, x[n > 1]])
+            return pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int64()), "a": pa.array([x.tobytes()], pa.binary())})
+
         for b in slices(batches):
             for text in b.column(0).cast(pa.binary()).to_pylist():
                 words = word_hashes(text or b"")
                 if len(words) >= window:
-                    for at in cells(np.unique(anchors(words, window)), bits):
-                        # documents are counted one by one: a counter gets one from a document's distinct cells
-                        at = np.unique(at)
-                        own[at] = np.minimum(own[at] + 1, 2)
-        for k in range(0, len(own), SLICE):
-            part = own[k : k + SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "c": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
-
-    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLICE, np.uint8)
+                    held.append(np.unique(anchors(words, window)))
+            if sum(map(len, held)) >= HELD:
+                yield packed()
+                held.clear()
+        if held:
+            yield packed()
+
+    own = saved(docs.select("text").transform(bounded).mapInArrow(distinct, "n bigint, a binary"), "anchors")
+    total = own.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, math.ceil(total * LOAD / (1 << WIDTH_BITS[1])))
+    bits = min(WIDTH_BITS[1], max(WIDTH_BITS[0], math.ceil(math.log2(max(2, total * LOAD / shards)))))
+    filter_bits = max(3, bits - 2)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in b.column(b.schema.get_field_index("c")).to_pylist():
-                part = np.frombuffer(zlib.decompress(c), np.uint8)
-                total[: len(part)] = np.minimum(total[: len(part)] + part, 2)
-        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int64()), "c": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+            for a in b.column(0).to_pylist():
+                x = np.sort(np.frombuffer(a, np.uint64))
+                k = shard(x, shards)
+                cuts = np.flatnonzero(np.diff(k)) + 1
+                parts = np.split(x, cuts)
+                yield pa.RecordBatch.from_pydict({"k": pa.array(k[np.append(0, cuts)], pa.int64()), "a": pa.array([p.tobytes() for p in parts], pa.binary())})
 
-    parts = docs.select("text").transform(bounded).mapInArrow(count, "k bigint, c binary")
-    merged = np.zeros(max(DEPTH << bits, SLICE), np.uint8)
-    for r in parts.groupBy("k").applyInArrow(merge, "k bigint, c binary").collect():
-        part = np.frombuffer(zlib.decompress(bytes(r["c"])), np.uint8)[: len(merged) - r["k"]]
-        merged[r["k"] : r["k"] + len(part)] = part
-    return merged[: DEPTH << bits]
+    def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate([np.frombuffer(a, np.uint64) for b in batches for a in b.column(b.schema.get_field_index("a")).to_pylist()])
+        many = np.minimum.reduce([np.bincount(at, minlength=1 << bits)[at] for at in cells(x, bits)]) >= 2
+        f = np.zeros(1 << filter_bits, bool)
+        for at in cells(x[many], filter_bits, DEPTH):
+            f[at] = True
+        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int64()), "f": pa.array([np.packbits(f, bitorder="little").tobytes()], pa.binary())})
+
+    dealt = own.select("a").transform(bounded).mapInArrow(deal, "k bigint, a binary")
+    return saved(dealt.groupBy("k").applyInArrow(count, "k bigint, f binary"), "filters"), shards, filter_bits
 
 
 WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("pos", pa.int32())])
@@ -124,34 +143,55 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def windows(docs: DataFrame, window: int) -> DataFrame:
+    """(h1, h2, doc_id, t, pos) of the windows of (doc_id, t, text) that may be in two documents."""
+    filters, shards, bits = sketch(docs, window)
+    size = 1 << (bits - 3)
+    step = max(1, FILTER_BYTES // size)
+
+    def passing(low: int) -> DataFrame:
+        """The windows of which the anchor is in one of the shards from `low` on that a pass holds."""
+        high = min(shards, low + step)
+        held = np.zeros((high - low) * size, np.uint8)
+        for r in filters.filter(F.col("k").between(low, high - 1)).toLocalIterator():
+            at = (r["k"] - low) * size
+            held[at : at + size] = np.frombuffer(bytes(r["f"]), np.uint8)
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+
+        def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for b in slices(batches):
+                out: list[tuple] = []
+                for key, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
+                    h = word_hashes(text)
+                    if len(h) < window:
+                        continue
+                    distinct, at = np.unique(anchors(h, window), return_inverse=True)
+                    k = shard(distinct, shards)
+                    many = (k >= low) & (k < high)
+                    base = np.where(many, k - low, 0) << bits
+                    for c in cells(distinct, bits, DEPTH):
+                        c += base
+                        many &= own[c >> 3] >> (c & 7).astype(np.uint8) & 1 > 0
+                    pos = np.flatnonzero(many[at])
+                    if len(pos):
+                        out.append((rolling(h, window, BASES[0])[pos], rolling(mix(h), window, BASES[1])[pos], np.full(len(pos), key, np.int64), np.full(len(pos), t, np.int64), pos.astype(np.int32)))
+                if out:
+                    cols = [np.concatenate(c) for c in zip(*out)]
+                    yield batch(WINDOWS, [as_i64(cols[0]), as_i64(cols[1]), *map(pa.array, cols[2:])])
+
+        return docs.transform(bounded).mapInArrow(candidates, "h1 bigint, h2 bigint, doc_id bigint, t bigint, pos int")
+
+    return reduce(DataFrame.unionByName, [passing(low) for low in range(0, shards, step)])
+
+
 def repeated(docs: DataFrame, later: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, t, pos): the windows that also start in a document with a smaller doc_id, of all rows but the `later` copies.
 
     t tells rows with one doc_id apart.
     """
-    spark = docs.sparkSession
     keyed = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), "text").join(small(later), ["doc_id", "t"], "left_anti")
-    bits = width_bits(docs)
-    counters = spark.sparkContext.broadcast(sketch(keyed, bits, window))
-
-    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = counters.value
-        for b in slices(batches):
-            out: list[tuple] = []
-            for key, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
-                h = word_hashes(text)
-                if len(h) < window:
-                    continue
-                distinct, at = np.unique(anchors(h, window), return_inverse=True)
-                many = np.minimum.reduce([seen[c] for c in cells(distinct, bits)]) >= 2
-                pos = np.flatnonzero(many[at])
-                if len(pos):
-                    out.append((rolling(h, window, BASES[0])[pos], rolling(mix(h), window, BASES[1])[pos], np.full(len(pos), key, np.int64), np.full(len(pos), t, np.int64), pos.astype(np.int32)))
-            if out:
-                cols = [np.concatenate(c) for c in zip(*out)]
-                yield batch(WINDOWS, [as_i64(cols[0]), as_i64(cols[1]), *map(pa.array, cols[2:])])
-
-    found = saved(keyed.transform(bounded).mapInArrow(candidates, "h1 bigint, h2 bigint, doc_id bigint, t bigint, pos int"), "windows")
+    found = saved(windows(keyed, window), "windows")
     # the first document of a window: sums in each task first, so a passage in very many documents is no hot spot
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
     # as a table, so that AQE can split the rows of a hot window

@@ -475,6 +475,20 @@ def test_full_sketch_loses_nothing(spark, mixed, monkeypatch):
     assert sorted(map(tuple, substring_dedup.digests(table(spark, rows)).collect())) == brute_passages(rows)
 
 
+def test_sketch_grows_with_the_anchors(spark, monkeypatch):
+    """With counters for a few anchors only, and in several passes, windows that do not repeat still stay out."""
+    rnd = random.Random(11)
+    rows = [(i, prose(rnd, 100)) for i in range(300)]
+    rows += [(300 + i, prose(rnd, 20) + " " + " ".join(rows[i][1].split()[:70])) for i in range(10)]
+    sizes = {}
+    monkeypatch.setattr(substring_dedup, "WIDTH_BITS", (4, 8))
+    monkeypatch.setattr(substring_dedup, "saved", lambda df, label, keep=substring_dedup.saved: [out := keep(df, label), sizes.update({label: out.count()})][0])
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(substring_dedup, "FILTER_BYTES", size, raising=False)
+        assert sorted(map(tuple, substring_dedup.digests(table(spark, rows)).collect())) == brute_passages(rows)
+        assert 2 * 10 * 21 <= sizes["windows"] < 2000  # of 15510
+
+
 def naive_syncmers(text):
     """Hash and first place of every k-mer whose smallest inner s-mer is its first or last one."""
     h = lambda x: int(rolling(mix(np.array([ord(c) + 1 for c in x], np.uint64)), len(x), syncmers.BASE)[0])
