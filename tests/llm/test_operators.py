@@ -489,6 +489,14 @@ def test_sketch_grows_with_the_anchors(spark, monkeypatch):
         assert 2 * 10 * 21 <= sizes["windows"] < 2000  # of 15510
 
 
+def test_one_full_sketch_loses_nothing(spark, mixed, monkeypatch):
+    """All anchors in one shard of 16 counters a row."""
+    monkeypatch.setattr(substring_dedup, "WIDTH_BITS", (4, 4))
+    monkeypatch.setattr(substring_dedup, "LOAD", 1e-6)
+    rows = [(r[0], r[1]) for r in mixed]
+    assert sorted(map(tuple, substring_dedup.digests(table(spark, rows)).collect())) == brute_passages(rows)
+
+
 def naive_syncmers(text):
     """Hash and first place of every k-mer whose smallest inner s-mer is its first or last one."""
     h = lambda x: int(rolling(mix(np.array([ord(c) + 1 for c in x], np.uint64)), len(x), syncmers.BASE)[0])
