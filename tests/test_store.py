@@ -295,6 +295,56 @@ def test_many_arrays_with_fill(store):
     assert {r["name"] for r in store.read_many().collect()} == {"p", "r"}
 
 
+def test_arrays_defined_at_once(spark, tmp_path):
+    """A bulk's arrays are no part of the manifest, but read, written, deleted and measured as any others."""
+    root = str(tmp_path / "s")
+    s = ArrayStore.create(spark, root)
+    s.define_array("own", "int32", [3], [2], fill=Fill("Int", 5))
+    s.define_many(spark.range(300).selectExpr("format_string('n%03d', id) as name", "id % 6 as length"), "int32", chunk=2, fill=Fill("Int", 1))
+    model = {f"n{k:03d}": np.full(k % 6, 1) for k in range(300)}
+    assert s.list_arrays().count() == 301 and s.read_array("n005").tolist() == [1] * 5
+    rows = [(n, i, (i * 3 + int(n[1:])) % 4) for n in model if int(n[1:]) % 7 for i in range(len(model[n]))] + [("own", 0, 5), ("own", 1, 1)]
+    s.write_many(spark.createDataFrame(rows, "name string, pos bigint, v int"), "name", "pos", "v")
+    for n, i, v in rows[:-2]:
+        model[n][i] = v
+    s.flush()
+    text = open(max(p for p in glob.glob(f"{root}/manifests/*") if not p.endswith(".crc"))).read()
+    assert "n005" not in text and len(text) < 2000
+    for bad, error in (([("n005", 1)], ArrayAlreadyExists), ([("own", 1)], ArrayAlreadyExists), ([("x", 1), ("x", 2)], ArrayAlreadyExists), ([("x", -1)], StoreFormatError), ([(None, 1)], StoreFormatError)):
+        with pytest.raises(error):
+            s.define_many(spark.createDataFrame(bad, "name string, length bigint"), "int32")
+    with pytest.raises(ArrayAlreadyExists):
+        s.define_array("n005", "int8", [1])
+    with pytest.raises(ArrayNotFound):
+        s.write_many(spark.createDataFrame([("none", 0, 1)], "name string, pos bigint, v int"), "name", "pos", "v")
+    s.delete("n010")
+    s.set_attribute("n011", "units", "m")
+    s.write_array("n017", [3], np.array([8, 9]))
+    s.flush()
+    del model["n010"]
+    model["n017"][3:] = 8, 9
+    for step in range(2):
+        s = ArrayStore.open(spark, root)
+        found = {n: {} for n in model}
+        for r in s.read_many(list(model) if step else None, fill=True).collect():
+            if r["name"] != "own":
+                found[r["name"]][r["chunk_ord"]] = r["vals"]
+        assert {n: [v for k in sorted(x) for v in x[k]] for n, x in found.items()} == {n: x.tolist() for n, x in model.items()}
+        entries = {r["name"]: r for r in s.stats().collect()}
+        for n, x in model.items():
+            held = [v for v in x.tolist() if v != 1]
+            if step or (int(n[1:]) % 7 and len(x)):
+                assert (entries[n]["min_i"], entries[n]["max_i"], entries[n]["null_count"], entries[n]["row_count"]) == (min(held, default=None), max(held, default=None), len(x) - len(held), len(x)), n
+            else:
+                assert n not in entries
+        assert s.array_stats("n017")["max"] == 9 and s.array_stats("n016") == {"kind": "Int", "min": 0, "max": 3, "null_count": model["n016"].tolist().count(1), "row_count": 4}
+        assert s.array_stats("own") == {"kind": "Int", "min": 1, "max": 1, "null_count": 2, "row_count": 3}
+        assert {r["name"] for r in s.attribute_index("units").filter("value is not null").collect()} == {"n011"}
+        with pytest.raises(ArrayNotFound):
+            s.read_array("n010")
+        s.compact()
+
+
 def test_type_tables():
     t = DTYPES
     assert read_fill(t["int8"], Fill("Int", 300)) == 44 and read_fill(t["uint8"], Fill("Int", -1)) == 255
