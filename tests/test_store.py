@@ -232,6 +232,19 @@ def test_write_cells_sees_one_evaluation(spark, store):
     assert np.array_equal(store.read_array("r"), got)
 
 
+def test_write_cells_reads_only_what_it_patches(spark, store, monkeypatch):
+    """Covered chunks ask for no old values, others for their own alone."""
+    store.define_array("w", "int32", [1000], [10], fill=Fill("Int", -1))
+    model, asked, newest = np.full(1000, -1), [], ArrayStore._newest
+    monkeypatch.setattr(ArrayStore, "_newest", lambda self, dtype, ids, where="true", *more, **named: asked.append(where) or newest(self, dtype, ids, where, *more, **named))
+    for low, high, want in ((0, 499, []), (505, 507, [50]), (205, 394, [20, 39])):
+        store.write_cells("w", spark.range(low, high + 1).selectExpr("id as d0", f"cast(id + {low} as int) as v"))
+        model[low : high + 1] = np.arange(low, high + 1) + low
+        assert len(asked) == bool(want) and sorted(int(x) for w in asked for x in w.split("(")[1].replace("L", "").rstrip(")").split(",")) == want
+        asked.clear()
+    assert store.read_array("w").tolist() == model.tolist()
+
+
 def test_offsets(spark):
     from tessera.functions import offsets
 
